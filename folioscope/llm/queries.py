@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe
+from folioscope.llm import bpe, decontaminate, langid, minhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,11 +22,31 @@ def crc_mod(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    samples = langid.fit(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), samples)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_language_id": op3_language_id,
+    "op5_decontamination": op5_decontamination,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
 ORACLE_SQL: dict[str, str] = {}
