@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, langid, minhash
+from folioscope.llm import bpe, decontaminate, langid, licences, linededup, minhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -39,14 +39,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return out.withColumn("licences", F.array_join("licences", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
+    "op10_license_scan": op10_license_scan,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": linededup.SQL,
+    "op10_license_scan": licences.sql(),
+}
