@@ -3,8 +3,9 @@
 Both the smallest and the largest shingle hash under each permutation are kept, so a signature of 2m values costs m
 evaluations. Bands of the signature make buckets. Documents with equal shingle sets are one node; in each bucket all
 nodes are compared with one centre, then, where a bucket still holds several components, with its best-linked node, and
-at last across components, so that groups of copies never become all their pairs while no link between components that
-share a bucket is missed. Every link is confirmed on full sets.
+at last across components where they share a rare shingle, so that neither groups of copies nor texts around one common
+passage become all their pairs, while no link between components that share a bucket is missed. Every link is
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from folioscope.operators.prefilter import probably_in
 
 #: 40 permutations give 80 values, 20 bands of 4: two documents of similarity 0.85 share no bucket once in 2.5 million.
 PERMUTATIONS, ROWS = 40, 4
-#: Rounds against a bucket's centre before its remaining components are compared with each other.
-CENTRES = 3
 
 
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +109,22 @@ def _to_hub(open_: DataFrame, links: DataFrame) -> DataFrame:
     return open_.join(hub.select("bucket", "x.*"), "bucket").where("component_id <> c")
 
 
-def _across(open_: DataFrame) -> DataFrame:
-    """Members of each bucket with those of its other components: what no centre has joined."""
-    other = open_.select("bucket", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component_id").alias("c"))
-    return open_.join(other, "bucket").where("component_id < c")
+def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Nodes with those of other components that a rare shingle joins: what no centre has linked.
+
+    Shingles are ordered by how few of the open nodes have them. Of two sets that reach the threshold, each has one of
+    the other's among its first n - ceil(n * percent / 100) + 1, so passages that thousands of otherwise different texts
+    share make no pairs.
+    """
+    nodes = open_.select("node", "n", "component_id").distinct()
+    each = nodes.join(sets, "node").select("node", F.explode("shingles").alias("s"))
+    rare = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    length = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
+    prefix = nodes.join(rare, "node").select("node", "n", "component_id", F.explode(F.slice("x", F.lit(1), length)).alias("x"))
+    prefix = stored(prefix.where("x.df > 1").select("node", "n", "component_id", "x.s"), "prefixes")
+    other = prefix.select("s", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component_id").alias("c"))
+    mixed = prefix.groupBy("s").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x < y").select("s")
+    return prefix.join(mixed, "s").join(other, "s").where("component_id < c")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -144,23 +155,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     ties = named.join(nodes.select("lo", "hi", "node"), ["lo", "hi"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all"))
     ties = ties.where("a < b").select("a", F.explode("all").alias("b")).where("a < b").select("a", "b")
     links = stored(links.union(ties), "links")
-    found, rounds, last = connected_components(links), 0, False
-    while True:
+    found = connected_components(links)
+    for joined in (_to_hub, _across):
         at = buckets.select("bucket", "node", "n").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
         split = at.groupBy("bucket").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"), F.count("*").alias("m")).where("x < y and m > 2").select("bucket")
         open_ = stored(at.join(split, "bucket"), "open")
-        pairs = _across(open_) if last else _to_hub(open_, links)
+        pairs = joined(open_, links) if joined is _to_hub else joined(open_, sets, percent)
         pairs = pairs.where(fits).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         pairs = stored(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        new = None if pairs.isEmpty() else stored(_confirmed(pairs, sets, percent), "links")
-        changed = new is not None and not new.isEmpty()
-        if changed:
+        new = stored(_confirmed(pairs, sets, percent), "links")
+        if not new.isEmpty():
             links, compared = links.union(new), compared.union(pairs)
             found = connected_components(links)
-        if last:
-            break
-        rounds += 1
-        last = not changed or rounds == CENTRES
     comp = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("lo", "hi", F.coalesce("component_id", "node").alias("component_id"))
     out = rows.join(comp, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
