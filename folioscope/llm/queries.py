@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, langid, licences, linededup, minhash
+from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 10) == 0)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -56,6 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op10_license_scan": op10_license_scan,
