@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash
+from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash, repeats
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
 ORACLE_SQL: dict[str, str] = {
