@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash, repeats
+from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash, neighbours, repeats
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,10 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return out.withColumn("licences", F.array_join("licences", ","))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_license_scan": op10_license_scan,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
