@@ -13,12 +13,15 @@ WINDOW = 3
 
 
 def _windows(lines: Column, n: int) -> Column:
-    """Array of 128-bit hashes of all runs of ``n`` lines, by position."""
-    def run(i: Column) -> Column:
-        part = [F.get(lines, i + j) for j in range(n)]
-        return F.struct(F.xxhash64(*part).alias("h1"), F.xxhash64(F.lit(n), *part).alias("h2"))
+    """Array of 128-bit hashes of all runs of ``n`` lines, by position. Lines are bound to a variable: inside a lambda they would be split anew for each run."""
+    def runs(bound: Column) -> Column:
+        def run(i: Column) -> Column:
+            part = [F.get(bound, i + j) for j in range(n)]
+            return F.struct(F.xxhash64(*part).alias("h1"), F.xxhash64(F.lit(n), *part).alias("h2"))
 
-    return F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(0), F.size(lines) - n), run))
+        return F.when(F.size(bound) >= n, F.transform(F.sequence(F.lit(0), F.size(bound) - n), run))
+
+    return F.transform(F.array(lines), runs)[0]
 
 
 def removed_windows(docs: DataFrame, text: str = "text", n: int = WINDOW) -> DataFrame:
