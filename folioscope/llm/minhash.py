@@ -112,19 +112,20 @@ def _to_hub(open_: DataFrame, links: DataFrame) -> DataFrame:
 def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Nodes with those of other components that a rare shingle joins: what no centre has linked.
 
-    Shingles are ordered by how few of the open nodes have them. Of two sets that reach the threshold, each has one of
-    the other's among its first n - ceil(n * percent / 100) + 1, so passages that thousands of otherwise different texts
-    share make no pairs.
+    Shingles are ordered by how few of the open nodes have them. Two sets of n and m that reach the threshold share at
+    least o = ceil(percent * (n + m) / (100 + percent)) shingles, so the first they share is among the first n - o + 1 of
+    one and m - o + 1 of the other; passages that thousands of otherwise different texts share come later than that.
     """
     nodes = open_.select("node", "n", "component_id").distinct()
     each = nodes.join(sets, "node").select("node", F.explode("shingles").alias("s"))
     rare = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
     length = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
-    prefix = nodes.join(rare, "node").select("node", "n", "component_id", F.explode(F.slice("x", F.lit(1), length)).alias("x"))
-    prefix = stored(prefix.where("x.df > 1").select("node", "n", "component_id", "x.s"), "prefixes")
-    other = prefix.select("s", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component_id").alias("c"))
+    prefix = nodes.join(rare, "node").select("node", "n", "component_id", F.posexplode(F.slice("x", F.lit(1), length)).alias("i", "x"))
+    prefix = stored(prefix.where("x.df > 1").select("node", "n", "component_id", "i", "x.s"), "prefixes")
+    other = prefix.select("s", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component_id").alias("c"), F.col("i").alias("j"))
     mixed = prefix.groupBy("s").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x < y").select("s")
-    return prefix.join(mixed, "s").join(other, "s").where("component_id < c")
+    least = f"(({percent} * (n + n_centre) + {99 + percent}) div {100 + percent})"
+    return prefix.join(mixed, "s").join(other, "s").where(f"component_id < c and i + {least} <= n and j + {least} <= n_centre")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
