@@ -51,7 +51,11 @@ def _same(t: Column, w: str, prefix: bool) -> Column:
 
 
 def hits(tokens: Column, term: Term) -> Column:
-    """How often the term stands in an array of tokens."""
+    """How often the term stands in an array of tokens, which is bound to a variable so that it is made once a row."""
+    return F.get(F.transform(F.array(tokens), lambda t: _hits(t, term)), F.lit(0))
+
+
+def _hits(tokens: Column, term: Term) -> Column:
     n = len(term.words)
     if n == 1:
         return F.size(F.filter(tokens, lambda t: _same(t, term.words[0], term.prefix)))

@@ -325,11 +325,11 @@ def edit_distance_names(spark, sf_dir):
 
 
 @query("""
-SELECT DISTINCT c_custkey, s_suppkey FROM customer, supplier WHERE CAST(c_acctbal AS INTEGER) = CAST(s_acctbal AS INTEGER) OR (c_custkey = s_suppkey)
+SELECT DISTINCT c_custkey, s_suppkey FROM customer, supplier WHERE floor(c_acctbal) = floor(s_acctbal) OR (c_custkey = s_suppkey)
 """)
 def or_key_join(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("bal", F.round("c_acctbal").cast("int"))
-    s = table(spark, sf_dir, "supplier").withColumn("bal", F.round("s_acctbal").cast("int"))
+    c = table(spark, sf_dir, "customer").withColumn("bal", F.floor("c_acctbal"))
+    s = table(spark, sf_dir, "supplier").withColumn("bal", F.floor("s_acctbal"))
     return linkage.or_join(c, s.withColumnRenamed("bal", "sbal"), [("bal", "sbal"), ("c_custkey", "s_suppkey")], "c_custkey", "s_suppkey")
 
 
@@ -371,16 +371,16 @@ def prefix_ancestor_lookup(spark, sf_dir):
 
 
 @query("""
-WITH n AS (SELECT o_orderkey AS k, CAST(o_totalprice AS BIGINT) AS s, o_orderdate AS t FROM orders WHERE o_orderkey % 7 <> 3),
-p AS (SELECT o_orderkey AS k, CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS BIGINT) AS s, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL 1 SECOND WHEN o_orderkey % 4 = 1 THEN o_orderdate + INTERVAL 5 SECOND ELSE o_orderdate END AS t FROM orders WHERE o_orderkey % 11 <> 2)
+WITH n AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice + 0.5) AS BIGINT) AS s, o_orderdate AS t FROM orders WHERE o_orderkey % 7 <> 3),
+p AS (SELECT o_orderkey AS k, CAST(floor(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END + 0.5) AS BIGINT) AS s, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL 1 SECOND WHEN o_orderkey % 4 = 1 THEN o_orderdate + INTERVAL 5 SECOND ELSE o_orderdate END AS t FROM orders WHERE o_orderkey % 11 <> 2)
 SELECT coalesce(n.k, p.k) AS k, CASE WHEN n.k IS NULL THEN 'delete' WHEN p.k IS NULL THEN 'copy' WHEN n.s = p.s AND abs(epoch(n.t) - epoch(p.t)) <= 2 THEN 'same' ELSE 'copy' END AS action FROM n FULL JOIN p ON n.k = p.k
 """)
 def manifest_diff(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k, price, day = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate")
-    needed = o.where(k % 7 != 3).select(k.alias("k"), F.round(price).cast("long").alias("s"), day.alias("t"))
+    needed = o.where(k % 7 != 3).select(k.alias("k"), F.floor(price + 0.5).alias("s"), day.alias("t"))
     late = F.when(k % 4 == 0, day + F.expr("interval 1 second")).when(k % 4 == 1, day + F.expr("interval 5 seconds")).otherwise(day)
-    present = o.where(k % 11 != 2).select(k.alias("k"), F.round(F.when(k % 5 == 0, price + 1).otherwise(price)).cast("long").alias("s"), late.alias("t"))
+    present = o.where(k % 11 != 2).select(k.alias("k"), F.floor(F.when(k % 5 == 0, price + 1).otherwise(price) + 0.5).alias("s"), late.alias("t"))
     return linkage.manifest_diff(needed, present, "k", "s", "t", 2)
 
 
