@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.components import stored
+from folioscope.operators.prefilter import marked
+
 WINDOW = 3
 
 
@@ -48,8 +51,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", n: int = WINDOW) -> DataFra
     kept = work.columns
     work = work.withColumn("__k1", F.xxhash64(*key)).withColumn("__k2", F.xxhash64(F.lit(1), *key))
     slim = work.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text).alias(text))
-    at = removed_windows(slim, text, n).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("at").alias("__at"))
-    out = work.join(at, ["__k1", "__k2"], "left").withColumn("__lines", F.split(text, "\n", -1))
+    at = stored(removed_windows(slim, text, n), "covered").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("at").alias("__at"))
+    # only texts that may lose lines are moved to meet their positions
+    both = marked(work, F.col("__k1"), at, F.col("__k1"), "__maybe")
+    out = both.where("__maybe").join(at, ["__k1", "__k2"], "left").unionByName(both.where("not __maybe").withColumn("__at", F.lit(None).cast("array<int>")))
+    out = out.withColumn("__lines", F.split(text, "\n", -1))
     m, size = F.size("__at"), F.size("__lines")
 
     def gap(i: Column) -> Column:
