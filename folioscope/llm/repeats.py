@@ -4,7 +4,7 @@ A rolling hash over GRAM bytes picks triggers: of each string of LENGTH bytes, t
 strings have their trigger at the same place, so a trigger cuts the text into phrases that begin and end alike wherever
 the same text stands. The distinct phrases, each with all strings of which its trigger is the smallest gram, are the
 dictionary; the phrase numbers of the texts are the parse. Repeats are settled on the dictionary: a phrase that occurs
-twice is repeated as a whole, and phrases that share a trigger but differ are compared string by string, once for each
+twice is repeated as a whole; phrases that share a trigger but differ are compared by their strings, once for each
 distinct phrase however often it occurs. The full suffix order of the corpus is never written out: only equality at one
 length is asked for, and the order of all suffixes would be some 25 times the input.
 """
@@ -23,6 +23,8 @@ from folioscope.operators.components import stored
 from folioscope.operators.prefilter import probably_in
 
 LENGTH, GRAM = 200, 32
+#: Phrases that one task settles together; a trigger that leads more of them is settled string by string across tasks.
+CROWD = 20_000
 
 
 def phrases(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -63,48 +65,93 @@ def parse(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, "trigger long, phrase long, k1 long, k2 long, pos int, lo int, hi int")
 
 
-def _strings(texts: DataFrame, length: int) -> DataFrame:
-    """``texts(text, wanted)`` to one row for each string of each wanted phrase: its hash together with its place in the phrase."""
+def _bodies(texts: DataFrame, length: int) -> DataFrame:
+    """``texts(text, wanted)`` to one row for each wanted phrase: its bytes and how far its trigger is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in K.chunks(batches):
             wanted = rows.column(1)
             flat, count = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
-            f = {n: flat.field(n).to_numpy(zero_copy_only=False) for n in ("trigger", "phrase", "pos", "lo", "hi")}
+            lo, hi, pos = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("lo", "hi", "pos"))
             base = np.repeat(at[:-1], count)
-            n = f["hi"] - f["lo"] + 1
-            each = np.repeat(np.arange(len(n)), n)
-            start = f["lo"][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            h = K.range_hash(K.prefix_hash(data), base[each] + start, base[each] + start + length)
-            offset = start - f["pos"][each]
-            h = K.mix(h + f["trigger"].astype(np.int64).view(np.uint64)[each] * np.uint64(3) + offset.astype(np.int64).view(np.uint64) * K.FAMILY_A[1])
-            for i in range(0, len(each), 200_000):
-                j = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([K.long_column(h[j]), pa.array(f["trigger"][each[j]]), pa.array(f["phrase"][each[j]]), pa.array(offset[j].astype(np.int32))], names=["string", "trigger", "phrase", "offset"])
+            body = [data[i:j].tobytes() for i, j in zip((base + lo).tolist(), (base + hi + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([flat.field("trigger"), flat.field("phrase"), flat.field("m"), pa.array(pos - lo), pa.array(body, pa.binary())], names=["trigger", "phrase", "m", "lead", "body"])
 
-    return texts.select("text", "wanted").mapInArrow(run, "string long, trigger long, phrase long, offset int")
+    return texts.select("text", "wanted").mapInArrow(run, "trigger long, phrase long, m long, lead int, body binary")
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``keyed(k1, k2, text)`` to ``k1, k2, spans``: for each text with repeats, the starts (first, last) of its repeated strings."""
+def _strings(trigger: np.ndarray, lead: np.ndarray, bodies: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of the phrases: whose, how far before (-) or after the trigger they start, and a hash of trigger, place and bytes."""
+    at = np.frombuffer(bodies.buffers()[1], np.int32 if pa.types.is_binary(bodies.type) else np.int64)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+    data = np.frombuffer(bodies.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    n = np.diff(at) - length + 1
+    each = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    h = K.range_hash(K.prefix_hash(data), at[each] + start, at[each] + start + length)
+    offset = start - lead[each]
+    return each, offset, K.mix(h + trigger.view(np.uint64)[each] * np.uint64(3) + offset.astype(np.int64).view(np.uint64) * K.FAMILY_A[1])
+
+
+def _settled(bodies: DataFrame, length: int, n: int) -> DataFrame:
+    """``trigger, phrase, lo, hi``: first and last repeated string of each phrase, for phrases whose trigger leads at most CROWD of them.
+
+    All strings of a phrase hold its trigger, so what they cover is one piece from the first to the end of the last."""
+
+    def resolve(t: pa.Table) -> pa.Table:
+        trigger, phrase, lead = (t.column(c).to_numpy() for c in ("trigger", "phrase", "lead"))
+        each, offset, h = _strings(trigger, lead, t.column("body").combine_chunks(), length)
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        again = np.zeros(len(h), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        who, off = each[again], offset[again]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(who) != 0))) if len(who) else np.zeros(0, np.int64)
+        last = np.concatenate((first[1:], [len(who)]))[: len(first)] - 1
+        return pa.table({"trigger": pa.array(trigger[who[first]]), "phrase": pa.array(phrase[who[first]]), "lo": pa.array(off[first].astype(np.int32)), "hi": pa.array(off[last].astype(np.int32))})
+
+    bins = F.pmod(F.xxhash64("trigger"), F.lit(max(1, n // CROWD)))
+    return bodies.withColumn("bin", bins).groupBy("bin").applyInArrow(resolve, "trigger long, phrase long, lo int, hi int")
+
+
+def _settled_apart(bodies: DataFrame, length: int) -> DataFrame:
+    """The same for crowded triggers, one row for each string, so that no task holds all phrases of a trigger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2000):
+                rows = b.slice(i, 2000)
+                trigger, phrase, lead = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("trigger", "phrase", "lead"))
+                each, offset, h = _strings(trigger, lead, rows.column(rows.schema.get_field_index("body")), length)
+                yield pa.RecordBatch.from_arrays([K.long_column(h), pa.array(trigger[each]), pa.array(phrase[each]), pa.array(offset.astype(np.int32))], names=["string", "trigger", "phrase", "offset"])
+
+    strings = bodies.mapInArrow(run, "string long, trigger long, phrase long, offset int")
+    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    return strings.join(twice, "string").groupBy("trigger", "phrase").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"))
+
+
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int | None = None) -> DataFrame:
+    """``keyed(k1, k2, text)`` to ``k1, k2, spans``: for each text with repeats, pieces (first, last start) of its repeated strings."""
+    crowd = CROWD if crowd is None else crowd
     parsed = parse(keyed, length, gram)
     common = parsed.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
     common = stored(common, "triggers")
     found = stored(probably_in(parsed, F.col("trigger"), common, F.col("trigger"), 1 << 26).join(common, "trigger"), "phrases")
     entry = found.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "hi")).alias("at"))
     entry = stored(entry, "dictionary")
-    unlike = entry.groupBy("trigger").agg(F.count("*").alias("m")).where("m > 1").select("trigger")
-    edges = entry.join(unlike, "trigger").select("at.k1", "at.k2", F.struct("trigger", "phrase", "at.pos", "at.lo", "at.hi").alias("wanted"))
+    unlike = entry.groupBy("trigger").agg(F.count("*").alias("m")).where("m > 1")
+    edges = entry.join(unlike, "trigger").select("at.k1", "at.k2", F.struct("trigger", "phrase", "m", "at.pos", "at.lo", "at.hi").alias("wanted"))
     edges = stored(edges.groupBy("k1", "k2").agg(F.collect_set("wanted").alias("wanted")), "edges")
     texts = probably_in(keyed, F.col("k1"), edges, F.col("k1")).join(edges, ["k1", "k2"])
-    strings = stored(_strings(texts, length), "strings")
-    twice = strings.groupBy("string").agg(F.min("phrase").alias("x"), F.max("phrase").alias("y")).where("x < y").select("string")
-    parts = strings.join(twice, "string").groupBy("trigger", "phrase").agg(F.collect_set("offset").alias("offsets"))
-    whole = entry.where("n > 1").select("trigger", "phrase", F.lit(None).cast("array<int>").alias("offsets"))
+    bodies = stored(_bodies(texts, length), "bodies")
+    bodies = bodies.dropDuplicates(["trigger", "phrase"])  # rows that repeat a document
+    some, many = bodies.where(F.col("m") <= crowd), bodies.where(F.col("m") > crowd)
+    parts = _settled(some, length, entry.count()).union(_settled_apart(many, length))
+    whole = entry.where("n > 1").select("trigger", "phrase", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
     single = entry.where("n = 1").select("trigger", "phrase").join(parts, ["trigger", "phrase"])
-    span = F.when(F.col("offsets").isNull(), F.array(F.struct("lo", "hi"))).otherwise(F.transform("offsets", lambda o: F.struct((F.col("pos") + o).alias("lo"), (F.col("pos") + o).alias("hi"))))
-    hits = found.join(whole.union(single), ["trigger", "phrase"]).select("k1", "k2", F.explode(span).alias("span"))
-    return hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    settled = whole.union(single).select("trigger", "phrase", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    span = F.struct(F.coalesce(F.col("pos") + F.col("from"), "lo").alias("lo"), F.coalesce(F.col("pos") + F.col("to"), "hi").alias("hi"))
+    return found.join(settled, ["trigger", "phrase"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(span)).alias("spans"))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:

@@ -33,6 +33,10 @@ def test_equals_brute_force_and_edge_cases(spark):
     for length, gram in ((40, 8), (57, 20)):
         got = sorted((tuple(r) for r in repeats.digest(docs, length, gram).collect()), key=key)
         assert got == sorted(brute(rows, length), key=key)
+    keep, repeats.CROWD = repeats.CROWD, 2  # most triggers count as crowded
+    crowded = sorted((tuple(r) for r in repeats.digest(docs, 40, 8).collect()), key=key)
+    repeats.CROWD = keep
+    assert crowded == sorted(brute(rows, 40), key=key)
     full = repeats.remove_repeats(docs, 40, 8)
     assert full.columns == ["doc_id", "k1", "kept", "n_bytes", "n_removed", "n_spans"]
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in full.collect()), key=key) == sorted(brute(rows, 40), key=key)
