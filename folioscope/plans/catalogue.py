@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import dates, identifiers, names, similarity, text
 from folioscope.operators import components, dedup, edit, facets, grouping, keywords, linkage, rank, search
+from folioscope.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -653,3 +655,29 @@ def conversation_notes_export(spark, sf_dir):
     g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("x"), F.count("*").alias("n"))
     md = F.transform("x", lambda t: F.concat(F.when(t["role"] == "user", F.concat(F.lit("> "), t["text"])).otherwise(t["text"]), F.lit(" ("), t["turn"].cast("string"), F.lit(") #"), t["role"]))
     return g.select("conv_id", F.array_join(md, "\n").alias("notes"), "n")
+
+
+# streams ----------------------------------------------------------------------------------------------------------------
+
+
+def _drained(spark, sf_dir, build, mode: str) -> DataFrame:
+    base = f"{components.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    static = table(spark, sf_dir, "events")  # a pattern also admits a table that is one file
+    stream = ingest.watched(spark, f"{sf_dir}/event[s].parquet", static.schema.simpleString()[7:-1].replace(":", " "), "parquet")
+    ingest.drained(build(stream.withColumn("ts", F.col("ts").cast("timestamp"))), f"{base}/out", mode, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, count(*) AS n, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts)) + 1800000000 AS BIGINT) AS end_us FROM s GROUP BY user_id, session
+""")
+def stream_sessions(spark, sf_dir):
+    out = _drained(spark, sf_dir, lambda s: ingest.sessions(s, "user_id", "ts", "30 minutes", "1 hour"), "complete")
+    return out.select("user_id", "n", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf_dir):
+    return _drained(spark, sf_dir, lambda s: s.select("user_id", "event_type").dropDuplicates(), "append")
