@@ -58,7 +58,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], k: int):
         self.ids = [r[0] for r in rows]
         data, at = K.bytes_of(pa.array([r[1] for r in rows], pa.string()))
-        h, first = K.words(data, at)
+        h, first = K.words(data, at, K.MARKS)
         self.words = [h[first[n] : first[n + 1]] for n in range(len(rows))]
         self.k = [min(k, len(w)) for w in self.words]
         self.seeds = {}
@@ -95,7 +95,8 @@ def _parts(benchmark: DataFrame, part: int) -> Iterator[list[tuple[int, str]]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage: float = COVERAGE, part: int = PART, text: str = "text") -> DataFrame:
     """``docs`` with ``n_items`` (items that share a tile), ``best_item``, ``best_coverage`` and ``contaminated`` (coverage reached).
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. An item of fewer than ``k`` words must be met whole; items
+    Words are runs of ASCII letters and digits and of other than ASCII characters, A-Z lower-cased, so punctuation and
+    layout do not hide a passage. An item of fewer than ``k`` words must be met whole; items
     without words or text match nothing. Null and empty texts are clean. Ties go to the smallest item id. Repeated rows
     get equal results; columns of the same names are replaced, others kept. The benchmark is sent out ``part`` bytes at a
     time, one pass over the documents for each part, so what is broadcast is bounded; documents are never shuffled.
@@ -112,7 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first_pass=first_pass) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, k)
             for chunk, data, at in K.chunks(batches, text):
-                h, first = K.words(data, at)
+                h, first = K.words(data, at, K.MARKS)
                 before = [None if first_pass else chunk.column(chunk.schema.get_field_index(c)).to_pylist() for c in ("n_items", "best_item", "best_coverage")]
                 n, best, cover = ([0] * chunk.num_rows, [None] * chunk.num_rows, [0.0] * chunk.num_rows) if first_pass else before
                 for d, found in items.candidates(h, first).items():

@@ -24,6 +24,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The same with ASCII punctuation and controls: words are runs of letters and digits.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _pow = {"n": 0}
 
 
@@ -88,14 +91,14 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U))
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased) in order, and for each text where its words begin."""
-    if lower:
-        data = LOWER[data]
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased) in order, and for each text where its words begin; ``between`` marks the bytes
+    that part words, by default those of ``[\\x20\\x09-\\x0D]``."""
+    data = LOWER[data]
     n = len(data)
     if not n:
         return np.zeros(0, U), np.zeros(len(at), np.int64)
-    letter = ~SPACE[data]
+    letter = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     start = np.flatnonzero(letter & (edge[:-1] | np.concatenate(([True], ~letter[:-1]))))

@@ -35,7 +35,7 @@ def test_reordered_passages_and_edge_cases(spark):
     w = item.split()
     bench = spark.createDataFrame([(7, item), (3, item), (8, None), (9, ""), (10, "two words")], "item_id long, text string")
     docs = spark.createDataFrame(
-        [(1, "x y " + item + " z"), (2, " ".join(w[10:] + ["mid"] + w[:10]).upper()), (3, " ".join(w[:10])), (4, "clean text of nothing"), (5, None), (6, ""), (7, "has Two words here"), (None, item), (1, "x y " + item + " z")],
+        [(1, "x y " + ", ".join(w) + "! z"), (2, " ".join(w[10:] + ["mid"] + w[:10]).upper()), (3, " ".join(w[:10])), (4, "clean text of nothing"), (5, None), (6, ""), (7, "has Two words here"), (None, item), (1, "x y " + item + " z")],
         "doc_id long, text string",
     )
     for part in (1 << 20, 10):
