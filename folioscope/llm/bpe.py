@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.operators.ship import ship
+
 NEVER = 1 << 60
 #: Pieces kept per worker; the table is emptied when it is full, so it is a bound on memory, not on input.
 CACHE = 800_000
@@ -161,6 +163,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
     ``ids`` is replaced, every other column is kept. No shuffle: one pass in Arrow batches. The vocabulary (under 2 MB)
     is sent with the plan, so executors need no file.
     """
+    ship(docs.sparkSession)
     spec = Path(vocabulary).read_text()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     schema = _renamed(docs.schema, (ids, T.ArrayType(T.IntegerType())))
@@ -182,6 +185,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with ``text``, the decoded ids (special tokens kept; null ids give null)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
     schema = _renamed(docs.schema, (text, T.StringType()))
     keep = [f.name for f in schema.fields if f.name != text]
@@ -199,6 +203,7 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", text: s
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the whole text encoded, its ids decoded again, both digested in one pass."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

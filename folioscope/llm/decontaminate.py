@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm import kernels as K
+from folioscope.operators.ship import ship
 
 #: Least words of a tile, least share of an item's words that tiles cover, and bytes of benchmark text sent out at once.
 TILE, COVERAGE, PART = 5, 0.8, 32 << 20
@@ -101,6 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = TILE, coverage
     get equal results; columns of the same names are replaced, others kept. The benchmark is sent out ``part`` bytes at a
     time, one pass over the documents for each part, so what is broadcast is bounded; documents are never shuffled.
     """
+    ship(docs.sparkSession)
     new = ("n_items", "best_item", "best_coverage", "contaminated")
     out = docs.drop(*new)
     schema = T.StructType(list(out.schema.fields)).add("n_items", "integer").add("best_item", "long").add("best_coverage", "double")

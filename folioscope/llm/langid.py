@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import kernels as K
+from folioscope.operators.ship import ship
 
 #: Labelled text per language, all languages together, and taken from one document, in bytes: the documented bounds of the fitted sample.
 PER_LANGUAGE, IN_ALL, PER_DOCUMENT = 48_000, 2_000_000, 400
@@ -157,6 +158,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text: str
     ``lang_pred`` or ``score`` are replaced, all others kept. One pass, no shuffle.
     """
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(samples)  # bounded by IN_ALL
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     work = docs.drop("lang_pred", "score").withColumn("__letters", has)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from folioscope.llm import kernels as K
 from folioscope.operators.components import connected_components, stored
 from folioscope.operators.prefilter import probably_in
+from folioscope.operators.ship import ship
 
 #: 40 permutations give 80 values, 20 bands of 4: two documents of similarity 0.85 share no bucket once in 2.5 million.
 PERMUTATIONS, ROWS = 40, 4
@@ -44,6 +45,7 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 def signatures(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, rows: int = ROWS, text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, lo, hi, bands``: size and 128-bit hash of each document's shingle set, and its band keys (none for an empty set)."""
+    ship(docs.sparkSession)
     permutations = -(-permutations // rows) * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +80,7 @@ def signatures(docs: DataFrame, k: int, permutations: int = PERMUTATIONS, rows:
 
 def shingle_sets(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
     """``doc_id, lo, hi, shingles``: the full sets."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, data, at in K.chunks(batches, text):

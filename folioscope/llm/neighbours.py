@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.components import connected_components, stored
+from folioscope.operators.ship import ship
 
 LIST, TREES, LEAF, ROUNDS = 10, 8, 32, 3
 #: Vectors audited, the recall to reach, and vectors in a block of the full search.
@@ -179,6 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     is its own id. Repeated rows (vec_id and vector) are one vector and get equal rows; rows of one vec_id with different
     vectors are vectors of their own. A null vec_id has no links and no component and is kept. Other columns are not read.
     """
+    ship(vectors.sparkSession)
     v = stored(nodes(vectors), "vectors")
     n = v.count()
     lists = stored(_best(_trees(v, n, TREES, 1), LIST), "lists")

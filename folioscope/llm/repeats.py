@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from folioscope.llm import kernels as K
 from folioscope.operators.components import stored
 from folioscope.operators.prefilter import probably_in
+from folioscope.operators.ship import ship
 
 LENGTH, GRAM = 200, 32
 #: Phrases that one task settles together; a trigger that leads more of them is settled string by string across tasks.
@@ -132,6 +133,7 @@ def _settled_apart(bodies: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int | None = None) -> DataFrame:
     """``keyed(k1, k2, text)`` to ``k1, k2, spans``: for each text with repeats, pieces (first, last start) of its repeated strings."""
+    ship(keyed.sparkSession)
     crowd = CROWD if crowd is None else crowd
     parsed = parse(keyed, length, gram)
     common = parsed.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
