@@ -51,4 +51,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == tuple(now):
             break
         state = tuple(now)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(e.select(F.col("v"), F.col("v")).distinct())

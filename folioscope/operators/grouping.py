@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.components import stored
+
 
 def sessions(df: DataFrame, by: str, ts: str, tie: str, gap_seconds: int) -> DataFrame:
     """``session`` (from 1) within each ``by``: a new one after a pause of the gap or longer."""
@@ -47,13 +49,23 @@ def protected(df: DataFrame, group: str, hit: Column, least: int = 6, share: flo
     return out.withColumn("released", F.when((F.col("n") >= least) & (F.col("hits") < F.col("n") * share), F.lit(0).cast("long")).otherwise(F.col("hits")))
 
 
+def running_total(df: DataFrame, order: Column, value: Column) -> DataFrame:
+    """``df`` with ``before``: the sum of ``value`` over all rows that come earlier in ``order``, which must be unique.
+
+    Rows are dealt by range and written, so their parts stay the same; each part sums its own, and the parts' totals, one
+    row for each, are added up. No task sees all rows.
+    """
+    parts = stored(df.withColumn("__v", value).repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranges")
+    inside = parts.withColumn("__in", F.sum("__v").over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    totals = parts.groupBy("__p").agg(F.sum("__v").alias("__n"))
+    ahead = totals.withColumn("__o", F.expr("sum(__n) over (order by __p rows between unbounded preceding and 1 preceding)")).drop("__n")
+    out = inside.join(F.broadcast(ahead), "__p")  # as many rows as there are partitions
+    return out.withColumn("before", (F.coalesce("__in", F.lit(0)) + F.coalesce("__o", F.lit(0))).cast("long")).drop("__p", "__v", "__in", "__o")
+
+
 def systematic(df: DataFrame, key: str, every: int) -> DataFrame:
-    """Every k-th row by key. Ranks come from a range-partitioned sort with per-partition offsets, not from one task."""
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__i", F.expr(f"row_number() over (partition by __p order by {key})"))
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    offset = sizes.withColumn("__o", F.expr("coalesce(sum(__n) over (order by __p rows between unbounded preceding and 1 preceding), 0)")).drop("__n")
-    return parts.join(F.broadcast(offset), "__p").withColumn("rank", F.col("__i") + F.col("__o")).where(F.col("rank") % every == 0).drop("__p", "__i", "__o")
+    """Every k-th row by a unique key, with its ``rank``."""
+    return running_total(df, F.col(key).asc(), F.lit(1)).withColumn("rank", F.col("before") + 1).where(F.col("rank") % every == 0).drop("before")
 
 
 def unique_labels(df: DataFrame, label: str, order: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -88,15 +89,15 @@ def ranked(docs: DataFrame, weights: dict[str, float], terms: list[Term], limit:
     weighed = [sum((F.lit(float(w)) * hits(F.col(c), t) for c, w in weights.items() if t.column in (None, c)), F.lit(0.0)).alias(f"f{i}") for i, t in enumerate(terms)]
     main = list(weights)[-1]
     counted = rows.select(key, size.alias("len"), *weighed, F.when(first_hit(F.col(main), terms[0]).isNotNull(), text.excerpt(F.col(main), first_hit(F.col(main), terms[0]))).alias("excerpt"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
+    s = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))]).first()  # one row of figures
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(1e-6)
+        idf = math.log((s.n - s[f"n{i}"] + 0.5) / (s[f"n{i}"] + 0.5))
+        idf = idf if idf > 0 else 1e-6
         f = F.col(f"f{i}")
-        score = score - idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
+        score = score - F.lit(idf) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(s.avg_len)))
     matched = counted.where(" and ".join(f"f{i} > 0" for i in range(len(terms))))
-    found = matched.join(F.broadcast(stats)).select(key, round6(score).alias("score"), "excerpt")  # stats is one row
+    found = matched.select(key, round6(score).alias("score"), "excerpt")
     top = found.orderBy("score", key).limit(min(limit, MOST))
     return top.withColumn("rank", F.expr(f"row_number() over (order by score, {key})").cast("long"))
 

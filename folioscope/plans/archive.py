@@ -117,8 +117,8 @@ SELECT c_custkey, m + row_number() OVER (ORDER BY c_custkey) AS number FROM cust
 def next_numbers(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     new = grouping.systematic(c.where("c_acctbal < 0").select("c_custkey"), "c_custkey", 1)
-    top = c.where("c_acctbal >= 0").agg(F.max("c_custkey").alias("m"))
-    return new.join(F.broadcast(top)).select("c_custkey", (F.col("m") + F.col("rank")).cast("long").alias("number"))  # top is one row
+    top = c.where("c_acctbal >= 0").agg(F.max("c_custkey")).first()[0] or 0
+    return new.select("c_custkey", (F.lit(top) + F.col("rank")).cast("long").alias("number"))
 
 
 @query("SELECT lower(p_name) || '/' || lower(p_brand) AS path, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS parts FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -163,8 +163,8 @@ SELECT p_partkey, key, rank() OVER (ORDER BY key) AS place FROM k
 """)
 def catalog_sort_title(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", text.title_key(F.col("p_name")).alias("key"))
-    # ranks of distinct keys, few and small, come back to the rows: no single-task window over all rows
-    sizes = p.withColumnRenamed("key", "k").groupBy("k").agg(F.count("*").alias("n")).withColumn("place", F.expr("coalesce(sum(n) over (order by k asc nulls last rows between unbounded preceding and 1 preceding), 0) + 1"))
+    sizes = p.withColumnRenamed("key", "k").groupBy("k").agg(F.count("*").alias("n"))
+    sizes = grouping.running_total(sizes, F.col("k").asc_nulls_last(), F.col("n")).withColumn("place", F.col("before") + 1)
     return p.join(sizes, F.col("key").eqNullSafe(F.col("k"))).select("p_partkey", "key", *longs("place"))
 
 
