@@ -38,8 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their text, and whether these decode to the text again."""
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs, queries.VOCABULARY), queries.VOCABULARY)
-    return coded.select(*docs.columns, "token_ids", F.coalesce(F.size("token_ids"), F.lit(0)).alias("n_tokens"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = bpe.bpe_encode(docs, queries.VOCABULARY, round_trip="round_trip")
+    return coded.select(*docs.columns, "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -24,7 +24,7 @@ from folioscope.operators.ship import ship
 
 NEVER = 1 << 60
 #: Pieces kept per worker; the table is emptied when it is full, so it is a bound on memory, not on input.
-CACHE = 800_000
+CACHE = 250_000
 #: How byte-level vocabularies split a text before merging (a fixed public pattern).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -122,7 +122,7 @@ class PrefixEncoder:
                 key = last[start] << 32 | token
                 fits = ok.get(key)
                 if fits is None:
-                    if len(ok) >= 4 * CACHE:
+                    if len(ok) >= 2 * CACHE:
                         ok.clear()
                     fits = ok[key] = self.compatible(last[start], token)
                 if not fits:
@@ -156,9 +156,11 @@ def _renamed(schema: T.StructType, *new: tuple[str, T.DataType]) -> T.StructType
     return T.StructType([f for f in schema.fields if f.name not in fresh] + [T.StructField(n, t) for n, t in new])
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", round_trip: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` array<int>, the exact BPE ids of the whole text under the vocabulary file at ``vocabulary``.
 
+    With ``round_trip``, a boolean column of that name tells whether the ids decode to the text again, in the same pass.
+
     A null or empty text has no ids. Rows are independent, so repeated rows get equal ids; a column already called
     ``ids`` is replaced, every other column is kept. No shuffle: one pass in Arrow batches. The vocabulary (under 2 MB)
     is sent with the plan, so executors need no file.
@@ -166,19 +168,23 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
     ship(docs.sparkSession)
     spec = Path(vocabulary).read_text()
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    schema = _renamed(docs.schema, (ids, T.ArrayType(T.IntegerType())))
-    keep = [f.name for f in schema.fields if f.name != ids]
+    new = [(ids, T.ArrayType(T.IntegerType())), *([(round_trip, T.BooleanType())] if round_trip else [])]
+    schema = _renamed(docs.schema, *new)
+    keep = [f.name for f in schema.fields if f.name not in (ids, round_trip)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 batch = big.slice(i, 500)
-                found = [enc.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+                found = [enc.encode(t or "") for t in texts]
                 flat = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
                 at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [column], names=[*keep, ids])
+                columns = [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+                if round_trip:
+                    columns.append(pa.array([enc.decode(np.frombuffer(x, "<u4").tolist()) == (t or "") for x, t in zip(found, texts, strict=True)]))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + columns, names=[*keep, *(n for n, _ in new)])
 
     return docs.mapInArrow(run, schema)
 

@@ -29,4 +29,6 @@ def test_round_trip_keeps_columns_and_whole_documents(spark, sf):
     out = bpe.bpe_decode(bpe.bpe_encode(docs, PATH), PATH)
     assert out.columns == [*docs.columns, "token_ids", "decoded"]
     assert out.where("not (text <=> decoded)").count() == 0
+    both = bpe.bpe_encode(docs, PATH, round_trip="lang")
+    assert both.columns == [*(c for c in docs.columns if c != "lang"), "token_ids", "lang"] and both.where("lang").count() == docs.count()
     assert bpe.bpe_encode(docs.limit(0), PATH).count() == 0
