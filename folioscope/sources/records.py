@@ -110,3 +110,55 @@ def settings_map(settings: DataFrame) -> DataFrame:
     """One row: all key-value settings as a map (the last of a repeated key in key order wins)."""
     s = settings.groupBy("key").agg(F.max("value").alias("value"))
     return s.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"))
+
+
+def solr_docs(xml: Column) -> Column:
+    """array<map(field, array of values)> of the docs of a Solr answer; a scalar is an array of one."""
+    docs = F.regexp_extract_all(xml, F.lit("(?s)<doc>(.*?)</doc>"), F.lit(1))
+
+    def fields(d: Column) -> Column:
+        scalars = F.regexp_extract_all(F.regexp_replace(d, r"(?s)<arr .*?</arr>", ""), F.lit(r'(?s)(<(?:str|int|long|float|double|bool|date) name="[^"]+">.*?</)'), F.lit(1))
+        one = F.transform(scalars, lambda s: F.struct(F.regexp_extract(s, 'name="([^"]+)"', 1).alias("k"), F.array(decoded(F.regexp_extract(s, "(?s)>(.*)</$", 1))).alias("v")))
+        arrays = F.regexp_extract_all(d, F.lit(r'(?s)(<arr name="[^"]+">.*?</arr>)'), F.lit(1))
+        many = F.transform(arrays, lambda a: F.struct(F.regexp_extract(a, 'name="([^"]+)"', 1).alias("k"), F.transform(F.regexp_extract_all(a, F.lit(r"(?s)<(?:str|int|long|float|double|bool|date)>(.*?)</"), F.lit(1)), decoded).alias("v")))
+        return F.map_from_entries(F.concat(one, many))
+
+    return F.transform(docs, fields)
+
+
+def media_tags(probe: Column) -> Column:
+    """struct(tags map with lower-case keys, duration) of a media probe's JSON answer."""
+    p = F.from_json(probe, "format struct<duration:string,tags:map<string,string>>")
+    return F.struct(F.transform_keys(p["format"]["tags"], lambda k, _: F.lower(k)).alias("tags"), p["format"]["duration"].try_cast("double").alias("duration"))
+
+
+def zip_members(files: DataFrame, pattern: str, most: int = 1 << 24) -> DataFrame:
+    """``path, member, content`` of the members of ZIP files(path, content) whose names match; larger members than ``most`` are an error."""
+    import io
+    import re
+    import zipfile
+
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if r["content"] is None or not zipfile.is_zipfile(io.BytesIO(r["content"])):
+                    continue
+                with zipfile.ZipFile(io.BytesIO(r["content"])) as z:
+                    for m in z.infolist():
+                        if re.search(pattern, m.filename) and not m.is_dir():
+                            if m.file_size > most:
+                                raise ValueError(f"{m.filename} in {r['path']} has {m.file_size} bytes")
+                            rows.append((r["path"], m.filename, z.read(m)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], names=["path", "member", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, member string, content binary")
+
+
+def score_metadata(xml: Column) -> Column:
+    """struct of a score's title, subtitle, composer, arranger, lyricist and rights: the first value that is no placeholder."""
+    none = r"(?i)^\s*(\[?(title|subtitle|composer|arranger|lyricist|copyright|untitled)\]?)?\s*$"
+    one = lambda n: F.get(F.filter(xml_texts(xml, n), lambda v: ~v.rlike(none)), F.lit(0)).alias(n)
+    return F.struct(*[one(n) for n in ("title", "subtitle", "composer", "arranger", "lyricist", "rights")])
