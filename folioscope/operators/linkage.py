@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from folioscope.functions import similarity
 
 
-def word_pairs(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
-    """Pairs of a(id, words) and b(match, words) that share one of the ``block`` rarest of b's words: ``id, match, words, words_b``.
+def word_pairs(a: DataFrame, b: DataFrame, share: float, ratio: float | None = None) -> DataFrame:
+    """Pairs of a(id, words) and b(match, words) that may share at least ``share`` of b's words: ``id, match, words, words_b``.
 
-    With block = |B| - ceil(t * |B|) + 1 no pair with containment t or more is lost; the rarest words keep blocks small.
+    A pair that does shares one of the n - ceil(share * n) + 1 rarest of b's n words, and only these are joined. With
+    ``ratio``, rows of a with over ratio * n words are left out (a Dice coefficient of t allows (2 - t) / t).
     """
-    wb = b.select("match", F.col("words").alias("words_b"), F.explode("words").alias("w"))
-    df = a.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    order = wb.join(df, "w").withColumn("r", F.expr("row_number() over (partition by match order by df, w)")).where(F.col("r") <= block)
-    hit = a.select("id", F.explode("words").alias("w")).join(order.select("w", "match"), "w").select("id", "match").distinct()
+    wa = a.select("id", F.size("words").alias("na"), F.explode("words").alias("w"))
+    wb = b.select("match", F.size("words").alias("nb"), F.explode("words").alias("w"))
+    df = wa.join(wb.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    order = wb.join(df, "w", "left").withColumn("r", F.expr("row_number() over (partition by match order by coalesce(df, 0), w)"))
+    rare = order.where(F.col("r") <= F.col("nb") - F.ceil(F.col("nb") * F.lit(share) - 1e-9) + 1).select("w", "match", "nb")
+    hit = wa.join(rare, "w")
+    if ratio is not None:
+        hit = hit.where(F.col("na") <= F.col("nb") * ratio + 1e-9)
+    hit = hit.select("id", "match").distinct()
     return hit.join(a.select("id", "words"), "id").join(b.select("match", F.col("words").alias("words_b")), "match")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 from folioscope.operators.components import shared_dir
 
 PACKAGE = Path(__file__).resolve().parent.parent
+#: Bytes of an Arrow batch where the session leaves Spark's default of 64 MB: texts are wide rows, and both sides hold a batch.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def packed() -> bytes:
@@ -25,6 +27,8 @@ def packed() -> bytes:
 def ship(spark: SparkSession) -> None:
     """Adds the package to the session's Python files once, through the folder that all executors share."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, "67108864b").removesuffix("b") == str(64 << 20):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if getattr(sc, "_folioscope_shipped", False):
         return
     path = f"{shared_dir(spark)}/{sc.applicationId}/folioscope.zip"

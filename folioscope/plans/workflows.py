@@ -77,13 +77,13 @@ def space_audit(aside: DataFrame, kept: DataFrame) -> DataFrame:
     return aside.join(same, "sha256", "left").select("path", "twin", F.when(F.col("twin").isNotNull(), "safe").otherwise("to check").alias("state"))
 
 
-def existing_work(new: DataFrame, known: DataFrame, block: int = 8) -> DataFrame:
+def existing_work(new: DataFrame, known: DataFrame) -> DataFrame:
     """``id, match``: for new records the known work without a file they belong to, by words, surname and year; smallest id.
 
     Frames have id, title, surname, date.
     """
     words = lambda f, n: f.select(F.col("id").alias(n), text.words(F.col("title")).alias("words"))
-    pairs = linkage.word_pairs(words(new, "id"), words(known, "match"), block)
+    pairs = linkage.word_pairs(words(new, "id"), words(known, "match"), 1 / 3)  # each rule needs more than that
     a, b = new.select("id", F.col("surname").alias("sa"), F.col("date").alias("da")), known.select(F.col("id").alias("match"), F.col("surname").alias("sb"), F.col("date").alias("db"))
     j = pairs.join(a, "id").join(b, "match")
     x, y = text.normalise(F.col("sa")), text.normalise(F.col("sb"))
