@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.llm import kernels as K
 from folioscope.operators.ship import ship
 
 NEVER = 1 << 60
@@ -146,7 +147,7 @@ class PrefixEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def encoder(spec: str) -> PrefixEncoder:
     return PrefixEncoder(spec)
 
@@ -185,6 +186,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str =
                 if round_trip:
                     columns.append(pa.array([enc.decode(np.frombuffer(x, "<u4").tolist()) == (t or "") for x, t in zip(found, texts, strict=True)]))
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + columns, names=[*keep, *(n for n, _ in new)])
+        K.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -227,6 +229,7 @@ def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        K.release()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,18 +1,20 @@
 """Vectorised text kernels shared by the operators: Arrow batches in, numpy arrays out.
 
 Texts of a batch are looked at as one byte buffer, a chunk of about ``CHUNK`` bytes at a time, so a worker holds a few
-dozen MB whatever the batch size. A text longer than a chunk makes a chunk of its own and is never cut.
+dozen MB whatever the batch size; memory freed at the end of a task goes back to the system, as workers are kept. A text longer than a chunk makes a chunk of its own and is never cut.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -33,7 +35,7 @@ _pow = {"n": 0}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if _pow["n"] < n:
-        m = max(n, 2 * CHUNK)
+        m = max(n, CHUNK + 2)
         for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
             out = np.full(m, base, U)
             out[0] = 1
@@ -49,6 +51,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def release() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and where each begins (one more than texts); null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -74,6 +83,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             j = min(j, batch.num_rows)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+    release()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

@@ -122,7 +122,7 @@ class CrossParser:
         return out
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(1)
 def parser(samples: tuple[tuple[str, bytes], ...]) -> CrossParser:
     return CrossParser(samples)
 
