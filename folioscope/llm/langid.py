@@ -130,21 +130,21 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> CrossParser:
 def fit(labelled: DataFrame, seed: int = 17) -> tuple[tuple[str, bytes], ...]:
     """(language, normalised text) learnt from ``labelled(text, lang)``: rows with text and a language, in hash order, a bounded piece of each."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null").withColumn("k", F.xxhash64(F.lit(seed), "text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n_languages = counts.count()
+    share = min(PER_LANGUAGE, IN_ALL // n_languages) if n_languages else 0
+    if not share:
         return ()
-    share = min(PER_LANGUAGE, IN_ALL // len(counts))
     want = -(-4 * share // PER_DOCUMENT)  # rows looked at for each language; short rows give less
-    odds = F.lit(0.0)
-    for lang, n in counts.items():
-        odds = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * want / n))).otherwise(odds)
-    picked = rows.where(F.pmod("k", F.lit(1 << 20)) < odds * (1 << 20)).select("lang", "k", F.substring("text", 1, PER_DOCUMENT).alias("piece"))
+    odds = F.least(F.lit(1.0), F.lit(2.0 * want) / F.col("n"))
+    slim = rows.select("lang", "k", F.substring("text", 1, PER_DOCUMENT).alias("piece"))
+    picked = slim.join(F.broadcast(counts), "lang").where(F.pmod("k", F.lit(1 << 20)) < odds * (1 << 20)).drop("n")  # IN_ALL languages at most
     pieces: dict[str, list[str]] = {}
     for r in picked.distinct().orderBy("lang", "k", "piece").collect():
         pieces.setdefault(r.lang, []).append(r.piece)
     out = []
-    for lang in sorted(counts):
-        data = np.frombuffer(" ".join(pieces.get(lang, [])).encode(), np.uint8)
+    for lang in sorted(pieces):
+        data = np.frombuffer(" ".join(pieces[lang]).encode(), np.uint8)
         text, _ = normalised(data, np.array([0, len(data)]))
         out.append((lang, text[:share].tobytes()))
     return tuple(out)
