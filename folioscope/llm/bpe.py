@@ -147,9 +147,8 @@ class PrefixEncoder:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@functools.lru_cache(1)
 def encoder(spec: str) -> PrefixEncoder:
-    return PrefixEncoder(spec)
+    return K.kept("bpe", spec, lambda: PrefixEncoder(spec))
 
 
 def _renamed(schema: T.StructType, *new: tuple[str, T.DataType]) -> T.StructType:

@@ -58,6 +58,19 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_kept: dict = {}
+
+
+def kept(kind: str, key, build):
+    """What ``build()`` makes of ``key``, kept for the worker's next tasks. A worker keeps one such table: the next kind takes its place."""
+    if _kept.get("of") != (kind, key):
+        _kept.clear()
+        release()
+        _kept.update(value=build(), of=(kind, key))
+        release()
+    return _kept["value"]
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and where each begins (one more than texts); null is empty."""
     if isinstance(texts, pa.ChunkedArray):

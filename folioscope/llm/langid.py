@@ -8,7 +8,6 @@ thousands of blocks of text advance one byte at a time, all languages together.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,21 +81,26 @@ class CrossParser:
         self.symbol = np.zeros(256, np.uint8)
         self.symbol[seen] = np.arange(1, self.width)
         tables, self.roots, base = [], [], 0
+        entry = np.int32 if 8 * self.width * sum(1 + len(t) for _, t in samples) < 2**31 else np.int64  # under two states a byte
         for _, text in samples:
             move = suffix_automaton(text)
-            t = np.full((len(move), self.width), -1, np.int64)
+            t = np.full((len(move), self.width), -1, entry)
             for s, row in enumerate(move):
                 for c, n in row.items():
                     t[s, self.symbol[c]] = n
+            size = len(move)
+            del move
             restart = np.where(t[0] < 0, 0, t[0])  # the byte that failed begins the next phrase
-            dead = t < 0
-            ended = dead * (1 + dead[0])  # a byte that the language lacks is a phrase of its own
-            ended[0] = dead[0]  # at the root no phrase has begun
-            t = (np.where(dead, restart, t) + base) * self.width << 2 | ended
+            for c in range(self.width):  # one symbol at a time: the table is large
+                column = t[:, c]
+                dead = column < 0
+                ended = dead * (1 + dead[0])  # a byte that the language lacks is a phrase of its own
+                ended[0] = dead[0]  # at the root no phrase has begun
+                t[:, c] = (np.where(dead, restart[c], column) + base) * self.width << 2 | ended
             self.roots.append(base * self.width)
-            base += len(move)
+            base += size
             tables.append(t)
-        self.table = np.concatenate(tables).ravel().astype(np.int32 if base * self.width < 2**29 else np.int64) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def phrases(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases by text and language, for normalised bytes. A block counts its finished phrases and one more."""
@@ -122,9 +126,8 @@ class CrossParser:
         return out
 
 
-@functools.lru_cache(1)
 def parser(samples: tuple[tuple[str, bytes], ...]) -> CrossParser:
-    return CrossParser(samples)
+    return K.kept("languages", samples, lambda: CrossParser(samples))
 
 
 def fit(labelled: DataFrame, seed: int = 17) -> tuple[tuple[str, bytes], ...]:
