@@ -1,8 +1,9 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Bigram counts of the whole training text are quantised to powers of two; a bigram of level q stands in the filter q
-times, once for each level up to its own, so repeated membership probes read its level back. A count of one has level
-0 and takes no room. The filter is broadcast; word counts are exact and come to the documents block by block.
+Bigram counts of the whole training text are quantised to powers of two; a bigram counted c times stands in the filter
+1 + floor(log2 c) times, once for each level up to its own, so repeated membership probes read its level back. The
+filter grows with its entries and lies in segments by hash, which the bigrams of each block of documents meet in one
+shuffle; word counts are exact and come to the documents block by block.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +22,8 @@ from folioscope.llm import kernels as K
 from folioscope.operators.components import stored
 from folioscope.operators.ship import ship
 
-#: Bits for each entry, probes of each, and the most bytes of filter that are broadcast: with more entries than fit at
-#: BITS, the share of false readings rises, but no bigram is left out.
-BITS, PROBES, FILTER_BYTES = 12.0, 6, 256 << 20
+#: Bits for each entry, and probes of each.
+BITS, PROBES = 12.0, 6
 #: Strength of the word distribution in that of a word after another (Dirichlet smoothing).
 SMOOTHING = 2000.0
 #: Bytes of text in a block of documents and in a segment of bigrams; most segments made in one pass.
@@ -134,12 +135,12 @@ class Filter:
         self.coarse, self.more, self.first, self.data = coarse, more, first, data
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Level of each bigram hash: probed level by level until one is missing."""
-        out = np.zeros(len(h), np.int8)
+        """floor(log2 c) of each bigram hash, -1 for one that is not in the filter: probed level by level until one is missing."""
+        out = np.full(len(h), -1, np.int8)
         live = np.arange(len(h))
-        level = 0
-        while len(live) and level < 48:
-            level += 1
+        for level in range(48):
+            if not len(live):
+                break
             x = h[live]
             seg = (x >> np.uint64(64 - self.coarse) << np.uint64(self.more) | (x & LOW) >> np.uint64(40 - self.more)).astype(np.int64)
             start, size = self.first[seg], self.first[seg + 1] - self.first[seg]
@@ -154,37 +155,70 @@ class Filter:
         return out
 
 
-def fit(train: DataFrame, n_bytes: int, limit: int = FILTER_BYTES) -> tuple[Filter, int, float]:
-    """The filter of all bigrams of ``train(text)``, its tokens, and an estimate of its distinct ones (smallest-values sketch)."""
-    ship(train.sparkSession)
-    bits = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT))))
-    coarse = min(bits, int(math.log2(SPLIT)))
-    counted = stored(_counted(train, coarse), "bigrams")
-    stats = counted.where("segment < 0").select("words", "sketch")
+def _segment(h: np.ndarray, n: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Bytes of a filter segment of distinct bigrams counted ``n`` times, BITS for each entry, in at most ``most`` bits."""
+    h, n = h[n > 0], n[n > 0]
+    if not len(h):
+        return np.zeros(0, np.uint8)
+    level = np.floor(np.log2(n)).astype(np.int64)
+    size = max(8, int((level + 1).sum() * BITS))
+    size = (size if most is None else min(most, size)) & ~7
+    flags = np.zeros(size, np.uint8)
+    for q in range(int(level.max()) + 1):
+        for slot in _slots(h[level >= q], q, np.uint64(size)):
+            flags[slot] = 1
+    return np.packbits(flags, bitorder="little")
+
+
+def _sketched(train: DataFrame) -> tuple[int, float]:
+    """Tokens of ``train(text)``, and an estimate of its distinct ones (smallest-values sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sketch = 0, np.zeros(0, np.uint64)
+        for _, data, at in K.chunks(batches):
+            h, _ = tokens(data, at)
+            total += len(h)
+            if len(sketch) == SKETCH:
+                h = h[h < sketch[-1]]
+            sketch = np.unique(np.concatenate((sketch, h)))[:SKETCH]
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sketch.tobytes()], pa.binary())], names=["words", "sketch"])
+
+    return _merged(train.mapInArrow(run, "words long, sketch binary"))
+
+
+def _merged(stats: DataFrame) -> tuple[int, float]:
     total, sketch = 0, np.zeros(0, np.uint64)
     for r in stats.toLocalIterator():  # 32 kB for each task
         total += r.words
         sketch = np.unique(np.concatenate((sketch, np.frombuffer(r.sketch, np.uint64))))[:SKETCH]
-    distinct = float(len(sketch)) if len(sketch) < SKETCH else (SKETCH - 1) / (float(sketch[-1]) / 2.0**64)
+    return total, float(len(sketch)) if len(sketch) < SKETCH else (SKETCH - 1) / (float(sketch[-1]) / 2.0**64)
+
+
+def fit(train: DataFrame, n_bytes: int, limit: int | None = None) -> tuple[Filter, int, float]:
+    """The filter of all bigrams of ``train(text)`` in one piece on the driver, its tokens, and an estimate of its distinct ones.
+
+    For texts whose filter fits there, or is to be held in ``limit`` bytes: with more entries than fit at BITS, the share
+    of false readings rises. ``score`` reads segments where they are built instead.
+    """
+    ship(train.sparkSession)
+    bits = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT))))
+    coarse = min(bits, int(math.log2(SPLIT)))
+    counted = stored(_counted(train, coarse), "bigrams")
+    total, distinct = _merged(counted.where("segment < 0").select("words", "sketch"))
     pieces = counted.where("segment >= 0").select("segment", "low", "high", "many")
     if bits > coarse:
         pieces = _finer(pieces, bits - coarse)
-    most = max(8, limit * 8 >> bits)
+    most = None if limit is None else max(8, limit * 8 >> bits)
 
     def build(table: pa.Table) -> pa.Table:
         h, n = _unpacked(*(table.column(c).to_pylist() for c in ("low", "high", "many")))
         h, where = np.unique(h, return_inverse=True)
-        level = np.floor(np.log2(np.bincount(where, n, minlength=len(h)))).astype(np.int64)
-        size = min(most, max(8, int(level.sum() * BITS))) & ~7
-        flags = np.zeros(size, np.uint8)
-        for q in range(1, int(level.max(initial=0)) + 1):
-            for slot in _slots(h[level >= q], q, np.uint64(size)):
-                flags[slot] = 1
-        data = np.packbits(flags, bitorder="little").tobytes() if level.any() else b""
+        data = _segment(h, np.bincount(where, n, minlength=len(h)), most).tobytes()
         return pa.table({"segment": table.column("segment").slice(0, 1), "data": pa.array([data], pa.binary())})
 
     found = stored(pieces.groupBy("segment").applyInArrow(build, "segment long, data binary"), "filter")
-    parts: dict[int, bytes] = {r.segment: r.data for r in found.toLocalIterator()}  # FILTER_BYTES at most
+    parts: dict[int, bytes] = {r.segment: r.data for r in found.toLocalIterator()}
     size = np.array([8 * len(parts.get(s, b"")) for s in range(1 << bits)], np.int64)
     return Filter(coarse, bits - coarse, np.concatenate(([0], np.cumsum(size))), np.frombuffer(b"".join(parts.get(s, b"") for s in range(1 << bits)), np.uint8)), total, distinct
 
@@ -193,7 +227,7 @@ _STATS = (("n_tokens", "long"), ("n_known", "long"), ("logs", "double"), ("score
 NEW = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", limit: int = FILTER_BYTES, smoothing: float = SMOOTHING) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, text: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
     """``docs`` without its text, with ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Whole texts are tokenised: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token. Documents for which
@@ -202,16 +236,17 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", limit: int = FI
     A null text is empty: one token, the end. Repeated rows count as often as they stand there and get equal scores.
     Nothing to learn from gives c = N = V = 0. Columns of the same names are replaced, all others but the text kept.
 
-    Plan: one scan counts bigrams; documents are dealt into blocks by a hash of the row, a block's distinct words meet
-    their totals by one shuffle on the word's hash, pre-aggregated to one row for each word and block, and come back.
+    Plan: one scan counts tokens; documents are dealt into blocks by a hash of the row, a block's distinct words meet
+    their totals by one shuffle on the word's hash, pre-aggregated to one row for each word and block, and come back. So
+    do its distinct bigrams, packed by segment: each segment of the filter is built and read in one task, of about
+    SEGMENT bytes of text whatever the input, and the levels go back in the order of the hashes.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.withColumn("__held", F.coalesce(held_out, F.lit(False)))
     docs = docs.select(*[F.col(c) for c in docs.columns if c not in (*NEW, text, "__held")], F.col("__held").alias("held_out"), F.col(text).cast("string").alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found, total, distinct = fit(docs.where("not held_out").select("text"), n_bytes, limit)
-    shared = spark.sparkContext.broadcast(found)
+    total, distinct = _sketched(docs.where("not held_out").select("text"))
     norm = total + 0.1 * (distinct + 1)
     n_blocks = max(1, -(-n_bytes // BLOCK))
     kept = [f for f in docs.schema.fields if f.name != "text"]
@@ -231,6 +266,41 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", limit: int = FI
         n = np.bincount(inverse, np.concatenate(counts), minlength=len(w)).astype(np.int64)
         return pa.table({"__block": pa.array(np.full(len(w), table.column("__block")[0].as_py(), np.int64)), "w": K.long_column(w), "n": pa.array(n)})
 
+    bits = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT))))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        held, parts, counts = table.column("held_out").to_numpy(zero_copy_only=False), [], []
+        row = 0
+        for chunk, data, at in K.chunks(table.to_batches()):
+            h, first = tokens(data, at)
+            parts.append(bigrams(h, first))
+            counts.append(np.repeat(~held[row : row + chunk.num_rows], np.diff(first)))
+            row += chunk.num_rows
+        h, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(counts), minlength=len(h)).astype("<u4")
+        seg = (h >> np.uint64(64 - bits)).astype(np.int64)
+        cut = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(h)]
+        low, high = ((h & LOW) & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h & LOW) >> np.uint64(32)).astype(np.uint8)
+        few, many = np.minimum(n, 255).astype(np.uint8), n >= 255
+        spans = list(zip(cut[:-1], cut[1:], strict=True))
+        cols = ([x[a:b].tobytes() for a, b in spans] for x in (low, high, few))
+        over = [n[a:b][many[a:b]].tobytes() for a, b in spans]
+        block = np.full(len(spans), table.column("__block")[0].as_py(), np.int64)
+        return pa.table({"__block": block, "segment": seg[cut[:-1]], **{k: pa.array(c, pa.binary()) for k, c in zip(("low", "high", "few", "many"), (*cols, over), strict=True)}})
+
+    def read(table: pa.Table) -> pa.Table:
+        low, high, few, many = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", "<u4"), ("high", np.uint8), ("few", np.uint8), ("many", "<u4")))
+        h, where = np.unique(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), return_inverse=True)
+        n = few.astype(np.int64)
+        n[few == 255] = many
+        data = _segment(h, np.bincount(where, n, minlength=len(h)))
+        level = Filter(0, 0, np.array([0, 8 * len(data)]), data).levels(h)[where]
+        cut = np.cumsum([0, *(len(x) for x in table.column("few").to_pylist())])
+        levels = pa.array([level[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.table({"__block": table.column("__block"), "segment": table.column("segment"), "levels": levels})
+
+    packed = blocks.groupBy("__block").applyInArrow(pairs, "__block long, segment long, low binary, high binary, few binary, many binary")
+    levels = packed.groupBy("segment").applyInArrow(read, "__block long, segment long, levels binary")
     words = blocks.groupBy("__block").applyInArrow(vocabulary, "__block long, w long, n long")
     by_word = "over (partition by w)"
     known = words.select("__block", "w", F.expr(f"sum(n) {by_word}").alias("c"), "n", F.expr("row_number() over (partition by w order by __block) = 1").alias("lead"))
@@ -239,11 +309,15 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", limit: int = FI
         schema = schema.add(name, kind)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_word = pc.is_null(right.column("segment"))
+        read_back, right = right.filter(pc.invert(is_word)).sort_by("segment"), right.filter(is_word)
         w = right.column("w").to_numpy().view(np.uint64)
         order = np.argsort(w)
         w, c = w[order], right.column("c").to_numpy()[order].astype(np.float64)
         lead = right.column("lead").to_numpy(zero_copy_only=False)
-        flt: Filter = shared.value
+        h = np.concatenate([bigrams(*tokens(data, at)) for _, data, at in K.chunks(left.to_batches())])
+        level_of = np.frombuffer(b"".join(read_back.column("levels").to_pylist()), np.int8)[np.unique(h, return_inverse=True)[1]]
+        row = 0
         starts = c[np.searchsorted(w, END)]  # texts learnt from
         cols = {name: [] for name, _ in _STATS[:4]}
         for _, data, at in K.chunks(left.to_batches()):
@@ -251,8 +325,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", limit: int = FI
             n = c[np.searchsorted(w, h)]
             before = np.concatenate(([0.0], n[:-1]))
             before[first[:-1]] = starts
-            level = flt.levels(bigrams(h, first))
-            pair = np.where(level > 0, np.minimum(1.4 * 2.0**level, np.minimum(before, n)), 0.0)
+            level = level_of[row : row + len(h)]
+            row += len(h)
+            seen = np.where(level > 0, 1.4 * 2.0**level, 1.0)  # level 0 is a count of one
+            pair = np.where(level >= 0, np.minimum(seen, np.minimum(before, n)), 0.0)
             p = (pair + smoothing * (n + 0.1) / norm) / (before + smoothing)
             cols["n_tokens"].append(np.diff(first))
             cols["n_known"].append(np.add.reduceat((n > 0).astype(np.int64), first[:-1]))
@@ -265,6 +341,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", limit: int = FI
         stat |= {"words": pa.array([int(right.column("n").to_numpy().sum())]), "types": pa.array([int((lead & (right.column("c").to_numpy() > 0)).sum())]), "is_stat": pa.array([True])}
         return pa.concat_tables([out, pa.table(stat)])
 
+    known = known.unionByName(levels, allowMissingColumns=True)
     rows = stored(blocks.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(judge, schema), "scores")
     stats = rows.where("is_stat").agg(F.sum("words").alias("n"), F.sum("types").alias("v")).first()
     n, v = stats.n or 0, stats.v or 0

@@ -62,3 +62,34 @@ def test_sql_agrees_and_held_out_texts_score_better_than_by_words_alone(spark):
     held = [r for r in got.values() if r.held_out]
     print("held out: base", sum(r.base_score for r in held), "model", sum(r.score for r in held))
     assert sum(r.score for r in held) >= sum(r.base_score for r in held)
+
+
+def test_bigrams_seen_once_count_and_the_filter_grows_with_them(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 60) % 400) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    toks = [[*t.split(), None] for t in texts]
+    held = [i % 3 == 0 for i in range(len(texts))]
+    c = Counter(w for ws, x in zip(toks, held, strict=True) if not x for w in ws)
+    pairs = Counter(p for ws, x in zip(toks, held, strict=True) if not x for p in zip([0, *ws], ws))
+    norm = sum(c.values()) + 0.1 * (len(c) + 1)
+
+    def log(before, w):
+        n = pairs[before, w]
+        b, q = c[None if before == 0 else before], math.floor(math.log2(n)) if n else 0
+        pair = min(1.4 * 2**q if q else min(n, 1), b, c[w])
+        return math.log10((pair + lm.SMOOTHING * (c[w] + 0.1) / norm) / (b + lm.SMOOTHING))
+
+    block, segment = lm.BLOCK, lm.SEGMENT
+    lm.BLOCK, lm.SEGMENT = 4096, 256
+    try:
+        got = {r.doc_id: r.score for r in lm.score(docs, queries.F.col("doc_id") % 3 == 0).collect()}
+    finally:
+        lm.BLOCK, lm.SEGMENT = block, segment
+    want = [sum(log(b, w) for b, w in zip([0, *ws], ws)) for ws in toks]
+    assert sum(n == 1 for n in pairs.values()) > 0.5 * len(pairs)
+    assert sum(math.isclose(got[i], s, rel_tol=1e-6) for i, s in enumerate(want)) >= 0.7 * len(want)  # the others have a false reading
+    assert all(math.isclose(got[i], s, rel_tol=0.03) for i, s in enumerate(want))
+    found, _, _ = lm.fit(docs.where("doc_id % 3 != 0").select("text"), 1000)
+    entries = sum(1 + math.floor(math.log2(n)) for n in pairs.values())
+    assert len(found.data) * 8 >= 0.98 * lm.BITS * entries
