@@ -3,12 +3,14 @@
 Neighbour lists begin in the leaves of random hyperplane trees and are refined by joining neighbours of neighbours: the
 members of each vector's neighbourhood, in both directions, are compared with each other and every list keeps its best.
 A list that is full of links is saturated: there may be more, so its vector is compared with all vectors of its label,
-in blocks. Recall is audited against brute force on sampled vectors; below the target, every vector gets that search.
+in blocks. Recall is audited against brute force on sampled vectors, as many as it takes to meet ``AUDIT_LINKS`` links
+(all, where there are fewer); below the target, every vector gets that search.
 Vectors that are equal number for number are one node throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 from folioscope.operators.components import connected_components, stored
 from folioscope.operators.ship import ship
 
-LIST, TREES, LEAF, ROUNDS = 10, 8, 32, 3
-#: Vectors audited, the recall to reach, and vectors in a block of the full search.
-AUDIT, RECALL, BLOCK = 200, 0.95, 1024
+#: Length of a list, least number of trees, vectors in a leaf, odds that a link shares no leaf of any tree, and the share of links below which a round's gain ends the refinement.
+LIST, TREES, LEAF, MISS, GAIN = 10, 8, 32, 0.0025, 0.001
+#: Vectors audited at first, links the audit is to meet, the recall to reach, and vectors in a block of the full search.
+AUDIT, AUDIT_LINKS, RECALL, BLOCK = 200, 200, 0.95, 1024
 SLACK = 1e-4  # single precision may misplace a similarity by so much; links are confirmed in double
 
 
@@ -89,28 +92,36 @@ def _join(groups: DataFrame, n: int, most: int) -> DataFrame:
     return groups.withColumn("bin", bins).groupBy("bin").applyInArrow(lambda t: _joined(t, most), "a long, b long, sim double")
 
 
-def _trees(v: DataFrame, n: int, trees: int, seed: int) -> DataFrame:
-    """Pairs of near vectors from the leaves of hyperplane trees; a leaf that holds far too many is dealt into parts."""
+def n_trees(bits: int, threshold: float) -> int:
+    """Trees of ``bits`` planes in which vectors at the threshold share no leaf with odds of MISS; no more than it takes to meet all of a space."""
+    share = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    most = max(TREES, 1 << bits)
+    return TREES if share >= 1 else most if share <= 0 else min(most, max(TREES, math.ceil(math.log(MISS) / math.log1p(-share))))
+
+
+def _trees(v: DataFrame, n: int, threshold: float, seed: int) -> DataFrame:
+    """Pairs of near vectors from the leaves of hyperplane trees, the more the deeper they are; a leaf that holds far too many is dealt into parts."""
     sized = v.join(v.groupBy("space").agg(F.count("*").alias("m")), "space").select("node", "space", "unit", F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / LEAF))).cast("int").alias("bits"))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             units = b.column(2)
             dims, bits = np.diff(units.offsets.to_numpy()), b.column(3).to_numpy()
-            code = np.zeros((trees, b.num_rows), np.int64)
+            trees = np.array([n_trees(int(k), threshold) for k in range(41)])[np.minimum(bits, 40)]
             for size in np.unique(dims):
-                at = np.flatnonzero(dims == size)
-                x = _matrix(units.take(pa.array(at)))
-                for t in range(trees):
+                own = np.flatnonzero(dims == size)
+                x = _matrix(units.take(pa.array(own)))
+                for t in range(int(trees[own].max())):
+                    has = t < trees[own]
+                    at = own[has]
                     planes = np.random.Generator(np.random.PCG64([seed, t, int(size)])).standard_normal((int(size), 40))
-                    side = (x @ planes > 0).astype(np.int64)
+                    side = (x[has] @ planes > 0).astype(np.int64)
                     mask = np.arange(40)[None, :] < bits[at][:, None]
-                    code[t, at] = (side * mask) @ (1 << np.arange(40))
-            node = np.tile(b.column(0).to_numpy(), trees)
-            space = pa.concat_arrays([b.column(1)] * trees)
-            yield pa.RecordBatch.from_arrays([pa.array(node), space, pa.array(np.repeat(np.arange(trees), b.num_rows)), pa.array(code.ravel())], names=["node", "space", "tree", "code"])
+                    code = (side * mask) @ (1 << np.arange(40))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.full(len(at), t, np.int64)), pa.array(code)], names=["node", "space", "tree", "code"])
 
     leaf = sized.mapInArrow(codes, "node long, space string, tree long, code long").withColumn("leaf", F.xxhash64("space", "tree", "code"))
+    trees = n_trees(max(0, math.ceil(math.log2(max(1, n) / LEAF))), threshold)  # at most
     full = leaf.groupBy("leaf").agg(F.count("*").alias("m"))
     dealt = leaf.join(full, "leaf").select("node", F.xxhash64("leaf", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("m") / (2.0 * LEAF)))).alias("key"), F.lit(-2.0).alias("floor"))
     return _join(dealt.join(v.select("node", "unit"), "node"), n * trees, LIST // 2)
@@ -183,23 +194,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     ship(vectors.sparkSession)
     v = stored(nodes(vectors), "vectors")
     n = v.count()
-    lists = stored(_best(_trees(v, n, TREES, 1), LIST), "lists")
-    for round_ in range(ROUNDS):
-        new = stored(_best(lists.union(_refined(lists, v, n, round_)), LIST), "lists")
-        gained = new.where(F.col("sim") >= threshold - SLACK).count() - lists.where(F.col("sim") >= threshold - SLACK).count()
-        lists = new
-        if gained <= 0.001 * n:
+    lists = stored(_best(_trees(v, n, threshold, 1), LIST), "lists")
+    near, round_ = lists.where(F.col("sim") >= threshold - SLACK).count(), 0
+    while True:  # lists only get better, so a round that gains next to nothing comes
+        lists = stored(_best(lists.union(_refined(lists, v, n, round_)), LIST), "lists")
+        before, near, round_ = near, lists.where(F.col("sim") >= threshold - SLACK).count(), round_ + 1
+        if near - before <= GAIN * near:
             break
     links = stored(_links(lists, v, threshold), "links")
     asked = lists.groupBy("a").agg(F.count("*").alias("k"), F.min("sim").alias("s")).where((F.col("k") >= LIST) & (F.col("s") >= threshold - SLACK)).select(F.col("a").alias("node"))
     alone = v.withColumn("comp", F.col("node"))
     # the audit: brute force for sampled vectors that have no full search anyway
     open_ = alone.join(asked, "node", "left_anti")
-    sample = stored(open_.orderBy(F.xxhash64("node", F.lit(3))).limit(AUDIT), "audit")
-    truth = searched(sample, alone, threshold, every=True).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    truth = stored(truth, "audit")
-    total, met = truth.count(), truth.join(links, ["a", "b"], "left_semi").count()
-    if met < RECALL * total:
+    draw, lo, hi, truth = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)), 0, min(1 << 30, math.ceil((1 << 30) * AUDIT / max(1, n))), None
+    while True:
+        sample = stored(open_.where((draw >= lo) & (draw < hi)), "audit")
+        new = searched(sample, alone, threshold, every=True).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        truth = stored((new if truth is None else truth.union(new)).distinct(), "audit")
+        total = truth.count()
+        if total >= AUDIT_LINKS or hi == 1 << 30:
+            break
+        lo, hi = hi, min(1 << 30, 4 * hi)
+    met = truth.join(links, ["a", "b"], "left_semi").count()
+    if hi < 1 << 30 and met < RECALL * total:  # an audit of all vectors has met every link
         asked = v.select("node")
     found = connected_components(links)
     comp = v.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")

@@ -51,3 +51,19 @@ def test_recall_on_the_whole_table_at_a_threshold_with_links(spark):
     assert all(got[d] <= n for d, n in want.items()) and sum(got.values()) >= 0.95 * sum(want.values())
     assert queries.op9_embedding_near_dedup(spark, "/root/testdata/sf0.01").count() == 500
     print("links", sum(want.values()))
+
+
+def test_a_large_label_with_few_links_is_searched_whole(spark):
+    rng = np.random.default_rng(11)
+    n, pairs, dims = 8000, 150, 64
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(pairs):
+        y = rng.standard_normal(dims)
+        y -= (y @ x[i]) * x[i]
+        x[n - 1 - i] = 0.932 * x[i] + (1 - 0.932**2) ** 0.5 * y / np.linalg.norm(y)
+    frame = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in neighbours.near_duplicates(frame).collect()}
+    assert all(got[i].n_links == 1 and got[n - 1 - i].component_id == i for i in range(pairs))
+    assert sum(r.n_links for r in got.values()) == 2 * pairs
+    assert [neighbours.n_trees(b, 0.93) for b in (0, 5, 15, 20)] == [8, 8, 38, 74]
