@@ -12,8 +12,11 @@ from folioscope.operators.components import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without a letter or text go."""
-    found = langid.identify(docs, langid.fit(docs))
+    """Documents in which a language can be told; those without a letter or text go. Where no language was learnt, nothing else is decided."""
+    samples = langid.fit(docs)
+    if not samples:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, samples)
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
 
 

@@ -42,3 +42,10 @@ def test_stages_take_odd_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, sf)
         assert frame.count() == n
+
+
+def test_documents_stay_where_no_language_was_learnt(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for lang_of_no_text in (None, "en"):
+        docs = spark.createDataFrame([(1, "a text", None, "s", 6), (2, "another one", None, "s", 11), (3, "12 !", None, "s", 4), (4, None, lang_of_no_text, "s", 0)], schema)
+        assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf).collect()) == [1, 2]
