@@ -2,8 +2,9 @@
 
 Bigram counts of the whole training text are quantised to powers of two; a bigram counted c times stands in the filter
 1 + floor(log2 c) times, once for each level up to its own, so repeated membership probes read its level back. The
-filter grows with its entries and lies in segments by hash, which the bigrams of each block of documents meet in one
-shuffle; word counts are exact and come to the documents block by block.
+filter takes BITS bits an entry whatever the input: it lies in segments by hash, which the bigrams of each block of
+documents meet in one shuffle. Word counts are exact and come to the documents block by block, and with them what the
+levels of all bigrams after a word add up to, so that the probabilities of what follows a word sum to one.
 """
 
 from __future__ import annotations
@@ -16,22 +17,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscope.llm import kernels as K
-from folioscope.operators.components import stored
 from folioscope.operators.ship import ship
 
-#: Bits for each entry, and probes of each.
-BITS, PROBES = 12.0, 6
-#: Strength of the word distribution in that of a word after another (Dirichlet smoothing).
-SMOOTHING = 2000.0
-#: Bytes of text in a block of documents and in a segment of bigrams; most segments made in one pass.
-BLOCK, SEGMENT, SPLIT = 16 << 20, 8 << 20, 4096
-GATHER = 4_000_000  # bigrams counted together by a task
-SKETCH = 4096
+#: Bits for each entry, and probes of each: one reading in 100,000 of a bigram that is not there is false.
+BITS, PROBES = 24.0, 16
+#: What each bigram after a word gives up to the word distribution (absolute discounting).
+DISCOUNT = 0.75
+#: Bytes of text in a block of documents and in a segment of bigrams or words.
+BLOCK, SEGMENT = 16 << 20, 8 << 20
+GATHER = 2_000_000  # tokens whose different words a task gathers at a time
 END, BEGIN = (K.mix(np.array([x], np.uint64))[0] for x in (0xE0D, 0xB06))
 LOW = np.uint64((1 << 40) - 1)
+#: The count that a level stands for: none, one, then about the middle of the counts from 2**k to 2**(k + 1).
+COUNT_OF = np.array([0, 1, *(round(1.4 * 2.0**k) for k in range(1, 56))], np.int64)
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,309 +41,221 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, first[1:], END), first + np.arange(n + 1)
 
 
-def bigrams(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; BEGIN stands before a text."""
+def contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token before each token; BEGIN stands before a text."""
     before = np.concatenate(([BEGIN], h[:-1]))
     before[first[:-1]] = BEGIN
-    return K.mix(before * np.uint64(0xD6E8FEB86659FD93) + h)
-
-
-def _packed(h: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """The low 40 bits of hashes, and the counts of those that are over one, which come last."""
-    order = np.argsort(n > 1, kind="stable")
-    h, n = h[order] & LOW, n[order]
-    return (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (h >> np.uint64(32)).astype(np.uint8).tobytes(), n[n > 1].astype("<u4").tobytes()
-
-
-def _unpacked(low: list[bytes], high: list[bytes], many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(b"".join(low), "<u4").astype(np.uint64) | np.frombuffer(b"".join(high), np.uint8).astype(np.uint64) << np.uint64(32)
-    n = []
-    for a, b in zip(high, many, strict=True):
-        c = np.ones(len(a), np.int64)
-        if b:
-            c[-(len(b) // 4) :] = np.frombuffer(b, "<u4")
-        n.append(c)
-    return h, np.concatenate(n) if n else np.zeros(0, np.int64)
+    return before
 
 
-_COUNTED = "segment long, low binary, high binary, many binary, words long, sketch binary"
-
-
-def _counted(train: DataFrame, bits: int) -> DataFrame:
-    """Bigram counts of each task in pieces by segment (the first ``bits`` bits of the hash), and rows with its tokens and the smallest word hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, total, sketch = [], 0, 0, np.zeros(0, np.uint64)
+def bigrams(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hash of each token with the one before it."""
+    return K.mix(before * np.uint64(0xD6E8FEB86659FD93) + h)
 
-        def pieces() -> list[tuple]:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            seg = h >> np.uint64(64 - bits)
-            cut = np.flatnonzero(np.diff(seg)) + 1
-            return [(int(seg[a]), *_packed(h[a:b], c[a:b]), None, None) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(h)], strict=True)]
 
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["segment", "low", "high", "many", "words", "sketch"])
+def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a block, the token before each, and the number of tokens of each text."""
+    parts = []
+    for _, data, at in K.chunks(table.to_batches()):
+        h, first = tokens(data, at)
+        parts.append((h, contexts(h, first), np.diff(first)))
+    h, before, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return h, before, n
 
-        for _, data, at in K.chunks(batches):
-            h, first = tokens(data, at)
-            total += len(h)
-            sketch = np.unique(np.concatenate((sketch, h)))[:SKETCH]
-            held.append(bigrams(h, first))
-            n += len(h)
-            if n >= GATHER:
-                yield batch(pieces())
-                held, n = [], 0
-        if n:
-            yield batch(pieces())
-        if total:
-            yield batch([(-1, None, None, None, total, sketch.tobytes())])
 
-    return train.mapInArrow(run, _COUNTED)
+def _planes(x: np.ndarray, kind: str = "<i8") -> bytes:
+    """Integers with the first bytes of all of them first: high bytes are mostly zero, so a shuffle packs them away."""
+    x = np.ascontiguousarray(x.astype(kind))
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _finer(pieces: DataFrame, more: int) -> DataFrame:
-    """Pieces split by the first ``more`` of their low 40 bits."""
+def _unplanes(data: bytes, kind: str = "<i8") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel().astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                h, n = _unpacked([r["low"]], [r["high"]], [r["many"]])
-                sub = (h >> np.uint64(40 - more)).astype(np.int64)
-                rows = [((r["segment"] << more) + int(s), *_packed(h[sub == s], n[sub == s])) for s in np.unique(sub)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["segment", "low", "high", "many"])
 
-    return pieces.mapInArrow(run, "segment long, low binary, high binary, many binary")
+def _spans(h: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
+    """Segments (the first ``bits`` bits) of sorted hashes, and where each stands."""
+    seg = (h >> np.uint64(64 - bits)).astype(np.int64)
+    cut = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(h)]
+    return seg[cut[:-1]], [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _slots(h: np.ndarray, level: int, size: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Bits that stand for an entry in a segment of ``size`` bits, by double hashing."""
+def _doubled(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where an entry's probes begin, and the step from one to the next (double hashing)."""
     a = K.mix((h & LOW) + np.uint64(level << 48))
-    b = K.mix(a) | np.uint64(1)
-    for _ in range(PROBES):
-        yield a % size
-        a = a + b
-
+    return a, K.mix(a) | np.uint64(1)
 
-class Filter:
-    """Segments of the filter one after the other: ``first`` has where each begins, in bits.
 
-    A segment's number is the first ``coarse`` bits of the hash and, in a large filter, the first ``more`` of its low 40.
-    """
-
-    def __init__(self, coarse: int, more: int, first: np.ndarray, data: np.ndarray):
-        self.coarse, self.more, self.first, self.data = coarse, more, first, data
-
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """floor(log2 c) of each bigram hash, -1 for one that is not in the filter: probed level by level until one is missing."""
-        out = np.full(len(h), -1, np.int8)
-        live = np.arange(len(h))
-        for level in range(48):
-            if not len(live):
-                break
-            x = h[live]
-            seg = (x >> np.uint64(64 - self.coarse) << np.uint64(self.more) | (x & LOW) >> np.uint64(40 - self.more)).astype(np.int64)
-            start, size = self.first[seg], self.first[seg + 1] - self.first[seg]
-            keep = size > 0
-            live, x, start, size = live[keep], x[keep], start[keep], size[keep]
-            alive = np.ones(len(live), bool)
-            for slot in _slots(x, level, size.astype(np.uint64)):
-                p = start + slot.astype(np.int64)
-                alive &= (self.data[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
-            live = live[alive]
-            out[live] = level
-        return out
-
-
-def _segment(h: np.ndarray, n: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Bytes of a filter segment of distinct bigrams counted ``n`` times, BITS for each entry, in at most ``most`` bits."""
+def segment_of(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bits of the filter segment of distinct bigrams counted ``n`` times; BITS for each entry."""
     h, n = h[n > 0], n[n > 0]
-    if not len(h):
-        return np.zeros(0, np.uint8)
     level = np.floor(np.log2(n)).astype(np.int64)
-    size = max(8, int((level + 1).sum() * BITS))
-    size = (size if most is None else min(most, size)) & ~7
-    flags = np.zeros(size, np.uint8)
-    for q in range(int(level.max()) + 1):
-        for slot in _slots(h[level >= q], q, np.uint64(size)):
-            flags[slot] = 1
-    return np.packbits(flags, bitorder="little")
+    flags = np.zeros(max(4096, int((level + 1).sum() * BITS)) | 1, bool)
+    for q in range(int(level.max(initial=-1)) + 1):
+        a, b = _doubled(h[level >= q], q)
+        for _ in range(PROBES):
+            flags[a % np.uint64(len(flags))] = True
+            a = a + b
+    return flags
+
+
+def levels_of(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 c) of each bigram hash, 0 for one that is not in the filter: probed level by level until one is missing."""
+    out, live, level = np.zeros(len(h), np.uint8), np.arange(len(h)), 0
+    while len(live):
+        a, b = _doubled(h[live], level)
+        for _ in range(PROBES):
+            hit = flags[a % np.uint64(len(flags))]
+            live, a, b = live[hit], a[hit], b[hit]
+            a = a + b
+        level += 1
+        out[live] = level
+    return out
+
+
+def _vocabulary_size(train: DataFrame, bits: int) -> tuple[int, int]:
+    """Tokens of ``train(text)`` and distinct ones, exactly: each task's different words meet those of others segment by segment."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def _sketched(train: DataFrame) -> tuple[int, float]:
-    """Tokens of ``train(text)``, and an estimate of its distinct ones (smallest-values sketch)."""
+        def batch() -> pa.RecordBatch:
+            w = np.unique(np.concatenate(held))
+            seg, spans = _spans(w, bits)
+            total = np.zeros(len(seg), np.int64)
+            total[:1] = n
+            return pa.RecordBatch.from_arrays([pa.array(seg), pa.array([w[s].tobytes() for s in spans], pa.binary()), pa.array(total)], names=["segment", "w", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sketch = 0, np.zeros(0, np.uint64)
         for _, data, at in K.chunks(batches):
             h, _ = tokens(data, at)
-            total += len(h)
-            if len(sketch) == SKETCH:
-                h = h[h < sketch[-1]]
-            sketch = np.unique(np.concatenate((sketch, h)))[:SKETCH]
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sketch.tobytes()], pa.binary())], names=["words", "sketch"])
-
-    return _merged(train.mapInArrow(run, "words long, sketch binary"))
-
+            held.append(np.unique(h))
+            n += len(h)
+            if n >= GATHER:
+                yield batch()
+                held, n = [], 0
+        if n:
+            yield batch()
 
-def _merged(stats: DataFrame) -> tuple[int, float]:
-    total, sketch = 0, np.zeros(0, np.uint64)
-    for r in stats.toLocalIterator():  # 32 kB for each task
-        total += r.words
-        sketch = np.unique(np.concatenate((sketch, np.frombuffer(r.sketch, np.uint64))))[:SKETCH]
-    return total, float(len(sketch)) if len(sketch) < SKETCH else (SKETCH - 1) / (float(sketch[-1]) / 2.0**64)
+    def count(t: pa.Table) -> pa.Table:
+        w = np.unique(np.frombuffer(b"".join(t.column("w").to_pylist()), np.uint64))
+        return pa.table({"types": pa.array([len(w)]), "n": pa.array([pc.sum(t.column("n")).as_py()])})
 
+    found = train.mapInArrow(run, "segment long, w binary, n long").groupBy("segment").applyInArrow(count, "types long, n long")
+    r = found.agg(F.sum("types").alias("v"), F.sum("n").alias("n")).first()
+    return r.n or 0, r.v or 0
 
-def fit(train: DataFrame, n_bytes: int, limit: int | None = None) -> tuple[Filter, int, float]:
-    """The filter of all bigrams of ``train(text)`` in one piece on the driver, its tokens, and an estimate of its distinct ones.
 
-    For texts whose filter fits there, or is to be held in ``limit`` bytes: with more entries than fit at BITS, the share
-    of false readings rises. ``score`` reads segments where they are built instead.
-    """
-    ship(train.sparkSession)
-    bits = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT))))
-    coarse = min(bits, int(math.log2(SPLIT)))
-    counted = stored(_counted(train, coarse), "bigrams")
-    total, distinct = _merged(counted.where("segment < 0").select("words", "sketch"))
-    pieces = counted.where("segment >= 0").select("segment", "low", "high", "many")
-    if bits > coarse:
-        pieces = _finer(pieces, bits - coarse)
-    most = None if limit is None else max(8, limit * 8 >> bits)
-
-    def build(table: pa.Table) -> pa.Table:
-        h, n = _unpacked(*(table.column(c).to_pylist() for c in ("low", "high", "many")))
-        h, where = np.unique(h, return_inverse=True)
-        data = _segment(h, np.bincount(where, n, minlength=len(h)), most).tobytes()
-        return pa.table({"segment": table.column("segment").slice(0, 1), "data": pa.array([data], pa.binary())})
-
-    found = stored(pieces.groupBy("segment").applyInArrow(build, "segment long, data binary"), "filter")
-    parts: dict[int, bytes] = {r.segment: r.data for r in found.toLocalIterator()}
-    size = np.array([8 * len(parts.get(s, b"")) for s in range(1 << bits)], np.int64)
-    return Filter(coarse, bits - coarse, np.concatenate(([0], np.cumsum(size))), np.frombuffer(b"".join(parts.get(s, b"") for s in range(1 << bits)), np.uint8)), total, distinct
-
-
-_STATS = (("n_tokens", "long"), ("n_known", "long"), ("logs", "double"), ("score", "double"), ("words", "long"), ("types", "long"), ("is_stat", "boolean"))
 NEW = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, text: str = "text", discount: float = DISCOUNT) -> DataFrame:
     """``docs`` without its text, with ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Whole texts are tokenised: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token. Documents for which
     ``held_out`` is false or null are learnt from. ``base_score`` sums log10((c + 0.1) / (N + 0.1 * (V + 1))) over tokens
-    by exact counts (words are told apart by 64-bit hashes); ``score`` is log10 of the smoothed bigram probability.
+    by exact counts (words are told apart by 64-bit hashes). ``score`` is log10 of the probability of the text by
+    bigrams: with q the count that the level of a bigram stands for, Q and T the sum of q and the number of bigrams after
+    the word before, a token has (max(q - d, 0) + d * T * base) / Q, or base where nothing was seen to follow; so the
+    probabilities of all known tokens and of the unknown one sum to 1 after every word, but for false readings.
     A null text is empty: one token, the end. Repeated rows count as often as they stand there and get equal scores.
-    Nothing to learn from gives c = N = V = 0. Columns of the same names are replaced, all others but the text kept.
+    Nothing to learn from gives c = N = V = 0 and a score equal to the base. Columns of the same names are replaced, all
+    others but the text kept, whatever they are called.
 
-    Plan: one scan counts tokens; documents are dealt into blocks by a hash of the row, a block's distinct words meet
-    their totals by one shuffle on the word's hash, pre-aggregated to one row for each word and block, and come back. So
-    do its distinct bigrams, packed by segment: each segment of the filter is built and read in one task, of about
-    SEGMENT bytes of text whatever the input, and the levels go back in the order of the hashes.
+    Plan: one scan counts tokens and different words; documents are dealt into blocks by a hash of the row. A block's
+    distinct bigrams meet those of others once, packed by segment: each segment of the filter is built and read in one
+    task, of about SEGMENT bytes of text whatever the input, and the levels go back in the order of the hashes. So do
+    its distinct words, one packed row for each block and segment, which come back with their totals.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.withColumn("__held", F.coalesce(held_out, F.lit(False)))
-    docs = docs.select(*[F.col(c) for c in docs.columns if c not in (*NEW, text, "__held")], F.col("__held").alias("held_out"), F.col(text).cast("string").alias("text"))
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    total, distinct = _sketched(docs.where("not held_out").select("text"))
-    norm = total + 0.1 * (distinct + 1)
+    rest = [c for c in docs.columns if c not in (*NEW, text)]
+    own = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    body = F.col(text).cast("string")
+    n_bytes = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT))))
     n_blocks = max(1, -(-n_bytes // BLOCK))
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    blocks = docs.withColumn("__block", F.pmod(F.xxhash64(*[F.col(f.name) for f in docs.schema.fields if f.name in ("doc_id", "text")]), F.lit(n_blocks)))
-
-    def vocabulary(table: pa.Table) -> pa.Table:
-        held, parts, counts = table.column("held_out").to_numpy(zero_copy_only=False), [], []
-        row = 0
-        for chunk, data, at in K.chunks(table.to_batches()):
-            h, first = tokens(data, at)
-            trains = np.repeat(~held[row : row + chunk.num_rows], np.diff(first))
-            row += chunk.num_rows
-            w, inverse = np.unique(h, return_inverse=True)
-            parts.append(w)
-            counts.append(np.bincount(inverse, trains, minlength=len(w)))
-        w, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate(counts), minlength=len(w)).astype(np.int64)
-        return pa.table({"__block": pa.array(np.full(len(w), table.column("__block")[0].as_py(), np.int64)), "w": K.long_column(w), "n": pa.array(n)})
+    key = [F.col(c) for c in ("doc_id",) if c in docs.columns]
+    blocks = docs.select(own.alias("own"), F.coalesce(held_out, F.lit(False)).alias("held"), body.alias("text"), F.pmod(F.xxhash64(*key, body), F.lit(n_blocks)).alias("block"))
+    total, types = _vocabulary_size(blocks.where("not held").select("text"), bits)
+    norm = total + 0.1 * (types + 1)
 
-    bits = max(4, math.ceil(math.log2(max(1, n_bytes / SEGMENT))))
+    def trains(table: pa.Table, n: np.ndarray) -> np.ndarray:
+        return np.repeat(~table.column("held").to_numpy(zero_copy_only=False), n)
 
     def pairs(table: pa.Table) -> pa.Table:
-        held, parts, counts = table.column("held_out").to_numpy(zero_copy_only=False), [], []
-        row = 0
-        for chunk, data, at in K.chunks(table.to_batches()):
-            h, first = tokens(data, at)
-            parts.append(bigrams(h, first))
-            counts.append(np.repeat(~held[row : row + chunk.num_rows], np.diff(first)))
-            row += chunk.num_rows
-        h, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate(counts), minlength=len(h)).astype("<u4")
-        seg = (h >> np.uint64(64 - bits)).astype(np.int64)
-        cut = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(h)]
-        low, high = ((h & LOW) & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h & LOW) >> np.uint64(32)).astype(np.uint8)
-        few, many = np.minimum(n, 255).astype(np.uint8), n >= 255
-        spans = list(zip(cut[:-1], cut[1:], strict=True))
-        cols = ([x[a:b].tobytes() for a, b in spans] for x in (low, high, few))
-        over = [n[a:b][many[a:b]].tobytes() for a, b in spans]
-        block = np.full(len(spans), table.column("__block")[0].as_py(), np.int64)
-        return pa.table({"__block": block, "segment": seg[cut[:-1]], **{k: pa.array(c, pa.binary()) for k, c in zip(("low", "high", "few", "many"), (*cols, over), strict=True)}})
-
-    def read(table: pa.Table) -> pa.Table:
-        low, high, few, many = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", "<u4"), ("high", np.uint8), ("few", np.uint8), ("many", "<u4")))
-        h, where = np.unique(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), return_inverse=True)
-        n = few.astype(np.int64)
-        n[few == 255] = many
-        data = _segment(h, np.bincount(where, n, minlength=len(h)))
-        level = Filter(0, 0, np.array([0, 8 * len(data)]), data).levels(h)[where]
-        cut = np.cumsum([0, *(len(x) for x in table.column("few").to_pylist())])
-        levels = pa.array([level[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-        return pa.table({"__block": table.column("__block"), "segment": table.column("segment"), "levels": levels})
-
-    packed = blocks.groupBy("__block").applyInArrow(pairs, "__block long, segment long, low binary, high binary, few binary, many binary")
-    levels = packed.groupBy("segment").applyInArrow(read, "__block long, segment long, levels binary")
-    words = blocks.groupBy("__block").applyInArrow(vocabulary, "__block long, w long, n long")
-    by_word = "over (partition by w)"
-    known = words.select("__block", "w", F.expr(f"sum(n) {by_word}").alias("c"), "n", F.expr("row_number() over (partition by w order by __block) = 1").alias("lead"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])
-    for name, kind in _STATS:
-        schema = schema.add(name, kind)
+        h, before, size = _read(table)
+        h, inverse = np.unique(bigrams(h, before), return_inverse=True)
+        n = np.bincount(inverse, trains(table, size), minlength=len(h))
+        seg, spans = _spans(h, bits)
+        low, high = (h & np.uint64(0xFFFFFFFF)).astype("<u4"), ((h & LOW) >> np.uint64(32)).astype(np.uint8)
+        cols = ([x[s].tobytes() for s in spans] for x in (low, high))
+        counts = [_planes(n[s], "<u4") for s in spans]
+        return pa.table({"block": np.full(len(seg), table.column("block")[0].as_py(), np.int64), "segment": seg, **{k: pa.array(c, pa.binary()) for k, c in zip(("low", "high", "n"), (*cols, counts), strict=True)}})
+
+    def filtered(table: pa.Table) -> pa.Table:
+        """Levels of each row's bigrams; the first row that has a bigram is told so by the highest bit."""
+        low, high = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", "<u4"), ("high", np.uint8)))
+        n = np.concatenate([_unplanes(x, "<u4") for x in table.column("n").to_pylist()])
+        h, lead, where = np.unique(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), return_index=True, return_inverse=True)
+        level = levels_of(segment_of(h, np.bincount(where, n, minlength=len(h))), h)[where]
+        level[lead] |= 0x80
+        cut = np.cumsum([0, *(len(x) for x in table.column("high").to_pylist())])
+        out = pa.array([level[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.table({"block": table.column("block"), "segment": table.column("segment"), "levels": out})
+
+    def in_order(table: pa.Table, column: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(table.sort_by("segment").column(column).to_pylist()), kind)
+
+    def vocabulary(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each different word of the block: its uses in training, and what the bigrams after it that the block leads with add up to."""
+        h, before, size = _read(left)
+        mask = trains(left, size)
+        _, one = np.unique(bigrams(h, before), return_index=True)
+        level = in_order(right, "levels", np.uint8)
+        mine = (level > 0x80).nonzero()[0]  # those read as not there count for nothing
+        w, inverse = np.unique(np.concatenate((h, [BEGIN])), return_inverse=True)
+        n = np.bincount(inverse[:-1], mask, minlength=len(w))
+        at = np.searchsorted(w, before[one[mine]])
+        sums = np.bincount(at, COUNT_OF[level[mine] & 0x7F], minlength=len(w)), np.bincount(at, minlength=len(w))
+        seg, spans = _spans(w, bits)
+        cols = {"w": [w[s].tobytes() for s in spans], **{k: [_planes(x[s]) for s in spans] for k, x in zip("nqt", (n, *sums), strict=True)}}
+        return pa.table({"block": np.full(len(seg), left.column("block")[0].as_py(), np.int64), "segment": seg, **{k: pa.array(c, pa.binary()) for k, c in cols.items()}})
+
+    def totals(table: pa.Table) -> pa.Table:
+        pieces = table.column("w").to_pylist()
+        w, where = np.unique(np.frombuffer(b"".join(pieces), np.uint64), return_inverse=True)
+        cut = np.cumsum([0, *(len(x) // 8 for x in pieces)])
+        cols = {}
+        for k in "nqt":
+            x = np.concatenate([_unplanes(p) for p in table.column(k).to_pylist()])
+            all_of = np.bincount(where, x, minlength=len(w)).astype(np.int64)[where]
+            cols[k] = pa.array([_planes(all_of[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.table({"block": table.column("block"), "segment": table.column("segment"), **cols})
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = pc.is_null(right.column("segment"))
-        read_back, right = right.filter(pc.invert(is_word)).sort_by("segment"), right.filter(is_word)
-        w = right.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(w)
-        w, c = w[order], right.column("c").to_numpy()[order].astype(np.float64)
-        lead = right.column("lead").to_numpy(zero_copy_only=False)
-        h = np.concatenate([bigrams(*tokens(data, at)) for _, data, at in K.chunks(left.to_batches())])
-        level_of = np.frombuffer(b"".join(read_back.column("levels").to_pylist()), np.int8)[np.unique(h, return_inverse=True)[1]]
-        row = 0
-        starts = c[np.searchsorted(w, END)]  # texts learnt from
-        cols = {name: [] for name, _ in _STATS[:4]}
-        for _, data, at in K.chunks(left.to_batches()):
-            h, first = tokens(data, at)
-            n = c[np.searchsorted(w, h)]
-            before = np.concatenate(([0.0], n[:-1]))
-            before[first[:-1]] = starts
-            level = level_of[row : row + len(h)]
-            row += len(h)
-            seen = np.where(level > 0, 1.4 * 2.0**level, 1.0)  # level 0 is a count of one
-            pair = np.where(level >= 0, np.minimum(seen, np.minimum(before, n)), 0.0)
-            p = (pair + smoothing * (n + 0.1) / norm) / (before + smoothing)
-            cols["n_tokens"].append(np.diff(first))
-            cols["n_known"].append(np.add.reduceat((n > 0).astype(np.int64), first[:-1]))
-            cols["logs"].append(np.add.reduceat(np.log10(n + 0.1), first[:-1]))
-            cols["score"].append(np.add.reduceat(np.log10(p), first[:-1]))
-        out = {f.name: left.column(f.name) for f in kept} | {k: pa.array(np.concatenate(v)) for k, v in cols.items()}
-        blank = pa.nulls(left.num_rows, pa.int64())
-        out = pa.table(out | {"words": blank, "types": blank, "is_stat": pa.array(np.zeros(left.num_rows, bool))})
-        stat = {f.name: pa.nulls(1, out.schema.field(f.name).type) for f in kept} | {n: pa.nulls(1, out.schema.field(n).type) for n, _ in _STATS[:4]}
-        stat |= {"words": pa.array([int(right.column("n").to_numpy().sum())]), "types": pa.array([int((lead & (right.column("c").to_numpy() > 0)).sum())]), "is_stat": pa.array([True])}
-        return pa.concat_tables([out, pa.table(stat)])
-
-    known = known.unionByName(levels, allowMissingColumns=True)
-    rows = stored(blocks.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(judge, schema), "scores")
-    stats = rows.where("is_stat").agg(F.sum("words").alias("n"), F.sum("types").alias("v")).first()
-    n, v = stats.n or 0, stats.v or 0
-    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + 0.1 * (v + 1)))
-    return rows.where("not is_stat").select(*[f.name for f in kept], "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+        level_rows = pc.is_valid(right.column("levels"))
+        levels, known = right.filter(level_rows), right.filter(pc.invert(level_rows)).sort_by("segment")
+        n_of, q_of, t_of = (np.concatenate([_unplanes(p) for p in known.column(k).to_pylist()]).astype(np.float64) for k in "nqt")
+        h, before, size = _read(left)
+        q = COUNT_OF[(in_order(levels, "levels", np.uint8) & 0x7F)[np.unique(bigrams(h, before), return_inverse=True)[1]]]
+        w = np.unique(np.concatenate((h, [BEGIN])))
+        n, at = n_of[np.searchsorted(w, h)], np.searchsorted(w, before)
+        base = (n + 0.1) / norm
+        followed = np.maximum(q_of[at], 1)
+        p = np.where(q_of[at] > 0, (np.maximum(q - discount, 0) + discount * t_of[at] * base) / followed, base)
+        first = np.cumsum(size) - size
+        sums = {"n_known": np.add.reduceat((n > 0).astype(np.int64), first), "base_score": np.add.reduceat(np.log10(base), first), "score": np.add.reduceat(np.log10(p), first)}
+        return pa.table({"own": left.column("own"), "held": left.column("held"), "n_tokens": size, **sums})
+
+    packed = blocks.groupBy("block").applyInArrow(pairs, "block long, segment long, low binary, high binary, n binary")
+    levels = packed.groupBy("segment").applyInArrow(filtered, "block long, segment long, levels binary")
+    words = blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(vocabulary, "block long, segment long, w binary, n binary, q binary, t binary")
+    known = words.groupBy("segment").applyInArrow(totals, "block long, segment long, n binary, q binary, t binary")
+    back = known.unionByName(levels, allowMissingColumns=True)
+    schema = blocks.select("own", "held").schema
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")):
+        schema = schema.add(name, kind)
+    rows = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(judge, schema)
+    kept = [F.col(f"own.c{i}").alias(c) for i, c in enumerate(rest)]
+    return rows.select(*kept, F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
