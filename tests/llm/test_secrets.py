@@ -1,4 +1,6 @@
+import random
 import re
+import uuid
 
 from folioscope.llm import queries, secrets
 
@@ -17,6 +19,77 @@ def test_candidates_and_edge_cases(spark):
     assert {r.score for r in secrets.scan(docs, label=secrets.F.lit(0)).collect()} == {0.0}
 
 
+def test_short_values_are_candidates_where_a_name_announces_them(spark):
+    texts = ['password = "Tr0ub4dor&3x"', "pwd=hunter2!now.", "the pass: abc", "secret: 'a1b2c3d4'", "plain = value123", "DB_PASSWORD=s3cr3t-9", 'api_key := "k&1234567"']
+    docs = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.candidate for r in secrets.candidates(docs).collect()}
+    assert got == {0: "Tr0ub4dor&3x", 1: "hunter2!now", 3: "a1b2c3d4", 5: "s3cr3t-9", 6: "k&1234567"}
+
+
+def brute(r, known):
+    c, near = r.candidate, f"{r.before} {r.prefix}"
+    kinds = ["[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"]
+    of = lambda ch: next(i for i, k in enumerate(kinds) if re.match(k, ch))
+    turns = sum(of(x) != of(y) and (of(x) < 3 or re.match("[A-Za-z0-9]", y) is not None) for x, y in zip(c, c[1:], strict=False))
+    share = lambda k: len(re.findall(k, c)) / len(c)
+    covered = sum(len(w) for w in set(re.findall("[a-z]{3,}", c.lower())) if w in known)
+    return {
+        "length": len(c), "turns": turns, "turn_share": turns / len(c), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"), "symbols": share("[_+/=-]"),
+        "hexadecimal": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", c)) and not re.fullmatch("[0-9]+", c), "variety": len(set(c)) / len(c), "coverage": min(1, covered / len(c)),
+        "path_depth": r.path.count("/"), "assigned": bool(re.search("[=:][\"'\\s]*$", near)), "announced": bool(re.search(secrets.ANNOUNCES, r.before)),
+        "prefix_announced": bool(re.search(secrets.ANNOUNCES, r.prefix)), "identified": bool(re.search(secrets.IDENTIFIES, near)), "uuid": bool(re.match(secrets.UUID, c)),
+    }
+
+
+def test_features_equal_plain_ones(spark):
+    found = secrets.findings(spark, 12)
+    docs = spark.createDataFrame([("some of the very common words " * 9,)], "text string")
+    known = secrets.dictionary(docs)
+    words = {r.word for r in known.collect()}
+    assert {"some", "common", "handler"} <= words and "of" not in words
+    rows = secrets.features(found, known).collect()
+    assert len(rows) >= 11 * len(secrets.KINDS)  # short numbers are no candidates
+    for r in rows:
+        for k, v in brute(r, words).items():
+            assert abs(r[k] - v) < 1e-9, (k, r)
+
+
+def probes(n, seed):
+    """What is often taken for a secret, and secrets, in words that the made findings do not use."""
+    rng = random.Random(seed)
+    hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(k))
+    word = lambda: rng.choice(["alpha", "river", "thought", "mountain", "reader", "erble", "haane"])
+    kinds = {
+        "uuid": lambda: f"{word()} {uuid.UUID(int=rng.getrandbits(128))} {word()}",
+        "commit": lambda: f"{word()} broke with {hexa(40)} last {word()}",
+        "checksum": lambda: f"{word()} archive {hexa(64)} {word()}",
+        "image": lambda: f"<img src=data:image/webp;base64,{mixed(160)}> {word()}",
+        "identifier": lambda: f"{word()} makeRequestHandlerFactory{rng.choice(['Old', 'New'])} {word()}",
+        "secret": lambda: rng.choice([f'{word()} my_token = "{hexa(40)}" {word()}', f"{word()} smtp_password={mixed(20).replace('/', 'x')} {word()}", f"{word()} AKIA{mixed(60).upper().replace('/', '').replace('+', '')[:16]} {word()}"]),
+        "password": lambda: f'{word()} password = "{mixed(5)}&{rng.randrange(1000)}x" {word()}',
+    }
+    return [(k, f()) for k, f in kinds.items() for _ in range(n)]
+
+
+def test_what_is_no_secret_is_left_alone_and_secrets_are_found(spark, sf):
+    made = probes(40, 5)
+    own = spark.createDataFrame([(10**6 + i, t, "web") for i, (_, t) in enumerate(made)], "doc_id long, text string, source string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").union(own)
+
+    def flagged(without=()):
+        ids = {r.doc_id for r in secrets.scan(docs, without=without).where("is_secret and doc_id >= 1000000").collect()}
+        return {k: sum(10**6 + i in ids for i, (x, _) in enumerate(made) if x == k) / 40 for k in dict(made)}
+
+    got = flagged()
+    print(got)
+    assert all(got[k] < 0.05 for k in ("uuid", "commit", "checksum", "image", "identifier")) and got["secret"] == 1.0 and got["password"] >= 0.95
+    # kinds never seen in training (without any hexadecimal secret it finds 0.6 of these: each kind needs one of its shape)
+    held = flagged(("commit", "encoded image", "cloud key id", "short password"))
+    print(held)
+    assert held["commit"] < 0.05 and held["image"] < 0.05 and held["secret"] >= 0.9 and held["password"] >= 0.9
+
+
 def test_forest_finds_planted_secrets_and_leaves_the_rest(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -27,8 +100,4 @@ def test_forest_finds_planted_secrets_and_leaves_the_rest(spark):
     out = queries.op1_secret_scan(spark, sf).collect()
     got = {(r.doc_id, r.candidate) for r in out if r.is_secret}
     assert len(out) > len(got) >= len(want) > 50
-    assert want <= got and len(got - want) <= 0.02 * len(got)
-    # trained without the key ids, the forest still knows most of them by their shape
-    label = secrets.F.when(secrets.F.col("candidate").startswith("AKIA"), None).otherwise(secrets.format_label(docs))
-    unseen = [r for r in secrets.scan(docs, label).collect() if r.candidate.startswith("AKIA")]
-    print("unseen formats found:", sum(r.is_secret for r in unseen), "of", len(unseen))
+    assert want <= got and len(got - want) <= 0.02 * len(got), sorted(got - want)[:20]
