@@ -2,14 +2,16 @@
 
 Neighbour lists begin in the leaves of random hyperplane trees and are refined by joining neighbours of neighbours: the
 members of each vector's neighbourhood, in both directions, are compared with each other and every list keeps its best.
-A list that is full of links is saturated: there may be more, so its vector is compared with all vectors of its label,
-in blocks. Recall is audited against brute force on sampled vectors, as many as it takes to meet ``AUDIT_LINKS`` links
-(all, where there are fewer); below the target, every vector gets that search.
+A list that is full of links is saturated: there may be more, so it is doubled and refined again, up to WIDEST. Vectors
+with more links than that lie in groups whose pairs are not to be listed: these are compared with all vectors of their
+label block by block, which counts their links. Recall is audited against brute force on sampled vectors, as many as it
+takes to meet ``AUDIT_LINKS`` links (all, where there are fewer), and logged; below the target, every vector gets that search.
 Vectors that are equal number for number are one node throughout.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -21,10 +23,13 @@ from pyspark.sql import functions as F
 from folioscope.operators.components import connected_components, stored
 from folioscope.operators.ship import ship
 
+log = logging.getLogger(__name__)
 #: Length of a list, least number of trees, vectors in a leaf, odds that a link shares no leaf of any tree, and the share of links below which a round's gain ends the refinement.
 LIST, TREES, LEAF, MISS, GAIN = 10, 8, 32, 0.0025, 0.001
 #: Vectors audited at first, links the audit is to meet, the recall to reach, and vectors in a block of the full search.
-AUDIT, AUDIT_LINKS, RECALL, BLOCK = 200, 200, 0.95, 1024
+AUDIT, AUDIT_LINKS, RECALL, BLOCK = 200, 200, 0.95, 8192
+#: Length up to which saturated lists are doubled, and parts in which a label's rows take up its size.
+WIDEST, SALTS = 80, 32
 SLACK = 1e-4  # single precision may misplace a similarity by so much; links are confirmed in double
 
 
@@ -101,7 +106,7 @@ def n_trees(bits: int, threshold: float) -> int:
 
 def _trees(v: DataFrame, n: int, threshold: float, seed: int) -> DataFrame:
     """Pairs of near vectors from the leaves of hyperplane trees, the more the deeper they are; a leaf that holds far too many is dealt into parts."""
-    sized = v.join(v.groupBy("space").agg(F.count("*").alias("m")), "space").select("node", "space", "unit", F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / LEAF))).cast("int").alias("bits"))
+    sized = _sized(v, v.groupBy("space").agg(F.count("*").alias("m"))).select("node", "space", "unit", F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / LEAF))).cast("int").alias("bits"))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,51 +132,101 @@ def _trees(v: DataFrame, n: int, threshold: float, seed: int) -> DataFrame:
     return _join(dealt.join(v.select("node", "unit"), "node"), n * trees, LIST // 2)
 
 
-def _refined(lists: DataFrame, v: DataFrame, n: int, round_: int) -> DataFrame:
-    """One step of NN-descent: candidates from neighbours of neighbours. Members of crowded neighbourhoods are sampled, both ways, by a hash."""
+def _sized(v: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``v`` with the columns of ``sizes(space, ...)``, which go to every part of a space, so that a large one is no single task's."""
+    parts = sizes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return v.withColumn("__salt", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(SALTS)).cast("int")).join(parts, ["space", "__salt"]).drop("__salt")
+
+
+def _refined(lists: DataFrame, v: DataFrame, n: int, round_: int, size: int = LIST, full: DataFrame | None = None) -> DataFrame:
+    """One step of NN-descent: candidates from neighbours of neighbours. Members of crowded neighbourhoods are sampled, both ways, by a hash.
+
+    With ``full``, only those nodes' lists are refined, up to ``size``."""
     both = lists.select("a", "b").union(lists.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     crowd = both.groupBy("a").agg(F.count("*").alias("m"))
     both = both.join(crowd, "a").join(crowd.withColumnRenamed("a", "b").withColumnRenamed("m", "m2"), "b")
     draw = F.pmod(F.xxhash64("a", "b", F.lit(round_)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    both = both.where(draw * F.greatest("m", "m2") < 2.0 * LIST).select(F.col("a").alias("key"), F.col("b").alias("node"))
-    own = v.select(F.col("node").alias("key"), "node")
-    floor = lists.groupBy("a").agg(F.min("sim").alias("s"), F.count("*").alias("k")).select(F.col("a").alias("node"), F.when(F.col("k") < LIST, -2.0).otherwise(F.col("s")).alias("floor"))
-    members = both.union(own).join(v.select("node", "unit"), "node").join(floor, "node", "left").select("key", "node", F.coalesce("floor", F.lit(-2.0)).alias("floor"), "unit")
-    return _join(members, n * 2 * LIST, 4)
+    both = both.where(draw * F.greatest("m", "m2") < 2.0 * size).select(F.col("a").alias("key"), F.col("b").alias("node"))
+    both = both.union(v.select(F.col("node").alias("key"), "node"))
+    if full is None:
+        floor = lists.groupBy("a").agg(F.min("sim").alias("s"), F.count("*").alias("k")).select(F.col("a").alias("node"), F.when(F.col("k") < size, -2.0).otherwise(F.col("s")).alias("floor"))
+        rest = -2.0
+    else:
+        floor, rest = full.select("node", F.lit(-2.0).alias("floor")), 2.0
+        both = both.join(both.join(full, "node", "left_semi").select("key").distinct(), "key", "left_semi")
+    members = both.join(v.select("node", "unit"), "node").join(floor, "node", "left").select("key", "node", F.coalesce("floor", F.lit(rest)).alias("floor"), "unit")
+    return _join(members, n * 2 * size, 4 if full is None else size)
+
+
+def _descent(v: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, float, int]:
+    """Lists of LIST neighbours, refined until a round adds next to no links; with what :func:`_enlarged` needs."""
+    lists = stored(_best(_trees(v, n, threshold, 1), LIST), "lists")
+    near, round_ = lists.where(F.col("sim") >= threshold - SLACK).count(), 0
+    while True:  # lists only get better, so a round that gains next to nothing comes
+        lists = stored(_best(lists.union(_refined(lists, v, n, round_)), LIST), "lists")
+        before, near, round_ = near, lists.where(F.col("sim") >= threshold - SLACK).count(), round_ + 1
+        if near - before <= GAIN * near:
+            return lists, v, threshold, round_
 
 
-def _blocks(v: DataFrame, block: int) -> DataFrame:
-    """Vectors of each space packed into matrices of about ``block`` rows."""
-    sized = v.join(v.groupBy("space").agg(F.count("*").alias("m")), "space").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block)))
+def _saturated(lists: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``node``: those with ``size`` neighbours, all of them links."""
+    return lists.groupBy("a").agg(F.count("*").alias("k"), F.min("sim").alias("s")).where((F.col("k") >= size) & (F.col("s") >= threshold - SLACK)).select(F.col("a").alias("node"))
 
-    def pack(t: pa.Table) -> pa.Table:
-        col = lambda c: pa.array([t.column(c).to_pylist()], pa.list_(pa.int64()))
-        return pa.table({"space": t.column("space").slice(0, 1), "part": t.column("part").slice(0, 1), "ids": col("node"), "copies": col("copies"), "comp": col("comp"), "data": pa.array([_matrix(t.column("unit").combine_chunks()).tobytes()], pa.binary())})
 
-    return sized.select("space", "part", "node", "copies", "comp", "unit").groupBy("space", "part").applyInArrow(pack, "space string, part long, ids array<long>, copies array<long>, comp array<long>, data binary")
+def _enlarged(lists: DataFrame, v: DataFrame, threshold: float, round_: int) -> tuple[DataFrame, DataFrame]:
+    """The lists, saturated ones doubled until they are not or WIDEST is reached, and the nodes that are even then."""
+    size, full = LIST, stored(_saturated(lists, LIST, threshold), "saturated")
+    while (n := full.count()) and size < WIDEST:
+        size *= 2
+        narrow, wide = lists.join(full.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b", "sim"), lists.join(full.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b", "sim")
+        wide, near = stored(wide, "lists"), -1
+        while True:
+            new = _refined(narrow.union(wide), v, n, round_, size, full)
+            wide, round_ = stored(_best(wide.union(new), size), "lists"), round_ + 1
+            before, near = near, wide.where(F.col("sim") >= threshold - SLACK).count()
+            if before >= 0 and near - before <= GAIN * near:
+                break
+        lists = stored(narrow.union(wide), "lists")
+        full = stored(_saturated(wide, size, threshold), "saturated")
+    return lists, full
 
 
 def searched(asked: DataFrame, v: DataFrame, threshold: float, every: bool = False) -> DataFrame:
-    """``a, n, b``: for each asked node its links in each block (n, copies counted) and, where b is given, a link; links within a component only if ``every``."""
-    q = _blocks(asked, BLOCK).select("space", *(F.col(c).alias("q" + c) for c in ("part", "ids", "comp", "data")))
-    pairs = q.join(_blocks(v, BLOCK), "space").repartition("qpart", "part", "space")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                qi, vi = np.array(r["qids"]), np.array(r["ids"])
-                q, x = (np.frombuffer(r[c], np.float64).reshape(len(i), -1) for c, i in (("qdata", qi), ("data", vi)))
-                hit = q @ x.T >= threshold
-                hit &= qi[:, None] != vi[None, :]
-                n = hit @ np.array(r["copies"])
+    """``a, n, b``: for each asked node its links in each block (n, copies counted) and, where b is given, a link; links within a component only if ``every``.
+
+    Both sides of a space are dealt into blocks, and each block goes to the other side's blocks: every pair of vectors
+    meets in one task of two blocks, whatever the size of the space."""
+    parts = lambda d, name: d.groupBy("space").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    grid = parts(asked, "nq").join(parts(v, "nv"), "space")
+    deal = lambda m: F.pmod(F.xxhash64("node"), F.col(m))
+    to_all = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    q = _sized(asked.select("space", "node", "comp", "unit"), grid).withColumn("i", deal("nq")).withColumn("j", to_all("nv")).drop("nq", "nv")
+    x = _sized(v.select("space", "node", "comp", "copies", "unit"), grid).withColumn("j", deal("nv")).withColumn("i", to_all("nq")).drop("nq", "nv")
+    x = x.select(*[F.col(c).alias(f"v_{c}") for c in x.columns])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 3]
+        counts = []
+        if left.num_rows and right.num_rows:
+            (qi, qc), (vi, vc, copies) = ([t.column(c).to_numpy() for c in names] for t, names in ((left, ("node", "comp")), (right, ("v_node", "v_comp", "v_copies"))))
+            q, x = (_matrix(t.column(c).combine_chunks()) for t, c in ((left, "unit"), (right, "v_unit")))
+            for s in range(0, len(qi), 512):
+                part = slice(s, s + 512)
+                hit = q[part] @ x.T >= threshold
+                hit &= qi[part, None] != vi[None, :]
+                n = hit @ copies
                 some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[some]), pa.array(n[some]), pa.nulls(len(some), pa.int64())], names=["a", "n", "b"])
+                counts.append((qi[part][some], n[some]))
                 if not every:
-                    hit &= np.array(r["qcomp"])[:, None] != np.array(r["comp"])[None, :]
+                    hit &= qc[part, None] != vc[None, :]
                 i, j = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(np.zeros(len(i), np.int64)), pa.array(vi[j])], names=["a", "n", "b"])
+                out.append((qi[part][i], np.zeros(len(i), np.int64), vi[j]))
+        a, n, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        ca, cn = (np.concatenate(c) for c in zip(*counts, strict=True)) if counts else (a[:0], n[:0])
+        return pa.table({"a": np.concatenate((ca, a)), "n": np.concatenate((cn, n)), "b": pa.concat_arrays([pa.nulls(len(ca), pa.int64()), pa.array(b, pa.int64())])})
 
-    return pairs.mapInArrow(run, "a long, n long, b long")
+    return q.groupBy("space", "i", "j").cogroup(x.groupBy("v_space", "v_i", "v_j")).applyInArrow(run, "a long, n long, b long")
 
 
 def _links(lists: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
@@ -194,15 +249,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     ship(vectors.sparkSession)
     v = stored(nodes(vectors), "vectors")
     n = v.count()
-    lists = stored(_best(_trees(v, n, threshold, 1), LIST), "lists")
-    near, round_ = lists.where(F.col("sim") >= threshold - SLACK).count(), 0
-    while True:  # lists only get better, so a round that gains next to nothing comes
-        lists = stored(_best(lists.union(_refined(lists, v, n, round_)), LIST), "lists")
-        before, near, round_ = near, lists.where(F.col("sim") >= threshold - SLACK).count(), round_ + 1
-        if near - before <= GAIN * near:
-            break
+    lists, asked = _enlarged(*_descent(v, n, threshold))
     links = stored(_links(lists, v, threshold), "links")
-    asked = lists.groupBy("a").agg(F.count("*").alias("k"), F.min("sim").alias("s")).where((F.col("k") >= LIST) & (F.col("s") >= threshold - SLACK)).select(F.col("a").alias("node"))
     alone = v.withColumn("comp", F.col("node"))
     # the audit: brute force for sampled vectors that have no full search anyway
     open_ = alone.join(asked, "node", "left_anti")
@@ -216,6 +264,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             break
         lo, hi = hi, min(1 << 30, 4 * hi)
     met = truth.join(links, ["a", "b"], "left_semi").count()
+    log.info("audit: %d of %d links of sampled vectors are in the lists", met, total)
     if hi < 1 << 30 and met < RECALL * total:  # an audit of all vectors has met every link
         asked = v.select("node")
     found = connected_components(links)

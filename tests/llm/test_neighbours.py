@@ -40,6 +40,27 @@ def test_equals_brute_force_and_edge_cases(spark):
     assert neighbours.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_lists_are_doubled_until_they_are_not_full(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((400, 32))
+    x[100:130] = x[0] + 0.1 * rng.standard_normal((30, 32))  # more links than a list has places
+    x[200:330] = x[1] + 0.1 * rng.standard_normal((130, 32))  # more than the widest
+    rows = [(i, r.tolist(), 0) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    v = neighbours.stored(neighbours.nodes(frame), "vectors")
+    lists, full = neighbours._enlarged(*neighbours._descent(v, 400, 0.93))
+    first = {r.node: r.first_id for r in v.collect()}
+    assert {first[r.node] for r in full.collect()} == {1, *range(200, 330)}
+    near = {first[r.a]: r["count"] for r in lists.where("sim >= 0.93").groupBy("a").count().collect()}
+    assert min(near[i] for i in (0, *range(100, 130))) >= 28, near
+    block, neighbours.BLOCK = neighbours.BLOCK, 64
+    try:
+        got = neighbours.near_duplicates(frame).collect()
+    finally:
+        neighbours.BLOCK = block
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=key) == sorted(brute(rows, 0.93), key=key)
+
+
 def test_recall_on_the_whole_table_at_a_threshold_with_links(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumn("label", neighbours.F.lit(1))
     rows = [(r.vec_id, [float(x) for x in r.embedding], 1) for r in frame.collect()]
