@@ -131,7 +131,7 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> CrossParser:
 
 
 def fit(labelled: DataFrame, seed: int = 17) -> tuple[tuple[str, bytes], ...]:
-    """(language, normalised text) learnt from ``labelled(text, lang)``: rows with text and a language, in hash order, a bounded piece of each."""
+    """(language, normalised text) learnt from ``labelled(text, lang)``: rows with text and a language, in hash order, a bounded piece of each, from a place that a hash of the text picks."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null").withColumn("k", F.xxhash64(F.lit(seed), "text"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     n_languages = counts.count()
@@ -140,7 +140,8 @@ def fit(labelled: DataFrame, seed: int = 17) -> tuple[tuple[str, bytes], ...]:
         return ()
     want = -(-4 * share // PER_DOCUMENT)  # rows looked at for each language; short rows give less
     odds = F.least(F.lit(1.0), F.lit(2.0 * want) / F.col("n"))
-    slim = rows.select("lang", "k", F.substring("text", 1, PER_DOCUMENT).alias("piece"))
+    begin = (F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(F.lit(1), F.length("text") - PER_DOCUMENT + 1)) + 1).cast("int")
+    slim = rows.select("lang", "k", F.substr("text", begin, F.lit(PER_DOCUMENT)).alias("piece"))
     picked = slim.join(F.broadcast(counts), "lang").where(F.pmod("k", F.lit(1 << 20)) < odds * (1 << 20)).drop("n")  # IN_ALL languages at most
     pieces: dict[str, list[str]] = {}
     for r in picked.distinct().orderBy("lang", "k", "piece").collect():
