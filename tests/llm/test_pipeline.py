@@ -44,6 +44,21 @@ def test_stages_take_odd_rows(spark, sf):
         assert frame.count() == n
 
 
+def test_stages_keep_columns_that_are_called_like_their_own(spark, sf):
+    names = ["lang_pred", "score", "n_lines", "n_removed", "n_items", "best_item", "best_coverage", "contaminated", "token_ids", "n_tokens", "round_trip", "kept", "component_id", "n_shingles", "k1", "k2", "at", "node", "bucket", "t1", "t2", "seed", "item", "own"]
+    texts = ["one two three", "one two three", "x\ny\nz\nw", "new\nx\ny\nz", "long " * 30_000, None, ""]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(*r[:2], "en", *r[2:]) for r in rows], "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES:
+        frame = corpus_pipeline.stored(stage(spark, frame, sf), "stage")
+    assert frame.columns == [*docs.columns, "token_ids_", "n_tokens_", "round_trip_"]
+    got = sorted(frame.collect())
+    assert [r.doc_id for r in got] == [0, 2, 3, 4] and got[2].text == "new"
+    for r in got:
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names) and r["round_trip_"]
+
+
 def test_documents_stay_where_no_language_was_learnt(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for lang_of_no_text in (None, "en"):
