@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text
 
-PARTICLES = ["da", "de", "del", "della", "di", "do", "dos", "du", "la", "le", "van", "von", "der", "den", "zu"]
+# Particles of surnames.
+PARTICLES = ["da", "das", "de", "del", "della", "des", "di", "do", "dos", "du", "la", "le", "van", "von", "der", "den", "zu"]
 INSTITUTION = r"(?i)\b(university|universidade|library|biblioteca|museum|museu|institute|instituto|archive|arquivo|academy|society|foundation|ministry)\b"
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode one of this machine, where it is unset; on a cluster that would not do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/folioscope-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import similarity, text
+from folioscope.operators.prefilter import probably_in
 
 
 def exact_groups(docs: DataFrame, content: str, key: str) -> DataFrame:
@@ -39,6 +40,28 @@ def key_duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.min(F.struct("priority", "match")).alias("x")).select("id", "x.match", "x.priority")
 
 
+def title_duplicates(records: DataFrame) -> DataFrame:
+    """``id, match``: for each of records(id, title) the smallest other id with an equal title by :func:`similarity.title_equal`.
+
+    Titles under 8 compact characters match nothing. Copies of a title are one row; a longer title meets the shorter ones
+    that it begins with by its own beginnings, so titles with a common beginning make no pairs among themselves.
+    """
+    end = F.regexp_extract(text.normalise(F.col("title")), r"(?:^| )" + similarity.PART, 1)
+    t = records.select("id", text.compact_title(F.col("title")).alias("ct"), end.alias("end")).where(F.length("ct") >= 8)
+    same = t.groupBy("ct").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    second = t.join(same, "ct").where("id > low").groupBy("ct").agg(F.min("low").alias("low"), F.min("id").alias("next"))
+    nodes = t.where(F.length("ct") >= 30).groupBy("ct", "end").agg(F.min("id").alias("first"))
+    n = F.length("ct")
+    begins = nodes.where(n > 30).select("ct", "end", "first", F.explode(F.sequence(F.lit(30), n - 1)).alias("n"))
+    begins = begins.select("ct", "end", "first", F.expr("substr(ct, 1, n)").alias("begin"), F.expr("substr(ct, n + 1)").alias("rest")).where(~F.col("rest").rlike("^" + similarity.PART))
+    short = nodes.select(F.col("ct").alias("begin"), F.col("end").alias("end2"), F.col("first").alias("first2"))
+    pairs = probably_in(begins, F.col("begin"), short, F.col("begin")).join(short, "begin").where("end = '' or end2 = '' or end = end2")
+    met = pairs.select("ct", "end", F.col("first2").alias("m")).union(pairs.select("begin", "end2", "first")).groupBy("ct", "end").agg(F.min("m").alias("m"))
+    out = t.join(second, "ct", "left").join(met, ["ct", "end"], "left")
+    other = F.when(F.col("id") == F.col("low"), F.col("next")).otherwise(F.col("low"))
+    return out.select("id", F.least(other, "m").alias("match")).where("match is not null")
+
+
 def neighbour_bits(vector: Column, cell: int) -> Column:
     """Fingerprint of a vector: whether each mean of ``cell`` values is larger than the next one, as a string of bits."""
     def total(i: Column) -> Column:

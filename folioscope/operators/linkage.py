@@ -26,6 +26,69 @@ def word_pairs(a: DataFrame, b: DataFrame, share: float, ratio: float | None = N
     return hit.join(a.select("id", "words"), "id").join(b.select("match", F.col("words").alias("words_b")), "match")
 
 
+#: Rows of words up to which one side of the word index may be sent to every task (about 60 MB).
+SENT = 2_000_000
+
+
+def shared_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``id, match, na, nb, shared`` for all pairs of a(id, words) and b(match, words) with a word in common.
+
+    One join on words and partial sums for each pair; the words of b are sent out where they are counted and few."""
+    wa = a.select("id", F.size("words").alias("na"), F.explode("words").alias("w"))
+    wb = b.select("match", F.size("words").alias("nb"), F.explode("words").alias("w"))
+    if wb.limit(SENT + 1).count() <= SENT:
+        wb = F.broadcast(wb)
+    return wa.join(wb, "w").groupBy("id", "match", "na", "nb").agg(F.count("*").alias("shared"))
+
+
+def _without(c: Column, i: Column) -> Column:
+    return F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))
+
+
+def deletions(c: Column) -> Column:
+    """The string and all strings that it becomes when one or two of its characters go."""
+    one = lambda x: F.when(F.length(x) >= 1, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: _without(x, i))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(c), one(c), F.flatten(F.transform(one(c), one))))
+
+
+def _most(longest: Column) -> Column:
+    return F.greatest(F.lit(2), F.floor(longest / 4).cast("int"))
+
+
+def _parts(n: Column, cut: Column) -> Column:
+    """array<struct(at, len)>: where the pieces stand of a string of n characters cut into so many."""
+    edge = lambda i: F.floor(i * n / cut).cast("int")
+    return F.transform(F.sequence(F.lit(0), cut - 1), lambda i: F.struct(i.alias("i"), edge(i).alias("at"), (edge(i + 1) - edge(i)).alias("len")))
+
+
+def similar_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a, b`` for all pairs of different strings of a(a) and b(b) that are alike by :func:`similarity.surname_like`.
+
+    Two of up to 11 characters differ by at most two edits, so they share a string that two deletions in each leave.
+    Of longer ones, cut into one piece more than there may be edits, a piece stands in the other almost where it was.
+    """
+    x, y = a.where("a is not null").select("a").distinct(), b.where("b is not null").select("b").distinct()
+    short = x.where(F.length("a") <= 11).select("a", F.explode(deletions(F.col("a"))).alias("k"))
+    short = short.join(y.where(F.length("b") <= 11).select("b", F.explode(deletions(F.col("b"))).alias("k")), "k").select("a", "b").distinct()
+    n = F.length("b")
+    pieces = F.transform(_parts(n, F.floor(n / 3).cast("int") + 1), lambda p: F.struct(n.alias("n"), p["i"].alias("i"), F.substr("b", p["at"] + 1, p["len"]).alias("s")))
+    m = F.length("a")
+
+    def near(size: Column) -> Column:
+        """Pieces of a string of ``size`` characters as they may stand in a."""
+        d = _most(F.greatest(m, size))
+        moved = lambda p: F.transform(F.sequence(-d, d), lambda by: F.struct((p["at"] + by).alias("at"), p["len"].alias("len"), p["i"].alias("i")))
+        at = F.flatten(F.transform(_parts(size, F.floor(size / 3).cast("int") + 1), moved))
+        inside = F.filter(at, lambda p: (p["at"] >= 0) & (p["at"] + p["len"] <= m))
+        return F.transform(inside, lambda p: F.struct(size.alias("n"), p["i"].alias("i"), F.substr("a", p["at"] + 1, p["len"]).alias("s")))
+
+    reach = F.floor(m / 3).cast("int") + 1
+    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(9), m - reach), m + reach), near)))
+    long = x.where(m >= 9).select("a", F.explode(keys).alias("k")).join(y.where(n >= 9).select("b", F.explode(pieces).alias("k")), "k").select("a", "b").distinct()
+    long = long.where((m > 11) | (n > 11))
+    return short.union(long).where(similarity.surname_like(F.col("a"), F.col("b")))
+
+
 def or_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:
     """Pairs equal in any of the keys: a union of equi-joins, each pair once, instead of one join on OR."""
     parts = [left.select(left_id, F.col(a).cast("string").alias("k")).join(right.select(right_id, F.col(b).cast("string").alias("k")), "k").select(left_id, right_id) for a, b in keys]

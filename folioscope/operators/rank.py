@@ -18,6 +18,13 @@ def confidence(q_words: Column, c_words: Column, surname_found: Column | None =
     return similarity.round2(s * penalty if penalty is not None else s)
 
 
+def confidence_of(shared: Column, query: Column, found: Column) -> Column:
+    """The same from the numbers of words: shared, of the query, of the candidate."""
+    dice = F.when((query > 0) & (found > 0), 2.0 * shared / (query + found)).otherwise(0.0)
+    contained = F.when((query >= 3) & (found > 0), shared * 1.0 / query).otherwise(0.0)
+    return similarity.round2(F.greatest(dice, 0.9 * contained))
+
+
 def first_of(candidates: DataFrame, key: Column, query: str, arrival: str) -> DataFrame:
     """Of candidates with one key for a query, the first to arrive."""
     keyed = candidates.withColumn("__k", key)

@@ -236,20 +236,19 @@ def exact_duplicates(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+_ENDS = "(?:^| )([0-9]{1,3}|[ivxlc]+)$"
+_BEGINS = "starts_with({b}.ct, {a}.ct) AND length({a}.ct) >= 30 AND length({a}.ct) < length({b}.ct) AND NOT regexp_matches(substr({b}.ct, length({a}.ct) + 1), '^([0-9]{{1,3}}|[ivxlc]+)$') AND (a.e = '' OR b.e = '' OR a.e = b.e)"
+
+
 @query(f"""
-WITH r AS (SELECT doc_id AS id, lang, substr(replace({_norm(TITLE)}, ' ', ''), 1, 80) AS ct FROM documents WHERE text IS NOT NULL),
+WITH r AS (SELECT doc_id AS id, substr(replace({_norm(TITLE)}, ' ', ''), 1, 80) AS ct, regexp_extract({_norm(TITLE)}, '{_ENDS}', 1) AS e FROM documents WHERE text IS NOT NULL),
 k AS (SELECT *, substr(ct, 1, 30) AS key FROM r WHERE length(ct) >= 8),
-p AS (SELECT a.id, b.id AS match FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id WHERE a.ct = b.ct)
+p AS (SELECT a.id, b.id AS match FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id WHERE a.ct = b.ct OR ({_BEGINS.format(a="a", b="b")}) OR ({_BEGINS.format(a="b", b="a")}))
 SELECT id, min(match) AS match, CAST(3 AS BIGINT) AS priority FROM p GROUP BY id
 """)
 def key_duplicates_compat(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text.compact_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("ct"))
-    # copies of one title meet as one row: the two smallest ids stand for all, so a common title makes no pairs
-    t = d.where(F.length("ct") >= 8).groupBy("ct").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    both = d.join(t, "ct").where("low < high")
-    second = both.where("id > low").groupBy("ct").agg(F.min("id").alias("next"))
-    out = both.join(second, "ct")
-    return out.select("id", F.when(F.col("id") == F.col("low"), F.col("next")).otherwise(F.col("low")).alias("match"), F.lit(3).cast("long").alias("priority"))
+    d = with_title(table(spark, sf_dir, "documents").where("text is not null")).select(F.col("doc_id").alias("id"), "title")
+    return dedup.title_duplicates(d).select("id", "match", F.lit(3).cast("long").alias("priority"))
 
 
 _MEAN = "list_transform(range(0, 16), lambda i: CAST(embedding[4 * i + 1] AS DOUBLE) + CAST(embedding[4 * i + 2] AS DOUBLE) + CAST(embedding[4 * i + 3] AS DOUBLE) + CAST(embedding[4 * i + 4] AS DOUBLE))"
@@ -317,13 +316,13 @@ def containment_linkage(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS a FROM customer), s AS (SELECT s_suppkey, regexp_extract(s_name, '([0-9]+)$', 1) AS b FROM supplier)
-SELECT c_custkey, s_suppkey, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM c JOIN s ON substr(a, 1, 8) = substr(b, 1, 8) WHERE levenshtein(a, b) <= greatest(1, floor(greatest(length(a), length(b)) / 4)) OR (substr(a, 1, 3) = substr(b, 1, 3) AND least(length(a), length(b)) >= 5 AND levenshtein(a, b) <= 2)
+SELECT c_custkey, s_suppkey, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM c, s WHERE levenshtein(a, b) <= greatest(1, floor(greatest(length(a), length(b)) / 4)) OR (substr(a, 1, 3) = substr(b, 1, 3) AND least(length(a), length(b)) >= 5 AND levenshtein(a, b) <= 2)
 """)
 def edit_distance_names(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]+)$", 1).alias("a"))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.regexp_extract("s_name", "([0-9]+)$", 1).alias("b"))
-    pairs = c.join(s, F.substring("a", 1, 8) == F.substring("b", 1, 8))
-    return pairs.where(similarity.surname_like(F.col("a"), F.col("b"))).select("c_custkey", "s_suppkey", F.levenshtein("a", "b").alias("distance"))
+    pairs = linkage.similar_names(c, s).join(c, "a").join(s, "b")
+    return pairs.select("c_custkey", "s_suppkey", F.levenshtein("a", "b").alias("distance"))
 
 
 @query("""
@@ -414,15 +413,15 @@ def lookup_priority_coalesce(spark, sf_dir):
 
 _CAND = f"""
 WITH d AS (SELECT doc_id, lang, source, {_words("text")} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, {_words("text")} AS w FROM benchmark WHERE text IS NOT NULL),
-c AS (SELECT item_id, doc_id AS id, lang, source, len(d.w) AS work, floor(greatest({_dice('b.w', 'd.w')}, 0.9 * {_contained('b.w', 'd.w')}) * 100 + 0.5) / 100.0 AS confidence FROM d, b WHERE len(list_intersect(b.w, d.w)) >= 0.75 * len(b.w))
+c AS (SELECT item_id, doc_id AS id, lang, source, len(d.w) AS work, floor(greatest({_dice('b.w', 'd.w')}, 0.9 * {_contained('b.w', 'd.w')}) * 100 + 0.5) / 100.0 AS confidence FROM d, b WHERE len(list_intersect(b.w, d.w)) > 0)
 """
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("words"), "lang", "source")
     b = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("match"), text.words(F.col("text")).alias("words"))
-    p = linkage.word_pairs(d, b, 0.75).where(F.size(F.array_intersect("words_b", "words")) >= 0.75 * F.size("words_b"))
-    p = p.select(F.col("match").alias("item_id"), "id", F.size("words").alias("work"), rank.confidence(F.col("words_b"), F.col("words")).alias("confidence"))
+    p = linkage.shared_words(d.select("id", "words"), b)
+    p = p.select(F.col("match").alias("item_id"), "id", F.col("na").alias("work"), rank.confidence_of(F.col("shared"), F.col("nb"), F.col("na")).alias("confidence"))
     return p.join(d.select("id", "lang", "source"), "id")
 
 

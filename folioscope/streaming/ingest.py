@@ -43,13 +43,13 @@ def index_rows(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return records.select(key, F.array_distinct(F.flatten(F.array(*[text.tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]))).alias("tokens"))
 
 
-def maintain_index(stream: DataFrame, key: str, columns: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Every batch of changed records replaces their index rows. Versions alternate between two folders, so a batch that
+def maintain_index(stream: DataFrame, key: str, columns: list[str], path: str, checkpoint: str, updated: str | None = None) -> StreamingQuery:
+    """Every batch of changed records replaces their index rows; of several rows of a key that with the latest ``updated`` counts. Versions alternate between two folders, so a batch that
     is run again after a failure starts from the version before it."""
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        newest = batch.dropDuplicates([key])
+        newest = batch.dropDuplicates([key]) if updated is None else batch.groupBy(key).agg(F.max_by(F.struct(*columns), updated).alias("x")).select(key, "x.*")
         fresh = index_rows(newest, key, columns)
         if epoch:
             fresh = upsert(spark.read.parquet(f"{path}/v{(epoch - 1) % 2}"), fresh, key)
