@@ -2,7 +2,7 @@
 
 Neighbour lists begin in the leaves of random hyperplane trees and are refined by joining neighbours of neighbours: the
 members of each vector's neighbourhood, in both directions, are compared with each other and every list keeps its best.
-A list that is full of links is saturated: there may be more, so it is doubled and refined again, up to WIDEST. Vectors
+A list that is full of links is saturated: there may be more, so it is enlarged GROW times and refined again, up to WIDEST. Vectors
 with more links than that lie in groups whose pairs are not to be listed: these are compared with all vectors of their
 label block by block, which counts their links. Recall is audited against brute force on sampled vectors, as many as it
 takes to meet ``AUDIT_LINKS`` links (all, where there are fewer), and logged; below the target, every vector gets that search.
@@ -28,8 +28,8 @@ log = logging.getLogger(__name__)
 LIST, TREES, LEAF, MISS, GAIN = 10, 8, 32, 0.0025, 0.001
 #: Vectors audited at first, links the audit is to meet, the recall to reach, and vectors in a block of the full search.
 AUDIT, AUDIT_LINKS, RECALL, BLOCK = 200, 200, 0.95, 8192
-#: Length up to which saturated lists are doubled, and parts in which a label's rows take up its size.
-WIDEST, SALTS = 80, 32
+#: How many times longer saturated lists become at a time, up to which length, and parts in which a label's rows take up its size.
+GROW, WIDEST, SALTS = 4, 40, 32
 SLACK = 1e-4  # single precision may misplace a similarity by so much; links are confirmed in double
 
 
@@ -175,10 +175,10 @@ def _saturated(lists: DataFrame, size: int, threshold: float) -> DataFrame:
 
 
 def _enlarged(lists: DataFrame, v: DataFrame, threshold: float, round_: int) -> tuple[DataFrame, DataFrame]:
-    """The lists, saturated ones doubled until they are not or WIDEST is reached, and the nodes that are even then."""
+    """The lists, saturated ones enlarged until they are not or WIDEST is reached, and the nodes that are even then."""
     size, full = LIST, stored(_saturated(lists, LIST, threshold), "saturated")
     while (n := full.count()) and size < WIDEST:
-        size *= 2
+        size *= GROW
         narrow, wide = lists.join(full.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b", "sim"), lists.join(full.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b", "sim")
         wide, near = stored(wide, "lists"), -1
         while True:

@@ -40,7 +40,7 @@ def test_equals_brute_force_and_edge_cases(spark):
     assert neighbours.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_lists_are_doubled_until_they_are_not_full(spark):
+def test_lists_are_enlarged_until_they_are_not_full(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 32))
     x[100:130] = x[0] + 0.1 * rng.standard_normal((30, 32))  # more links than a list has places
