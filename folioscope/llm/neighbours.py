@@ -262,7 +262,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         total = truth.count()
         if total >= AUDIT_LINKS or hi == 1 << 30:
             break
-        lo, hi = hi, min(1 << 30, 4 * hi)
+        lo, hi = hi, min(1 << 30, 16 * hi)
     met = truth.join(links, ["a", "b"], "left_semi").count()
     log.info("audit: %d of %d links of sampled vectors are in the lists", met, total)
     if hi < 1 << 30 and met < RECALL * total:  # an audit of all vectors has met every link
