@@ -127,8 +127,9 @@ def _settled_apart(bodies: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([K.long_column(h), pa.array(trigger[each]), pa.array(phrase[each]), pa.array(offset.astype(np.int32))], names=["string", "trigger", "phrase", "offset"])
 
     strings = bodies.mapInArrow(run, "string long, trigger long, phrase long, offset int")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    return strings.join(twice, "string").groupBy("trigger", "phrase").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"))
+    same = ["trigger", "offset", "string"]  # two hashes and a place, so that no two of a great many strings are taken for one
+    twice = strings.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
+    return strings.join(twice, same).groupBy("trigger", "phrase").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi"))
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int | None = None) -> DataFrame:
