@@ -679,4 +679,5 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    return _drained(spark, sf_dir, lambda s: s.select("user_id", "event_type").dropDuplicates(), "append")
+    keyed = lambda s: s.select("user_id", "event_type", "ts", F.concat_ws("/", "user_id", "event_type").alias("key"))
+    return _drained(spark, sf_dir, lambda s: ingest.first_seen(keyed(s), "key", "ts", "3650 days").select("user_id", "event_type"), "append")
