@@ -53,4 +53,4 @@ def citation_key(surname: Column, year: Column, title: Column) -> Column:
 
 def split_artists(c: Column) -> Column:
     """Names apart at , ; & + / and 'feat'."""
-    return F.filter(F.transform(F.split(c, r"(?i)\s*(?:[,;&+/]|\bfeat\.?\s)\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?i)\s*(?:[,;&+/]|\bfeat\.?\s)\s*"), lambda x: F.trim(x)), lambda x: x != "")

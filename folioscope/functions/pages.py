@@ -56,7 +56,7 @@ def imprint_page(c: Column) -> Column:
     values = F.regexp_extract_all(c, F.lit(r"(?m)^\s*\p{L}[\p{L} ]{2,30}:[ \t]*(\S.*)$"), F.lit(1))
     below = F.regexp_extract_all(c, F.lit(r"(?m)^\s*(\p{L}[\p{L} ]{2,30}):?[ \t]*\n[ \t]{2,}\S.*$"), F.lit(1))
     below_values = F.regexp_extract_all(c, F.lit(r"(?m)^\s*\p{L}[\p{L} ]{2,30}:?[ \t]*\n[ \t]{2,}(\S.*)$"), F.lit(1))
-    pairs = F.arrays_zip(F.transform(F.concat(colon, below), F.lower).alias("k"), F.transform(F.concat(values, below_values), F.trim).alias("v"))
+    pairs = F.arrays_zip(F.transform(F.concat(colon, below), F.lower).alias("k"), F.transform(F.concat(values, below_values), lambda x: F.trim(x)).alias("v"))
     first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
     return F.map_from_entries(first)
 

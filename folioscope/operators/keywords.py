@@ -69,7 +69,7 @@ SELECT doc_id, phrase, CAST(value AS DOUBLE) AS value, rank FROM r WHERE rank <=
 def author_keywords(text: Column, most: int = 12) -> Column:
     """Keywords an author printed after a label, separated by ; , or dots."""
     line = F.regexp_extract(text, r"(?im)^\s*(?:key ?words|mots[- ]cl[ée]s|palabras clave|palavras[- ]chave|schlagw[öo]rter)\s*[:\-]\s*(.+)$", 1)
-    return F.slice(F.filter(F.transform(F.split(line, r"\s*[;,·•]\s*|\.\s*$"), F.trim), lambda w: w != ""), 1, most)
+    return F.slice(F.filter(F.transform(F.split(line, r"\s*[;,·•]\s*|\.\s*$"), lambda x: F.trim(x)), lambda w: w != ""), 1, most)
 
 
 def cascade(*sources: tuple[str, Column]) -> Column:

@@ -21,7 +21,7 @@ def _mapped(c: Column, table: dict[str, str], other: str) -> Column:
 def read_ris(files: DataFrame) -> DataFrame:
     """``files(path, content)`` to entries: path, entry, type, title, authors, date, doi, isbn, publisher, place, url, notes, keywords."""
     each = files.select("path", F.posexplode(F.filter(F.split(F.regexp_replace("content", "\r\n?", "\n"), r"(?m)^ER  -.*$"), lambda e: e.rlike(r"(?m)^TY  - "))).alias("entry", "raw"))
-    all_of = lambda tag: F.transform(F.regexp_extract_all("raw", F.lit(rf"(?m)^(?:{tag})  - (.*)$"), F.lit(1)), F.trim)
+    all_of = lambda tag: F.transform(F.regexp_extract_all("raw", F.lit(rf"(?m)^(?:{tag})  - (.*)$"), F.lit(1)), lambda x: F.trim(x))
     one = lambda tag: F.nullif(F.coalesce(F.get(all_of(tag), F.lit(0)), F.lit("")), F.lit(""))
     return each.select("path", "entry", _mapped(one("TY"), RIS_TYPES, "document").alias("type"), one("TI|T1").alias("title"), all_of("AU|A1").alias("authors"), F.regexp_replace(one("PY|Y1|DA"), "/", "-").alias("date"), F.lower(one("DO")).alias("doi"), one("SN").alias("isbn"), one("PB").alias("publisher"), one("CY").alias("place"), one("UR").alias("url"), one("N1").alias("notes"), all_of("KW").alias("keywords"))
 

@@ -1,6 +1,6 @@
 import pytest
 
-from folioscope.plans import archive, catalogue  # noqa: F401  archive registers its queries in catalogue
+from folioscope.plans import archive, catalogue, expressions  # noqa: F401  the others register their queries in catalogue
 from tests.compare import compared
 
 
