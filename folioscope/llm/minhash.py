@@ -24,6 +24,8 @@ from folioscope.operators.ship import ship
 
 #: 40 permutations give 80 values, 20 bands of 4: two documents of similarity 0.85 share no bucket once in 2.5 million.
 PERMUTATIONS, ROWS = 40, 4
+#: Open nodes around one shingle that one task compares with the others around it.
+PART = 256
 
 
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,10 +127,14 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     length = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
     prefix = nodes.join(rare, "node").select("node", "n", "component_id", F.posexplode(F.slice("x", F.lit(1), length)).alias("i", "x"))
     prefix = stored(prefix.where("x.df > 1").select("node", "n", "component_id", "i", "x.s"), "prefixes")
-    other = prefix.select("s", F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component_id").alias("c"), F.col("i").alias("j"))
-    mixed = prefix.groupBy("s").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x < y").select("s")
+    parts = F.ceil(F.count("*") / PART)
+    mixed = prefix.groupBy("s").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y"), parts.alias("parts")).where("x < y").select("s", "parts")
+    met = stored(prefix.join(mixed, "s"), "met")
+    # a shingle that many open nodes have is dealt by node into parts of a fixed size, each of which meets all the others
+    one = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    other = met.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("centre"), F.col("n").alias("n_centre"), F.col("component_id").alias("c"), F.col("i").alias("j"))
     least = f"(({percent} * (n + n_centre) + {99 + percent}) div {100 + percent})"
-    return prefix.join(mixed, "s").join(other, "s").where(f"component_id < c and i + {least} <= n and j + {least} <= n_centre")
+    return one.join(other, ["s", "part"]).where(f"component_id < c and i + {least} <= n and j + {least} <= n_centre")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
