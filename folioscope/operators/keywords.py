@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,17 @@ STOP_WORDS = {
     "es": ["el", "los", "las", "que", "del", "por", "con", "una", "para", "como", "es", "y", "esa", "esto"],
     "fr": ["le", "les", "des", "et", "est", "dans", "une", "que", "pour", "qui", "sur", "pas", "par", "du"],
 }
-WEIGHTS = {1: 1.0, 2: 1.6, 3: 1.9}
+# Words of the apparatus of papers and books that say nothing of the subject (a part; the list is a parameter).
+GENERIC = ["abstract", "appendix", "bibliography", "chapter", "conclusion", "contents", "doi", "edition", "figure", "ibid", "index", "introduction", "isbn", "issn", "journal", "keywords", "page", "pages", "references", "results", "section", "table", "thesis", "university", "volume"]
+# Articles that French and Italian write together with the next word, and what may stand inside a phrase of three words.
+ELIDED = ["all", "c", "coll", "d", "dall", "dell", "j", "l", "m", "n", "nell", "qu", "quell", "quest", "s", "sull", "t", "un"]
+INNER = ["da", "de", "del", "des", "di", "do", "of"]
+# Headings of a list of references; words a text needs; tenths of a point for a use by number of words, and the tenths needed.
+HEADINGS = ["references", "bibliography", "works cited", "bibliografia", "referências bibliográficas", "referencias bibliograficas"]
+FEWEST, TENTHS, NEEDED = 80, {1: 10, 2: 16, 3: 19}, {1: 30, 2: 32, 3: 32}
+_WORD, _EDGE = r"[\p{L}'’-]+", r"^['’-]+|['’-]+$"
+_ELISION = r"^(?i:" + "|".join(ELIDED) + r")['’]"
+_HEADING = r"\n\s*(?i:" + "|".join(HEADINGS) + r")\s*\n"
 
 
 def language_guess(docs: DataFrame, tokens: Column, key: str) -> DataFrame:
@@ -29,40 +41,120 @@ def language_sql(tokens: str) -> str:
     return f"WITH d AS (SELECT doc_id, coalesce({tokens}, []) AS w FROM documents), s AS (SELECT doc_id, list_sort([{parts}], 'DESC')[1] AS x FROM d) SELECT doc_id, CASE WHEN x.n > 0 THEN x.lang ELSE 'und' END AS guess, CAST(x.n AS BIGINT) AS hits FROM s"
 
 
-def ngram_counts(docs: DataFrame, tokens: Column, key: str, k: int) -> DataFrame:
-    """``key, phrase, value, rank``: the k best words and phrases of up to three words of each record.
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(ordered: Column) -> Column:
+    """array of struct(value, n): each distinct element of a sorted array and how often it is there."""
+
+    def counted(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.when(F.size(s) > 0, _let(begins, lambda b: F.transform(b, lambda at, j: F.struct(F.get(s, at).alias("value"), (F.coalesce(F.get(b, j + 1), F.size(s)) - at).alias("n")))))
+
+    return _let(ordered, counted)
+
+
+def body_of(c: Column) -> Column:
+    """A text up to its list of references, if that comes after 5,000 characters; of more than 30,000, without the first 8 % (cover and thanks)."""
+    at = F.length(F.get(F.split(c, _HEADING, 2), F.lit(0)))
+    cut = F.when((at > 5000) & (at < F.length(c)), F.substring(c, F.lit(1), at)).otherwise(c)
+    return _let(cut, lambda x: F.when(F.length(x) > 30000, F.substring(x, F.floor(F.length(x) * 0.08).cast("int") + 1, F.length(x))).otherwise(x))
+
+
+def spoken(c: Column) -> Column:
+    """Words of letters with their capitals, without elided articles and quotes."""
+    found = F.regexp_extract_all(c, F.lit(f"({_WORD})"), F.lit(1))
+    plain = lambda w: F.regexp_replace(F.regexp_replace(w, _ELISION, ""), _EDGE, "")
+    marked = lambda w: w.contains("'") | w.contains("’") | w.contains("-")  # noqa: E731  few words are
+    return F.filter(F.transform(found, lambda w: F.when(marked(w), plain(w)).otherwise(w)), lambda w: w != "")
+
+
+def computed(docs: DataFrame, title: Column, body: Column, key: str, most: int = 6, stop: list[str] | None = None, generic: list[str] | None = None) -> DataFrame:
+    """``key, phrase, value, rank``: up to ``most`` keywords of each text of 80 words or more, best first.
 
-    Words of three letters and more that are no function words; a phrase is worth its uses times a weight by its length;
-    words need 3 points, phrases 3.2.
+    Words of three letters and more that are neither function words (``stop``) nor ``generic``, and phrases of two and three
+    of them (inside one of three a particle may stand). A use is worth 1, 1.6 or 1.9 points by number of words; 3 are needed,
+    3.2 by phrases; those with a word of the title count twice. Names (three uses and more, over 85 % with a capital)
+    count only if the title has them. A word gives way to the best phrase that holds it and has 40 % of its points; what holds,
+    or is held by, one that was taken is passed over. Ties go by the alphabet. Counts are made inside the row: nothing is shuffled.
+    Null and short texts give no rows; columns other than the key, title and body are not read.
     """
-    stop = sorted({w for s in STOP_WORDS.values() for w in s})
-    good = lambda t: (F.length(t) >= 3) & ~t.isin(*stop) & ~t.rlike("^[0-9]+$")
-    rows = docs.select(key, tokens.alias("w"))
-
-    def phrases(w: Column, n: int) -> Column:
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        part = lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.get(w, i + j))
-        return F.filter(F.transform(at, part), lambda p: F.forall(p, good))
-
-    every = F.flatten(F.transform(F.array("w"), lambda w: F.concat(*[phrases(w, n) for n in WEIGHTS])))
-    each = rows.select(key, F.explode(every).alias("p")).select(key, F.array_join("p", " ").alias("phrase"), F.size("p").alias("n"))
-    counts = each.groupBy(key, "phrase", "n").agg(F.count("*").alias("uses"))
-    weight = F.when(F.col("n") == 1, WEIGHTS[1]).when(F.col("n") == 2, WEIGHTS[2]).otherwise(WEIGHTS[3])
-    valued = counts.withColumn("value", F.floor(F.col("uses") * weight * 10 + 0.5) / 10.0).where("value >= case when n = 1 then 3 else 3.2 end")
-    ranked = valued.withColumn("rank", F.expr(f"row_number() over (partition by {key} order by value desc, phrase)")).where(F.col("rank") <= k)
-    return ranked.select(key, "phrase", "value", F.col("rank").cast("long").alias("rank"))
-
-
-def ngram_sql(tokens: str, k: int = 6) -> str:
-    stop = ", ".join(f"'{w}'" for w in sorted({w for s in STOP_WORDS.values() for w in s}))
-    parts = ", ".join(f"list_transform(list_filter(range(1, len(w) - {n - 2}), lambda i: len(list_filter(w[i : i + {n - 1}], lambda t: length(t) >= 3 AND t NOT IN ({stop}) AND NOT regexp_full_match(t, '[0-9]+'))) = {n}), lambda i: array_to_string(w[i : i + {n - 1}], ' '))" for n in WEIGHTS)
-    return f"""
-WITH d AS (SELECT doc_id, {tokens} AS w FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, unnest(flatten([{parts}])) AS phrase FROM d),
-c AS (SELECT doc_id, phrase, len(string_split(phrase, ' ')) AS n, count(*) AS uses FROM p GROUP BY 1, 2),
-v AS (SELECT doc_id, phrase, n, floor(uses * CASE n WHEN 1 THEN 1.0 WHEN 2 THEN 1.6 ELSE 1.9 END * 10 + 0.5) / 10.0 AS value FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, phrase) AS rank FROM v WHERE value >= CASE WHEN n = 1 THEN 3 ELSE 3.2 END)
-SELECT doc_id, phrase, CAST(value AS DOUBLE) AS value, rank FROM r WHERE rank <= {k}
+    out = sorted({w for s in STOP_WORDS.values() for w in s} if stop is None else set(stop)) + sorted(set(GENERIC if generic is None else generic))
+    dull = lambda w: (F.length(w) < 3) | w.isin(*out)
+    space = lambda p: F.size(F.split(p, " "))
+    by_words = lambda p, values: F.when(space(p) == 1, values[1]).when(space(p) == 2, values[2]).otherwise(values[3])
+
+    def names(o: Column) -> Column:
+        uses = _runs(F.sort_array(F.transform(o, lambda x: F.struct(F.lower(x).alias("w"), x.rlike(r"^\p{Lu}").alias("capital")))))
+
+        def among(r: Column) -> Column:
+            small = lambda x, i: F.when(F.get(r, i - 1)["value"]["w"] == x["value"]["w"], F.get(r, i - 1)["n"]).otherwise(0)
+            return F.transform(F.filter(r, lambda x, i: x["value"]["capital"] & (x["n"] >= 3) & (100 * x["n"] > 85 * (x["n"] + small(x, i)))), lambda x: x["value"]["w"])
+
+        return _let(uses, among)
+
+    def phrases(w: Column, good: Column) -> Column:
+        def at(i: Column) -> Column:
+            a, b, c = (F.get(w, i + j) for j in range(3))
+            two = F.when(F.get(good, i + 1), F.concat_ws(" ", a, b))
+            three = F.when(F.get(good, i + 2) & (F.get(good, i + 1) | b.isin(*INNER)), F.concat_ws(" ", a, b, c))
+            return F.when(F.get(good, i), F.filter(F.array(a, two, three), lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at))
+
+    def valued(grams: Column, in_title: Column) -> Column:
+        enough = F.filter(_runs(F.sort_array(grams)), lambda r: (r["n"] > 1) & (r["n"] * by_words(r["value"], TENTHS) >= by_words(r["value"], NEEDED)))
+        twice = lambda p: F.when(F.arrays_overlap(F.split(p, " "), in_title), 2).otherwise(1)
+        return F.sort_array(F.transform(enough, lambda r: F.struct((-r["n"] * by_words(r["value"], TENTHS) * twice(r["value"])).alias("minus"), r["value"].alias("phrase"))))
+
+    def chosen(v: Column, compounds: Column) -> Column:
+        def take(taken: Column, x: Column) -> Column:
+            holds = F.filter(compounds, lambda f: F.array_contains(F.split(f["phrase"], " "), x["phrase"]) & (10 * f["minus"] <= 4 * x["minus"]))
+            better = F.when(space(x["phrase"]) == 1, F.coalesce(F.get(holds, F.lit(0)), x)).otherwise(x)
+            near = lambda e, k: F.contains(e["phrase"], k["phrase"]) | F.contains(k["phrase"], e["phrase"])
+            return F.when(F.size(taken) >= most, taken).otherwise(_let(better, lambda k: F.when(F.exists(taken, lambda e: near(e, k)), taken).otherwise(F.array_append(taken, k))))
+
+        return F.aggregate(v, F.array().cast("array<struct<minus:int,phrase:string>>"), take)
+
+    def of_words(o: Column, in_title: Column) -> Column:
+        return _let(F.transform(o, F.lower), lambda w: _let(names(o), lambda n: _let(F.transform(w, lambda x: ~(dull(x) | F.array_contains(n, x) & ~F.array_contains(in_title, x))), lambda good: _let(valued(phrases(w, good), in_title), lambda v: F.transform(_let(F.filter(v, lambda f: F.contains(f["phrase"], F.lit(" "))), lambda c: chosen(v, c)), lambda k: F.struct(k["minus"], k["phrase"], F.transform(F.split(k["phrase"], " "), lambda x: F.when(F.array_contains(n, x), F.initcap(x)).otherwise(x)).alias("shown")))))))
+
+    topic = F.filter(F.transform(spoken(F.coalesce(title, F.lit(""))), F.lower), lambda w: ~dull(w))
+    every = _let(spoken(body_of(body)), lambda o: F.when(F.size(o) >= FEWEST, _let(topic, lambda t: of_words(o, t))))
+    rows = docs.select(key, F.posexplode(every).alias("i", "x"))
+    shown = F.array_join("x.shown", " ")
+    return rows.select(key, F.concat(F.upper(F.substring(shown, 1, 1)), F.substring(shown, F.lit(2), F.length(shown))).alias("phrase"), (F.col("x.minus") / -10.0).alias("value"), (F.col("i") + 1).cast("long").alias("rank"))
+
+
+def computed_sql(title: str, most: int = 6) -> str:
+    quoted = lambda values: ", ".join(f"'{v}'" for v in values)
+    out = quoted(sorted({w for s in STOP_WORDS.values() for w in s} | set(GENERIC)))
+    sql = lambda pattern: pattern.replace("'", "''")
+    spoken_ = lambda x: f"list_filter(list_transform(regexp_extract_all({x}, '{sql(_WORD)}'), lambda w: regexp_replace(regexp_replace(w, '{sql(_ELISION)}', ''), '{sql(_EDGE)}', '', 'g')), lambda w: w <> '')"
+    good = lambda i: f"g[{i}]"
+    return rf"""
+WITH h AS (SELECT doc_id, {title} AS title, text, length(regexp_extract(text, '(?s)^(.*?){sql(_HEADING)}', 1)) AS ends FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, title, CASE WHEN ends > 5000 THEN substr(text, 1, ends) ELSE text END AS x FROM h),
+k AS (SELECT doc_id, title, CASE WHEN length(x) > 30000 THEN substr(x, CAST(floor(length(x) * 0.08) AS BIGINT) + 1) ELSE x END AS x FROM c),
+o AS (SELECT doc_id, {spoken_("title")} AS t, {spoken_("x")} AS o FROM k),
+w AS (SELECT doc_id, list_filter(list_transform(t, lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN ({out})) AS t, o, list_transform(o, lambda x: lower(x)) AS w FROM o WHERE len(o) >= {FEWEST}),
+u AS (SELECT doc_id, unnest(o) AS o FROM w),
+nm AS (SELECT doc_id, lower(o) AS name FROM u GROUP BY 1, 2 HAVING count(*) >= 3 AND 100 * count(*) FILTER (WHERE regexp_matches(o, '^\p{{Lu}}')) > 85 * count(*)),
+nl AS (SELECT doc_id, list(name) AS n FROM nm GROUP BY 1),
+b AS (SELECT w.doc_id, t, w, coalesce(n, []) AS n FROM w LEFT JOIN nl USING (doc_id)),
+gd AS (SELECT *, list_transform(w, lambda x: length(x) >= 3 AND x NOT IN ({out}) AND (NOT list_contains(n, x) OR list_contains(t, x))) AS g FROM b),
+ph AS (SELECT doc_id, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {good("i")} THEN list_filter([w[i], CASE WHEN {good("i + 1")} THEN w[i] || ' ' || w[i + 1] END, CASE WHEN {good("i + 2")} AND ({good("i + 1")} OR w[i + 1] IN ({quoted(INNER)})) THEN w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END], lambda p: p IS NOT NULL) ELSE [] END))) AS p FROM gd),
+ct AS (SELECT doc_id, p, string_split(p, ' ') AS ws, count(*) * CASE len(string_split(p, ' ')) WHEN 1 THEN {TENTHS[1]} WHEN 2 THEN {TENTHS[2]} ELSE {TENTHS[3]} END AS v FROM ph GROUP BY 1, 2),
+vl AS (SELECT ct.doc_id, p, ws, v * CASE WHEN len(list_intersect(ws, t)) > 0 THEN 2 ELSE 1 END AS v FROM ct JOIN gd USING (doc_id) WHERE v >= CASE len(ws) WHEN 1 THEN {NEEDED[1]} ELSE {NEEDED[2]} END),
+pw AS (SELECT doc_id, p, v, unnest(list_distinct(ws)) AS x FROM vl WHERE len(ws) > 1),
+bt AS (SELECT vl.doc_id, vl.p, arg_min({{'p': pw.p, 'v': pw.v}}, {{'m': -pw.v, 'p': pw.p}}) AS b FROM vl JOIN pw ON pw.doc_id = vl.doc_id AND pw.x = vl.p WHERE len(ws) = 1 AND 10 * pw.v >= 4 * vl.v GROUP BY 1, 2),
+od AS (SELECT vl.doc_id, list([coalesce(b, {{'p': vl.p, 'v': vl.v}})] ORDER BY vl.v DESC, vl.p) AS l FROM vl LEFT JOIN bt ON bt.doc_id = vl.doc_id AND bt.p = vl.p GROUP BY 1),
+ch AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN len(a) >= {most} OR len(list_filter(a, lambda e: contains(e.p, x[1].p) OR contains(x[1].p, e.p))) > 0 THEN a ELSE a || x END) AS l FROM od),
+ex AS (SELECT doc_id, unnest(l) AS e, unnest(range(1, len(l) + 1)) AS rank FROM ch),
+sh AS (SELECT ex.doc_id, e, rank, array_to_string(list_transform(string_split(e.p, ' '), lambda x: CASE WHEN list_contains(n, x) THEN upper(x[1]) || substr(x, 2) ELSE x END), ' ') AS s FROM ex JOIN b USING (doc_id))
+SELECT doc_id, CASE WHEN s[1] = 'ß' THEN 'SS' ELSE upper(s[1]) END || substr(s, 2) AS phrase, CAST(e.v / 10.0 AS DOUBLE) AS value, rank FROM sh
 """
 
 

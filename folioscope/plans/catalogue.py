@@ -503,9 +503,10 @@ def json_field_read(spark, sf_dir):
 # keywords and names -----------------------------------------------------------------------------------------------------
 
 
-@query(keywords.ngram_sql(_tokens("text")))
+@query(keywords.computed_sql(TITLE))
 def keywords_topk(spark, sf_dir):
-    return keywords.ngram_counts(table(spark, sf_dir, "documents"), text.tokens(F.col("text")), "doc_id", 6)
+    docs = with_title(table(spark, sf_dir, "documents"))
+    return keywords.computed(docs, F.col("title"), F.col("text"), "doc_id")
 
 
 @query(keywords.language_sql(_tokens("text")))
