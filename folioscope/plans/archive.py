@@ -28,13 +28,28 @@ _WORK = "CASE p_partkey % 4 WHEN 0 THEN 'Sonata in C minor, BWV ' || p_size WHEN
 
 @query(f"""
 WITH w AS (SELECT p_partkey, p_size, p_partkey % 4 AS k FROM part)
-SELECT p_partkey, CASE k WHEN 0 THEN 'BWV ' || p_size WHEN 1 THEN 'RV ' || p_size WHEN 2 THEN 'Op ' || p_size END AS number, CASE k WHEN 0 THEN 'C minor' WHEN 1 THEN 'G major' END AS key, CASE k WHEN 0 THEN 'sonata' WHEN 1 THEN 'concerto' END AS form FROM w
+SELECT p_partkey, CASE k WHEN 0 THEN 'BWV ' || p_size WHEN 1 THEN 'RV ' || p_size WHEN 2 THEN 'Op.' || p_size END AS number, CASE k WHEN 0 THEN 'C minor' WHEN 1 THEN 'G major' END AS key, CASE k WHEN 0 THEN 'sonata' WHEN 1 THEN 'concerto' END AS form FROM w
 """)
 def catalogue_numbers(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_WORK).alias("t"))
     return p.select("p_partkey", rules.catalogue_number(F.col("t")).alias("number"), rules.key_of_title(F.col("t")).alias("key"), rules.form_of_title(F.col("t")).alias("form"))
 
 
+_PRINTED = "CASE p_partkey % 8 WHEN 0 THEN 'Partita BWV Anh. ' || p_size WHEN 1 THEN 'Trio, Hob. XV : ' || p_size WHEN 2 THEN 'Rondo KV ' || p_size || 'a' WHEN 3 THEN 'Duo_Wq_' || p_size WHEN 4 THEN 'Aria Z ' || (p_size + 10) || ' and RV ' || p_size WHEN 5 THEN 'Ouverture TWV 55 D ' || p_size WHEN 6 THEN 'Quartets op. 59, no. II, and Op. ' || p_size ELSE 'Fantazias 20-' || p_size END"
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_size AS s, p_partkey % 8 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'BWV Anh.' || s WHEN 1 THEN 'Hob.XV:' || s WHEN 2 THEN 'K.' || s || 'a' WHEN 3 THEN 'Wq.' || s WHEN 4 THEN 'RV ' || s WHEN 5 THEN 'TWV 55:D' || s WHEN 6 THEN 'Op.59 No.2' END AS number,
+CASE k WHEN 0 THEN 'BWV Anh.' || s WHEN 1 THEN 'Hob.XV:' || s WHEN 2 THEN 'K.' || s || 'a' WHEN 3 THEN 'Wq.' || s WHEN 4 THEN 'RV ' || s || ' Z.' || (s + 10) WHEN 5 THEN 'TWV 55:D' || s WHEN 6 THEN CASE WHEN s = 59 THEN 'Op.59' ELSE 'Op.59 Op.' || s END ELSE '' END AS numbers,
+CASE k WHEN 0 THEN 'Bach' WHEN 1 THEN 'Haydn' WHEN 2 THEN 'Mozart' WHEN 3 THEN 'Bach' WHEN 4 THEN 'Vivaldi' WHEN 5 THEN 'Telemann' END AS owner, k = 7 AND s > 20 AS several FROM n
+""")
+def catalogue_number_forms(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PRINTED).alias("t"))
+    number = rules.catalogue_number(F.col("t"))
+    return p.select("p_partkey", number.alias("number"), F.array_join(rules.catalogue_numbers(F.col("t")), " ").alias("numbers"), rules.catalogue_owner(number).alias("owner"), rules.number_range(F.col("t")).alias("several"))
+
+
 @query("""
 SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN c_mktsegment END AS author, CASE c_custkey % 3 WHEN 0 THEN CAST(1900 + c_nationkey AS INTEGER) WHEN 2 THEN CAST(1900 + c_nationkey AS INTEGER) END AS year,
 'On some matters' AS title, c_custkey % 3 = 2 AS probable FROM customer
