@@ -60,15 +60,18 @@ def _tagged(kind: str):
 
 
 def dating(c: Column) -> Column:
-    """Catalogue datings in German or English as 'YYYY-YYYY': quarters, halves, thirds, beginning, middle or end of a century; else null."""
+    """Catalogue datings in German or English as 'YYYY-YYYY': quarters, halves, thirds, beginning, middle or end of a century; a year with a mark as 'c.', 'after' or 'before' it; else null."""
     century = F.regexp_extract(c, r"([0-9]{1,2})(?:\.|st|nd|rd|th)\s*(?:Jh\.?|Jahrhundert|cent\.?|century)", 1)
     base = (F.nullif(century, F.lit("")).cast("int") - 1) * 100
     part = F.regexp_extract(c, r"(?i)([1-4])\.?(?:st|nd|rd|th)?\s*(?:viertel|quarter)", 1)
     half = F.regexp_extract(c, r"(?i)([12])\.?(?:st|nd)?\s*(?:hälfte|half)", 1)
-    q, h = F.nullif(part, F.lit("")).cast("int"), F.nullif(half, F.lit("")).cast("int")
-    lo = F.when(q.isNotNull(), (q - 1) * 25 + 1).when(h.isNotNull(), (h - 1) * 50 + 1).when(c.rlike("(?i)anfang|beginning|early"), 1).when(c.rlike("(?i)mitte|middle|mid-"), 34).when(c.rlike("(?i)ende|end of|late"), 67).otherwise(1)
-    hi = F.when(q.isNotNull(), q * 25).when(h.isNotNull(), h * 50).when(c.rlike("(?i)anfang|beginning|early"), 33).when(c.rlike("(?i)mitte|middle|mid-"), 66).otherwise(100)
-    return F.when(base.isNotNull(), F.concat_ws("-", (base + lo).cast("string"), (base + hi).cast("string")))
+    third = F.regexp_extract(c, r"(?i)([1-3])\.?(?:st|nd|rd)?\s*(?:drittel|third)", 1)
+    q, h, t = (F.nullif(x, F.lit("")).cast("int") for x in (part, half, third))
+    lo = F.when(q.isNotNull(), (q - 1) * 25 + 1).when(h.isNotNull(), (h - 1) * 50 + 1).when(t.isNotNull(), (t - 1) * 33 + 1).when(c.rlike("(?i)anfang|beginning|early"), 1).when(c.rlike("(?i)mitte|middle|mid-"), 34).when(c.rlike("(?i)ende|end of|late"), 67).otherwise(1)
+    hi = F.when(q.isNotNull(), q * 25).when(h.isNotNull(), h * 50).when(t == 3, 100).when(t.isNotNull(), t * 33).when(c.rlike("(?i)anfang|beginning|early"), 33).when(c.rlike("(?i)mitte|middle|mid-"), 66).otherwise(100)
+    marked = [(mark, F.regexp_extract(c, rf"(?i)\b(?:{words})\s*([0-9]{{4}})\b", 1)) for mark, words in (("c.", r"um|ca\.?|c\.|circa|around"), ("after", "nach|after"), ("before", "vor|before"))]
+    years = F.coalesce(*[F.when(y != "", F.concat_ws(" ", F.lit(mark), y)) for mark, y in marked])
+    return F.when(base.isNotNull(), F.concat_ws("-", (base + lo).cast("string"), (base + hi).cast("string"))).otherwise(years)
 
 
 def musical_text(c: Column) -> Column:
@@ -90,7 +93,8 @@ def plausible_title(c: Column) -> Column:
 
 def academic_authors(authors: Column, title: Column) -> Column:
     """Authors of studies: a composer whose surname the title names is its subject, unless nobody else is left."""
-    named = lambda a: F.array_contains(text.words(title), text.normalise(a["surname"])) & F.coalesce(a["role"] == "composer", F.lit(False))
+    padded = lambda c: F.concat(F.lit(" "), text.normalise(c), F.lit(" "))  # noqa: E731  a surname may have several words
+    named = lambda a: F.coalesce(padded(title).contains(padded(a["surname"])) & (a["role"] == "composer"), F.lit(False))
     rest = F.filter(authors, lambda a: ~named(a))
     return F.when(F.size(rest) > 0, rest).otherwise(authors)
 

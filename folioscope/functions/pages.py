@@ -91,7 +91,33 @@ def best_name(names: Column) -> Column:
     return F.array_max(F.transform(names, lambda n, i: F.struct(rules.name_information(n).alias("s"), (-i).alias("o"), n.alias("n"))))["n"]
 
 
-def work_compatible(title: Column, work: Column) -> Column:
-    """Whether an identified work can be what a title names: catalogue number, key and form must not contradict."""
-    agree = lambda f: f(title).isNull() | f(work).isNull() | (f(title) == f(work))
-    return agree(rules.catalogue_number) & agree(rules.key_of_title) & agree(rules.form_of_title)
+def work_compatible(title: Column, work: Column, movements: Column | None = None, work_key: Column | None = None) -> Column:
+    """Whether an identified work can be what a title names.
+
+    In this order: numbers of one catalogue must agree, then places in a series; a numbered piece is no collection; a
+    collection is no single work of a known kind; a single piece is no run of numbers; announced counts and keys must
+    agree; a dance must be among the work's movements where these are known; else the kinds named must meet (a movement
+    may be of the kind). What one side does not say vetoes nothing; nulls say nothing.
+    """
+    title, work = F.coalesce(title, F.lit("")), F.coalesce(work, F.lit(""))
+    movements = F.lit(None).cast("string") if movements is None else movements
+    differ = lambda a, b: F.coalesce(a != b, F.lit(False))
+    number, number_w = rules.catalogue_number(title), rules.catalogue_number(work)
+    family = lambda n: F.regexp_extract(n, "^([A-Za-z]+)", 1)
+    place, place_w = rules.serial_number(title), rules.serial_number(work)
+    many, single_w = rules.several_works(title), ~rules.several_works(work) & ~rules.number_range(work)
+    kinds, kinds_w, dance = rules.genres_of(title), rules.genres_of(work), rules.dance_of(title)
+    key_w = rules.key_of_title(work) if work_key is None else F.coalesce(rules.key_of_title(work), work_key)
+    counts = rules.work_count
+    veto = (
+        (F.coalesce(family(number) == family(number_w), F.lit(False)) & differ(number, number_w))
+        | differ(place, place_w)
+        | (place.isNotNull() & work.rlike(r"^[0-9]+\s"))
+        | (many & single_w & (F.size(kinds_w) > 0))
+        | (~many & rules.number_range(work))
+        | differ(counts(title), counts(work))
+        | differ(rules.key_of_title(title), key_w)
+    )
+    apart = (F.size(kinds) > 0) & (F.size(kinds_w) > 0) & ~F.arrays_overlap(kinds, F.array_union(kinds_w, rules.genres_of(movements)))
+    danced = text.normalise(movements).contains(dance)
+    return ~veto & F.when(dance.isNotNull() & movements.isNotNull(), danced).otherwise(~apart)

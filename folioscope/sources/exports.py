@@ -58,3 +58,34 @@ def latest_text(texts: DataFrame, key: str, updated: str, most: int = 8_000_000)
 
 def append_audit(changes: DataFrame, path: str) -> None:
     changes.withColumn("day", F.current_date()).write.mode("append").partitionBy("day").json(path)
+
+
+def static_plan(required: DataFrame, present: DataFrame, previous: DataFrame) -> DataFrame:
+    """``path, action, source`` for a static copy, from manifests(path, sha256) of what it needs, holds, and held last time.
+
+    'up to date', 'copy', 'renamed' (``source`` is a file no longer needed with the same content, the first by name),
+    'delete' (not needed, and the copy made it), 'junk' (not needed, and not made by the copy: it is left alone).
+    """
+    gone = present.join(required.select("path"), "path", "left_anti")
+    again = gone.groupBy("sha256").agg(F.min("path").alias("source"))
+    here = present.select("path", F.col("sha256").alias("held"))
+    need = required.select("path", "sha256").join(here, "path", "left").join(again, "sha256", "left")
+    same = F.coalesce(F.col("held") == F.col("sha256"), F.lit(False))
+    renamed = ~same & F.col("source").isNotNull()
+    action = F.when(same, "up to date").when(renamed, "renamed").otherwise("copy")
+    made = previous.select("path", F.lit(True).alias("made")).distinct()
+    rest = gone.select("path").join(made, "path", "left").select("path", F.when(F.col("made"), "delete").otherwise("junk").alias("action"), F.lit(None).cast("string").alias("source"))
+    return need.select("path", action.alias("action"), F.when(renamed, F.col("source")).alias("source")).unionByName(rest)
+
+
+def static_apply(blocks: DataFrame, plan_totals: dict[str, int], path: str, most_deleted: float = 0.5) -> None:
+    """Writes the changed ``blocks`` (a column ``block`` and their rows) over those of a copy by block; the others stay.
+
+    ``plan_totals`` are the plan's counts by action. A plan that would delete more than that share of what is there is
+    refused, since a missing source looks like that. Each block is replaced whole when the write commits.
+    """
+    deleted = plan_totals.get("delete", 0)
+    there = deleted + sum(plan_totals.get(a, 0) for a in ("up to date", "renamed"))
+    if deleted > most_deleted * there:
+        raise ValueError(f"refused: the plan deletes {deleted} of {there} files")
+    blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block").parquet(path)
