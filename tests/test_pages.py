@@ -38,3 +38,16 @@ def test_payloads(spark):
         z.writestr("b.txt", "no")
     df = spark.createDataFrame([("p", bytearray(buf.getvalue())), ("q", bytearray(b"not a zip"))], "path string, content binary")
     assert [(r.path, r.member, bytes(r.content)) for r in records.zip_members(df, r"\.xml$").collect()] == [("p", "a/score.xml", b"<x/>")]
+
+
+def test_each_veto_of_a_work(spark):
+    ok = lambda t, w, **more: one(spark, pages.work_compatible(F.lit(t), F.lit(w), **more))
+    assert ok("Concerto RV 9", "Violin Concerto, RV 9") and not ok("Concerto RV 8", "Violin Concerto, RV 9") and ok("Concerto RV 8", "Concerto, Op. 3")
+    assert not ok("Sonata No. 2", "Sonata No. 3") and not ok("Sonata II", "Sonata III") and not ok("Sonata II", "10 Sonatas")
+    assert not ok("Six Sonatas", "Recorder Sonata") and ok("Six Sonatas", "6 Sonatas") and not ok("Four pieces", "3 pieces")
+    assert not ok("Zadok the Priest", "Coronation Anthems, HWV 258-261") and ok("Coronation Anthems", "Coronation Anthems, HWV 258-261")
+    assert not ok("Sonata in C minor", "Sonata in C major") and not ok("Concerto", "Sonata") and ok("Concerto", "Nothing named")
+    assert ok("Gigue", "Suite", movements=F.lit("Allemande\nGigue")) and not ok("Gigue", "Suite", movements=F.lit("Allemande"))
+    assert ok("Prelude", "Cello Suite", movements=F.lit("Prelude\nAllemande")) and not ok("Prelude", "Cello Suite")
+    none = F.lit(None).cast("string")
+    assert one(spark, pages.work_compatible(none, F.lit("Sonata"))) and one(spark, pages.work_compatible(F.lit("Sonata"), none))

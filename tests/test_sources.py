@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.sources import exports, records
@@ -60,3 +61,17 @@ def test_incremental_index_and_duplicates(spark, tmp_path):
     assert got == {1: ["red", "book"], 2: ["green"], 3: ["new"]}
     rows = spark.createDataFrame([("a.JPG",), ("b.pdf",), ("c",)], "path string").select(ingest.category().alias("c"))
     assert [r.c for r in rows.collect()] == ["image", "document", "other"]
+
+
+def test_static_copy(spark, tmp_path):
+    made = lambda *rows: spark.createDataFrame(list(rows), "path string, sha256 string")
+    required, present, previous = made(("a", "1"), ("b", "2"), ("c", "3"), ("n", None)), made(("a", "1"), ("b", "x"), ("z", "3"), ("y", "3"), ("w", "9")), made(("y", "3"), ("w", "9"), ("w", "8"))
+    got = {r.path: (r.action, r.source) for r in exports.static_plan(required, present, previous).collect()}
+    assert got == {"a": ("up to date", None), "b": ("copy", None), "c": ("renamed", "y"), "n": ("copy", None), "y": ("delete", None), "w": ("delete", None), "z": ("junk", None)}
+    assert exports.static_plan(made(), made(), made()).count() == 0
+    blocks, path = (lambda *rows: spark.createDataFrame(list(rows), "block int, id int")), f"file://{tmp_path}/copy"
+    exports.static_apply(blocks((1, 10), (2, 20)), {"copy": 2}, path)
+    exports.static_apply(blocks((2, 21)), {"copy": 1, "up to date": 1}, path)
+    assert {(r.block, r.id) for r in spark.read.parquet(path).collect()} == {(1, 10), (2, 21)}
+    with pytest.raises(ValueError, match="refused"):
+        exports.static_apply(blocks((1, 1)), {"delete": 9, "up to date": 1}, path)
