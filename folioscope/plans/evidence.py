@@ -359,3 +359,22 @@ def static_copy_plan(spark, sf_dir):
     required = o.where("o_orderkey % 4 <> 0").select(F.concat(F.lit("f"), n).alias("path"), F.concat(F.lit("h"), n).alias("sha256"))
     p = o.where("o_orderkey % 6 <> 1").select(k, F.concat(F.when(k % 5 == 0, "old").otherwise("f"), n).alias("path"), F.concat(F.when(k % 7 == 0, "other").otherwise("h"), n).alias("sha256"))
     return exports.static_plan(required, p.drop("o_orderkey"), p.where("o_orderkey % 3 = 0").drop("o_orderkey"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 6 AS m, 'A rather long title ' || p_partkey AS t FROM part)
+SELECT 'in/Doe - ' || t || CASE WHEN m = 0 THEN '.part' ELSE '.pdf' END AS path, CASE m WHEN 0 THEN 'ignored' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'filed' WHEN 3 THEN 'filed' ELSE 'review' END AS action, CASE WHEN m IN (1, 2, 3) THEN k END AS match,
+CASE WHEN m = 2 THEN 'Title ' || k WHEN m > 2 THEN t END AS title, CASE WHEN m = 2 THEN 'Roe' WHEN m > 2 THEN 'Doe' END AS surname, CAST(CASE m WHEN 2 THEN 1990 WHEN 3 THEN 1999 END AS INTEGER) AS year,
+CASE m WHEN 2 THEN 'ROE_1990_title-' || k WHEN 3 THEN 'DOE_1999_a-rather-long-title-' || k END AS file_name FROM p
+""")
+def files_ingested(spark, sf_dir):
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    p, title, m = table(spark, sf_dir, "part"), F.concat(F.lit("A rather long title "), n), F.col("p_partkey") % 6
+    sha = F.concat(F.lit("h"), n)
+    files = p.select(F.concat(F.lit("in/Doe - "), title, F.when(m == 0, ".part").otherwise(".pdf")).alias("path"), F.when(m != 5, sha).alias("sha256"), F.lit(70000).alias("size"), F.when(m == 2, F.concat(F.lit("doi:10.1000/"), n, F.lit("."))).alias("text"))
+    twins = p.where(m == 1).select(F.explode(F.array(k, k + 1)).alias("id"), sha.alias("sha256"))
+    made = lambda at, doi, t, who, y: p.where(m == at).select(k.alias("id"), doi.alias("doi"), t.alias("title"), F.lit(who).alias("surname"), F.lit(y).alias("year"))
+    none = F.lit(None).cast("string")
+    twice = made(4, none, title, "Doe", 1999)
+    known = made(2, F.concat(F.lit("10.1000/"), n), F.concat(F.lit("Title "), n), "Roe", 1990).unionByName(made(3, none, title, "Doe", 1999)).unionByName(twice).unionByName(twice.withColumn("id", F.col("id") + 1000000))
+    return workflows.ingest_files(files, twins, known)

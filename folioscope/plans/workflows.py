@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions import evidence, text
+from folioscope.functions import evidence, identifiers, rules, text
 from folioscope.functions.similarity import years_ok
 from folioscope.operators import components, dedup, edit, linkage, rank, search
 from folioscope.operators.components import stored
+from folioscope.streaming.ingest import category
 
 
 def search_with_facets(docs: DataFrame, weights: dict[str, float], q: str, facets: Column, limit: int = search.LIMIT, key: str = "doc_id") -> DataFrame:
@@ -25,6 +26,36 @@ def search_with_facets(docs: DataFrame, weights: dict[str, float], q: str, facet
     return hits.join(docs, key).where(facets).orderBy("rank")
 
 
+def ingest_files(files: DataFrame, library: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``path, action, match, title, surname, year, file_name`` of new files(path, sha256, size, text): read, guessed, looked up, decided.
+
+    'ignored' (no source file), 'duplicate' (``match`` is the smallest id of library(id, sha256) with that content), 'filed'
+    (``match`` in catalogue(id, doi, title, surname, year) has the first DOI of the text, or, as the only one and with no
+    other year, the title that the file name tells), else 'review' with what the name tells. Of rows with one DOI the
+    smallest id counts. Nulls match nothing; each row of a repeated path is decided on its own.
+    """
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    told = files.select("path", "sha256", "size", category().alias("category"), name.alias("name"), rules.file_name_parts(name).alias("told"), F.get(identifiers.dois(F.coalesce("text", F.lit(""))), F.lit(0)).alias("doi"))
+    skip = F.coalesce(rules.ignored_file(F.col("name")) | ~rules.source_file(F.col("category"), F.col("size")), F.lit(True))
+    # what has no key takes one of its own, so it does not land in one task
+    own = lambda c: F.coalesce(c, F.concat(F.lit("\x00"), F.xxhash64("path", "size").cast("string")))
+    row = F.struct("id", "title", "surname", F.col("year").cast("int").alias("year"))
+    twins = library.where(F.col("sha256").isNotNull()).groupBy(F.col("sha256").alias("k1")).agg(F.min("id").alias("twin"))
+    by_doi = catalogue.where(~text.is_blank(F.col("doi"))).groupBy(F.lower(F.trim("doi")).alias("k2")).agg(F.min_by(row, "id").alias("a"))
+    titled = catalogue.groupBy(text.compact_title(F.col("title")).alias("k3")).agg(F.count("*").alias("n"), F.min_by(row, "id").alias("b"))
+    titled = titled.where((F.col("n") == 1) & (F.length("k3") >= 8)).drop("n")
+    keyed = told.withColumn("k1", own(F.col("sha256"))).withColumn("k2", own(F.col("doi"))).withColumn("k3", own(text.compact_title(F.col("told.title"))))
+    j = keyed.join(twins, "k1", "left").join(by_doi, "k2", "left").join(titled, "k3", "left")
+    fits = F.coalesce(F.col("told.year") == F.col("b.year"), F.lit(True))
+    found = F.coalesce(F.col("a"), F.when(fits, F.col("b")))
+    action = F.when(skip, "ignored").when(F.col("twin").isNotNull(), "duplicate").when(found.isNotNull(), "filed").otherwise("review")
+    j = j.withColumn("found", found).withColumn("action", action)
+    of = lambda c, guess: F.when(F.col("action") == "filed", F.col(f"found.{c}")).when(F.col("action") == "review", F.col(f"told.{guess}"))
+    out = j.select("path", "action", F.when(F.col("action") == "duplicate", F.col("twin")).when(F.col("action") == "filed", F.col("found.id")).alias("match"), of("title", "title").alias("title"), of("surname", "author").alias("surname"), of("year", "year").alias("year"))
+    filed = rules.file_values(F.coalesce("surname", F.lit("")), F.coalesce("year", F.lit(0)), F.coalesce("title", F.lit("")))
+    return out.withColumn("file_name", F.when(F.col("action") == "filed", filed))
+
+
 def import_entries(entries: DataFrame, library: DataFrame) -> DataFrame:
     """Entries of a reference list, in file order, against the library: ``entry, action, match``.
 

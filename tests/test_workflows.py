@@ -75,3 +75,19 @@ def test_workflows(spark, sf):
     assert {r.id: r.place for r in out.collect()} == {1: "Porto", 2: "", 3: "z"} and {r.id: r.action for r in audit.collect()} == {1: "changed", 2: "skipped", 3: "same"}
     files = spark.createDataFrame([("a", "h1"), ("b", "h2")], "path string, sha256 string")
     assert {r.path: r.state for r in workflows.space_audit(files, files.where("path = 'a'")).collect()} == {"a": "safe", "b": "to check"}
+
+
+def test_ingest_of_odd_files(spark):
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, sha256 string, size long, text string")
+    library = spark.createDataFrame([(5, None), (7, "h"), (6, "h")], "id long, sha256 string")
+    catalogue = spark.createDataFrame([(1, "10.1000/A", None, None, None), (2, "10.1000/a", "Two", "Roe", 1990), (3, None, "A long enough title", "Doe", 1999)], "id long, doi string, title string, surname string, year int")
+    rows = workflows.ingest_files(
+        files(("a/x.pdf", "h", 9, None), ("a/y.pdf", None, 9, "doi:10.1000/a"), ("a/(2001) A long enough title.pdf", "n", 9, ""), ("a/A long enough title.pdf", "n", 9, None), ("a/A long enough title.pdf", "n", 9, None), (None, "h", None, None), ("a/s.jpg", "h", 10, None)),
+        library, catalogue,
+    ).collect()
+    got = sorted((r.path or "", r.action, r.match or 0, r.file_name or "") for r in rows)
+    assert got == [
+        ("", "ignored", 0, ""), ("a/(2001) A long enough title.pdf", "review", 0, ""), ("a/A long enough title.pdf", "filed", 3, "DOE_1999_a-long-enough-title"), ("a/A long enough title.pdf", "filed", 3, "DOE_1999_a-long-enough-title"),
+        ("a/s.jpg", "ignored", 0, ""), ("a/x.pdf", "duplicate", 6, ""), ("a/y.pdf", "filed", 1, "_0000_"),
+    ]
+    assert workflows.ingest_files(files(), library.limit(0), catalogue.limit(0)).count() == 0
