@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash, neighbours, repeats, secrets, urlfilter
+from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash, neighbours, repeats, secrets, trie, urlfilter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,6 +69,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("licences", F.array_join("licences", ","))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations")))).drop("node", "role", "n_bytes")
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, urlfilter.default_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
@@ -85,10 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op13_url_filters": op13_url_filters,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": linededup.SQL,
     "op10_license_scan": licences.sql(),
+    "op12_conversation_prefix_trie": trie.SQL,
     "op13_url_filters": urlfilter.SQL,
 }
