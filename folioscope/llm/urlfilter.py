@@ -70,10 +70,11 @@ def compiled(rules: DataFrame) -> DataFrame:
     return r.select("rule", "verdict", "part", F.concat(head, inner, F.when(p.endswith("|"), r"\z").otherwise("")).alias("regex"), F.array_distinct(own).alias("words"))
 
 
-def index(rules: DataFrame, urls: DataFrame, text: Column) -> DataFrame:
-    """``compiled`` rules with ``word``: the rarest of their words in all ``urls`` (by the number of rows; ties: the smallest), empty where there is none."""
+def index(rules: DataFrame, urls: DataFrame, text: Column, few: bool = False) -> DataFrame:
+    """``compiled`` rules with ``word``: the rarest of their words in all ``urls`` (by the number of rows; ties: the smallest), empty where there is none. The words of ``few`` rules are broadcast, so that the urls' words need not be dealt out to be counted."""
     rules = compiled(rules)
     asked = rules.select(F.explode("words").alias("word")).distinct()
+    asked = F.broadcast(asked) if few else asked
     seen = urls.select(F.explode(words(text)).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     each = rules.select("rule", "verdict", "part", "regex", F.explode("words").alias("word")).join(seen, "word", "left")
     least = each.groupBy("rule", "verdict", "part", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "word"))["word"].alias("word"))
@@ -125,7 +126,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", in_row: int = IN
     kept = work.columns
     work = work.withColumns({f"__{k}": c for k, c in parts(F.col(url)).items()})
     n = rules.count()
-    found = index(rules, work, F.concat("__host", "__rest"))
+    found = index(rules, work, F.concat("__host", "__rest"), n <= in_row)
     out = _in_row(work, found, n) if n <= in_row else _joined(work, found)
     best, place = F.col("__best"), ~F.col("__best.after")
     new = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.when(place, best["rule"]), "verdict": F.coalesce(best["verdict"], F.lit("allow")), "pattern": F.when(~place, best["rule"])}
