@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash, neighbours, repeats, secrets, trie, urlfilter
+from folioscope.llm import bpe, decontaminate, langid, licences, linededup, lm, minhash, negatives, neighbours, repeats, secrets, trie, urlfilter
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,6 +69,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("licences", F.array_join("licences", ","))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows)
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations")))).drop("node", "role", "n_bytes")
 
@@ -89,12 +94,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op11_hard_negative_mining": op11_hard_negative_mining,
     "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op13_url_filters": op13_url_filters,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": linededup.SQL,
     "op10_license_scan": licences.sql(),
+    "op11_hard_negative_mining": negatives.SQL,
     "op12_conversation_prefix_trie": trie.SQL,
     "op13_url_filters": urlfilter.SQL,
 }
