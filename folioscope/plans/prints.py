@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import layout
-from folioscope.operators import printed
+from folioscope.operators import hamming, printed
 from folioscope.plans.catalogue import _norm, query, table
 
 #: A line of music, and the places at which a document's lines are set: each line is cut in two cells by its own length.
@@ -67,3 +67,25 @@ def first_page_parser(spark, sf_dir):
     page = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(row(x), F.when(i + 1 == staff, "\n" + STAFF).otherwise(""))), "\n")
     out = printed.first_pages(d.select("doc_id", page.alias("page")), "doc_id", "page")
     return out.select("doc_id", "title", "subtitle", F.array_join("composers", " | ").alias("composers"), F.array_join("sources", " | ").alias("sources"), "part", F.size("others").cast("long").alias("n_others"))
+
+
+_LEVELS = "list_transform(embedding, lambda x: CAST(greatest(0, least(64, floor(CAST(x AS DOUBLE) * 32 + 32))) AS BIGINT))"
+_NEAR_PRINTS = f"""
+v AS (SELECT vec_id, label AS n, {_LEVELS} AS l FROM embeddings),
+s AS (SELECT 'first' AS side, vec_id, n, l[1:32] AS p FROM v UNION ALL SELECT 'last', vec_id, n, l[33:64] FROM v),
+r AS (SELECT side, n, p, min(vec_id) AS rep FROM s GROUP BY 1, 2, 3),
+k AS (SELECT a.side, a.rep AS a, b.rep AS b, CAST(list_sum(list_transform(range(1, 33), lambda i: abs(a.p[i] - b.p[i]))) AS BIGINT) AS distance FROM r AS a JOIN r AS b ON a.side = b.side AND b.n BETWEEN a.n AND a.n + 2 AND (b.n > a.n OR a.rep < b.rep))
+"""
+
+
+def _page_prints(spark, sf_dir):
+    """Two prints of 2,048 bits for each vector: each number is 64 bits, as many of them set as its level, so bits differ as levels do."""
+    levels = F.expr("transform(embedding, x -> cast(greatest(0, least(64, floor(cast(x as double) * 32 + 32))) as int))")
+    words = F.expr("transform(levels, x -> if(x = 64, -1L, shiftleft(1L, x) - 1L))")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("n"), levels.alias("levels")).withColumn("words", words)
+    return v.select("id", "n", F.slice("words", 1, 32).alias("first"), F.slice("words", 33, 32).alias("last"))
+
+
+@query(f"WITH {_NEAR_PRINTS} SELECT * FROM k WHERE distance <= 100")
+def near_page_prints(spark, sf_dir):
+    return hamming.near_prints(_page_prints(spark, sf_dir))[0]
