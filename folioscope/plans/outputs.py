@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import components, search
+from folioscope.operators import components, inverted, search
 from folioscope.plans import workflows
 from folioscope.plans.catalogue import _bm25, _tokens, query, table, with_title
 from folioscope.sources import exports
@@ -106,3 +106,20 @@ def index_maintained(spark, sf_dir):
     finally:
         run.stop()
     return spark.read.parquet(f"{base}/out/v{last % 2}").select("user_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+_KEPT = "(SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || chr(10) || 'thon ering ' || source ELSE text END AS text, source FROM documents WHERE doc_id % 7 <> 3)"
+
+
+@query(f"SELECT doc_id, score, rank FROM ({_HITS.replace('FROM documents', f'FROM {_KEPT} AS documents')})")
+def search_kept_index(spark, sf_dir):
+    """Documents in three batches: most of them, the others with new versions of every tenth, and deletions."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("deleted", F.lit(False))
+    longer = docs.withColumn("text", F.concat("text", F.lit("\nthon ering "), "source"))
+    first = docs.where("doc_id % 3 <> 1 or doc_id % 10 = 0")
+    second = docs.where("doc_id % 3 = 1 and doc_id % 10 <> 0").unionByName(longer.where("doc_id % 10 = 0"))
+    third = docs.where("doc_id % 7 = 3").withColumn("deleted", F.lit(True))
+    index = inverted.Index(spark, _folder(spark, "postings"), "doc_id", ["title", "source", "text"])
+    for batch in (first, second, third):
+        index.add(with_title(batch), deleted="deleted")
+    return index.ranked({"title": 10.0, "source": 5.0, "text": 1.0}, search.compile_query("thon ering"), 20)

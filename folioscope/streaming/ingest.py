@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.functions import text
 from folioscope.operators.edit import upsert
+from folioscope.operators.inverted import Index
 
 IMAGE, DOCUMENT = ("jpg", "jpeg", "png", "tif", "tiff", "heic"), ("pdf", "djvu", "txt", "docx", "odt", "epub")
 
@@ -58,6 +59,15 @@ def maintain_index(stream: DataFrame, key: str, columns: list[str], path: str, c
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 
 
+def maintain_postings(stream: DataFrame, index: Index, checkpoint: str, updated: str | None = None, deleted: str | None = None) -> StreamingQuery:
+    """Every batch of changed records becomes a segment of the inverted index; a batch that is run again after a failure is passed over."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        index.add(batch, epoch + 1, updated, deleted)
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+
+
 def drained(stream: DataFrame, out: str, mode: str, checkpoint: str) -> None:
     """Runs a stream over what is there now and leaves its result as Parquet in ``out``. 'complete' keeps the last state, 'append' all rows."""
 
