@@ -292,21 +292,6 @@ def late_events(spark, sf_dir):
     return ingest.late_rows(e, "ts", "2024-01-15 00:00:00").select("event_id")
 
 
-@query("""
-WITH m AS (SELECT c_custkey AS dropped, c_custkey - 1 AS kept FROM customer WHERE c_custkey % 10 = 1)
-SELECT o_orderkey, coalesce(kept, o_custkey) AS c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'Customer ' || (c_custkey + 1) ELSE 'Customer ' || c_custkey END AS name, CASE WHEN c_custkey % 10 = 0 THEN c_custkey || ',' || (c_custkey + 1) ELSE CAST(c_custkey AS VARCHAR) END AS tags
-FROM orders LEFT JOIN m ON dropped = o_custkey JOIN customer ON c_custkey = coalesce(kept, o_custkey) WHERE c_custkey + 1 IN (SELECT c_custkey FROM customer)
-""")
-def records_merged(spark, sf_dir):
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    recs = c.select(k, F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("Customer "), k.cast("string"))).alias("name"), F.array(k.cast("string")).alias("tags"))
-    merges = c.where("c_custkey % 10 = 1").select(k.alias("dropped"), (k - 1).alias("kept"))
-    notes = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    out, moved = workflows.merge_records(recs, merges, notes, "c_custkey", ["name"], ["tags"])
-    last = c.select((k - 1).alias("c_custkey"))  # a record whose follower is not there has nothing to be filled from
-    return moved.join(out, "c_custkey").join(last, "c_custkey", "left_semi").select("o_orderkey", "c_custkey", "name", F.array_join("tags", ",").alias("tags"))
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'skipped' WHEN c_mktsegment = 'REVIEW' THEN 'same' ELSE 'changed' END AS action FROM customer WHERE c_custkey BETWEEN 5 AND 60")
 def bulk_edit_audit(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "processing").otherwise("ready").alias("state"))

@@ -93,15 +93,6 @@ def enrich(candidates: DataFrame, query: str, work: str, reasons: dict[str, Colu
     return chosen.join(filled.drop("id", "confidence"), query)
 
 
-def merge_records(records: DataFrame, merges: DataFrame, notes: DataFrame, key: str, fields: list[str], arrays: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(records, notes) after merges(dropped, kept): empty fields filled, arrays joined, notes moved."""
-    drop = records.join(merges.withColumnRenamed("dropped", key), key).drop(key).withColumnRenamed("kept", key)
-    one = drop.groupBy(key).agg(*[F.min(f).alias(f) for f in fields], *[F.array_distinct(F.flatten(F.collect_list(a))).alias(a) for a in arrays])
-    left = records.join(merges.select(F.col("dropped").alias(key)), key, "left_anti")
-    moved = notes.join(merges, notes[key] == merges["dropped"], "left").withColumn(key, F.coalesce("kept", key)).drop("dropped", "kept")
-    return dedup.merged(left, one, key, fields, arrays), moved
-
-
 def space_audit(aside: DataFrame, kept: DataFrame) -> DataFrame:
     """Files set aside (path, sha256) are 'safe' to delete if a kept file has the same content, else 'to check'."""
     same = kept.groupBy("sha256").agg(F.min("path").alias("twin"))

@@ -1,6 +1,6 @@
 import pytest
 
-from folioscope.plans import archive, catalogue, evidence, expressions, outputs, prints  # noqa: F401  the others register their queries in catalogue
+from folioscope.plans import archive, catalogue, evidence, expressions, merges, outputs, prints  # noqa: F401  the others register their queries in catalogue
 from tests.compare import compared
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import evidence
-from folioscope.operators import clusters, registry
+from folioscope.operators import clusters, merging, registry
 from folioscope.plans import workflows
 from tests.test_functions import one
 
@@ -64,7 +64,7 @@ def test_workflows(spark, sf):
     assert (got.winner, got.decision, got.publisher) == (1, "accepted", "Q")
     rec = spark.createDataFrame([(1, "", ["a"]), (2, "P", ["b"]), (3, "R", ["c"])], "id long, publisher string, tags array<string>")
     notes = spark.createDataFrame([(2, "n")], "id long, note string")
-    after, moved = workflows.merge_records(rec, spark.createDataFrame([(2, 1)], "dropped long, kept long"), notes, "id", ["publisher"], ["tags"])
+    after, moved = merging.merge_records(rec, spark.createDataFrame([(2, 1)], "dropped long, kept long"), notes, "id", ["publisher"], ["tags"])
     assert {(r.id, r.publisher, tuple(r.tags)) for r in after.collect()} == {(1, "P", ("a", "b")), (3, "R", ("c",))} and moved.first().id == 1
     work = "id long, title string, surname string, date string"
     a = spark.createDataFrame([(1, "Mass for four voices", "Cardoso", "1625"), (2, "Something else entirely", "X", None)], work)
