@@ -4,8 +4,8 @@ Neighbour lists begin in the leaves of random hyperplane trees and are refined b
 members of each vector's neighbourhood, in both directions, are compared with each other and every list keeps its best.
 A list that is full of links is saturated: there may be more, so it is enlarged GROW times and refined again, up to WIDEST. Vectors
 with more links than that lie in groups whose pairs are not to be listed: these are compared with all vectors of their
-label block by block, which counts their links. Recall is audited against brute force on sampled vectors, as many as it
-takes to meet ``AUDIT_LINKS`` links (all, where there are fewer), and logged; below the target, every vector gets that search.
+label block by block, which counts their links. Recall is audited against brute force on ``AUDIT`` sampled vectors, whatever the
+size of the table; below the target, more trees are grown and the lists refined again, and what is still missed is warned of.
 Vectors that are equal number for number are one node throughout.
 """
 
@@ -26,8 +26,8 @@ from folioscope.operators.ship import ship
 log = logging.getLogger(__name__)
 #: Length of a list, least number of trees, vectors in a leaf, odds that a link shares no leaf of any tree, and the share of links below which a round's gain ends the refinement.
 LIST, TREES, LEAF, MISS, GAIN = 10, 8, 32, 0.0025, 0.001
-#: Vectors audited at first, links the audit is to meet, the recall to reach, and vectors in a block of the full search.
-AUDIT, AUDIT_LINKS, RECALL, BLOCK = 200, 200, 0.95, 8192
+#: Vectors audited, the recall to reach, how often more trees are grown to reach it, and vectors in a block of the search that compares all.
+AUDIT, RECALL, AGAIN, BLOCK = 200, 0.95, 3, 8192
 #: How many times longer saturated lists become at a time, up to which length, and parts in which a label's rows take up its size.
 GROW, WIDEST, SALTS = 4, 40, 32
 SLACK = 1e-4  # single precision may misplace a similarity by so much; links are confirmed in double
@@ -158,9 +158,10 @@ def _refined(lists: DataFrame, v: DataFrame, n: int, round_: int, size: int = LI
     return _join(members, n * 2 * size, 4 if full is None else size)
 
 
-def _descent(v: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame, float, int]:
-    """Lists of LIST neighbours, refined until a round adds next to no links; with what :func:`_enlarged` needs."""
-    lists = stored(_best(_trees(v, n, threshold, 1), LIST), "lists")
+def _descent(v: DataFrame, n: int, threshold: float, known: DataFrame | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame, float, int]:
+    """Lists of LIST neighbours from the trees of ``seed`` (and from lists ``known``), refined until a round adds next to no links; with what :func:`_enlarged` needs."""
+    grown = _trees(v, n, threshold, seed)
+    lists = stored(_best(grown if known is None else grown.union(known), LIST), "lists")
     near, round_ = lists.where(F.col("sim") >= threshold - SLACK).count(), 0
     while True:  # lists only get better, so a round that gains next to nothing comes
         lists = stored(_best(lists.union(_refined(lists, v, n, round_)), LIST), "lists")
@@ -252,21 +253,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     lists, asked = _enlarged(*_descent(v, n, threshold))
     links = stored(_links(lists, v, threshold), "links")
     alone = v.withColumn("comp", F.col("node"))
-    # the audit: brute force for sampled vectors that have no full search anyway
-    open_ = alone.join(asked, "node", "left_anti")
-    draw, lo, hi, truth = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)), 0, min(1 << 30, math.ceil((1 << 30) * AUDIT / max(1, n))), None
-    while True:
-        sample = stored(open_.where((draw >= lo) & (draw < hi)), "audit")
-        new = searched(sample, alone, threshold, every=True).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        truth = stored((new if truth is None else truth.union(new)).distinct(), "audit")
-        total = truth.count()
-        if total >= AUDIT_LINKS or hi == 1 << 30:
-            break
-        lo, hi = hi, min(1 << 30, 16 * hi)
-    met = truth.join(links, ["a", "b"], "left_semi").count()
-    log.info("audit: %d of %d links of sampled vectors are in the lists", met, total)
-    if hi < 1 << 30 and met < RECALL * total:  # an audit of all vectors has met every link
-        asked = v.select("node")
+    # the audit: brute force for sampled vectors that are not compared with all anyway
+    draw = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < min(1 << 30, math.ceil((1 << 30) * AUDIT / max(1, n)))
+    sample = stored(alone.join(asked, "node", "left_anti").where(draw).orderBy("node").limit(AUDIT), "audit")
+    truth = stored(searched(sample, alone, threshold, every=True).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "audit")
+    total, again = truth.count(), 0
+    while (met := truth.join(links, ["a", "b"], "left_semi").count()) < RECALL * total and again < AGAIN:
+        again += 1
+        lists, asked = _enlarged(*_descent(v, n, threshold, lists, 1 + again))
+        links = stored(_links(lists, v, threshold), "links")
+    (log.warning if met < RECALL * total else log.info)("audit: %d of %d links of %d sampled vectors are in the lists", met, total, min(n, AUDIT))
     found = connected_components(links)
     comp = v.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("component_id", "node")).drop("component_id")
     comp = stored(comp, "vectors")

@@ -88,3 +88,13 @@ def test_a_large_label_with_few_links_is_searched_whole(spark):
     assert all(got[i].n_links == 1 and got[n - 1 - i].component_id == i for i in range(pairs))
     assert sum(r.n_links for r in got.values()) == 2 * pairs
     assert [neighbours.n_trees(b, 0.93) for b in (0, 5, 15, 20)] == [8, 8, 38, 74]
+
+
+def test_the_audit_stays_as_small_as_it_is_on_a_large_table(spark, monkeypatch, caplog):
+    seen, real = [], neighbours.searched
+    monkeypatch.setattr(neighbours, "searched", lambda asked, v, threshold, every=False: (seen.append((every, asked.count())), real(asked, v, threshold, every))[1])
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    with caplog.at_level("INFO", logger=neighbours.__name__):
+        neighbours.near_duplicates(frame).count()
+    assert [every for every, _ in seen] == [True, False] and 0 < seen[0][1] <= neighbours.AUDIT and seen[1][1] == 0
+    assert "sampled vectors" in caplog.text
