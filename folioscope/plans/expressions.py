@@ -52,11 +52,11 @@ def artists_and_institutions(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, {_norm("substr(text, 1, 200)")} AS normal, length(trim(coalesce(lang, ''))) = 0 AS blank FROM documents WHERE text IS NOT NULL
+SELECT doc_id, {_norm("text")} AS normal, length(trim(coalesce(lang, ''))) = 0 AS blank FROM documents WHERE text IS NOT NULL
 """)
 def normalised_texts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", text.normalise(F.substring("text", 1, 200)).alias("normal"), text.is_blank(F.col("lang")).alias("blank"))
+    return d.select("doc_id", text.normalise(F.col("text")).alias("normal"), text.is_blank(F.col("lang")).alias("blank"))
 
 
 @query("""
