@@ -95,8 +95,8 @@ def work_compatible(title: Column, work: Column, movements: Column | None = None
     """Whether an identified work can be what a title names.
 
     In this order: numbers of one catalogue must agree, then places in a series; a numbered piece is no collection; a
-    collection is no single work of a known kind; a single piece is no run of numbers; announced counts and keys must
-    agree; a dance must be among the work's movements where these are known; else the kinds named must meet (a movement
+    collection is no single work of a known kind; a single piece is no run of a catalogue's numbers; announced counts and
+    keys (where both name a mode) must agree; a dance must be among the work's movements where these are known; else the kinds named must meet (a movement
     may be of the kind). What one side does not say vetoes nothing; nulls say nothing.
     """
     title, work = F.coalesce(title, F.lit("")), F.coalesce(work, F.lit(""))
@@ -105,19 +105,36 @@ def work_compatible(title: Column, work: Column, movements: Column | None = None
     number, number_w = rules.catalogue_number(title), rules.catalogue_number(work)
     family = lambda n: F.regexp_extract(n, "^([A-Za-z]+)", 1)
     place, place_w = rules.serial_number(title), rules.serial_number(work)
-    many, single_w = rules.several_works(title), ~rules.several_works(work) & ~rules.number_range(work)
+    run = rules.catalogued_run(work)
+    many, single_w = rules.several_works(title), ~rules.several_works(work) & ~run
     kinds, kinds_w, dance = rules.genres_of(title), rules.genres_of(work), rules.dance_of(title)
-    key_w = rules.key_of_title(work) if work_key is None else F.coalesce(rules.key_of_title(work), work_key)
+    key_w = rules.key_with_mode(work) if work_key is None else F.coalesce(rules.key_with_mode(work), work_key)
     counts = rules.work_count
     veto = (
         (F.coalesce(family(number) == family(number_w), F.lit(False)) & differ(number, number_w))
         | differ(place, place_w)
         | (place.isNotNull() & work.rlike(r"^[0-9]+\s"))
         | (many & single_w & (F.size(kinds_w) > 0))
-        | (~many & rules.number_range(work))
+        | (~many & run)
         | differ(counts(title), counts(work))
-        | differ(rules.key_of_title(title), key_w)
+        | differ(rules.key_with_mode(title), key_w)
     )
     apart = (F.size(kinds) > 0) & (F.size(kinds_w) > 0) & ~F.arrays_overlap(kinds, F.array_union(kinds_w, rules.genres_of(movements)))
     danced = text.normalise(movements).contains(dance)
     return ~veto & F.when(dance.isNotNull() & movements.isNotNull(), danced).otherwise(~apart)
+
+
+def work_plausible(title: Column, work: Column, movements: Column | None = None) -> Column:
+    """Whether a work that only a number points to is borne out by the title: compatible, and a dance of its movements, a whole movement, or a strong word in common.
+
+    Words are compared by their first five letters; a long word of the title may also hold a strong stem of the work ('Triosonate').
+    """
+    title = F.coalesce(title, F.lit(""))
+    parts = F.coalesce(movements if movements is not None else F.lit(None).cast("string"), F.lit(""))
+    dance, plain = rules.dance_of(title), text.normalise(title)
+    danced = F.coalesce(text.normalise(parts).contains(dance), F.lit(False))
+    whole = (F.size(text.tokens(title)) >= 2) & F.exists(F.split(parts, "\n"), lambda m: (text.normalise(m) == plain) | text.normalise(m).startswith(F.concat(plain, F.lit(" "))))
+    own, theirs = rules.strong_stems(title), rules.strong_stems(F.concat_ws(" ", work, parts))
+    long = F.filter(text.tokens(title), lambda w: F.length(w) >= 8)
+    held = F.exists(long, lambda w: F.exists(theirs, lambda x: (F.length(x) >= 5) & w.contains(x)))
+    return work_compatible(title, work, movements) & (danced | whole | F.arrays_overlap(own, theirs) | held)
