@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import components, inverted, search
 from folioscope.plans import workflows
 from folioscope.plans.catalogue import _bm25, _tokens, query, table, with_title
-from folioscope.sources import exports
+from folioscope.sources import exports, styles
 from folioscope.streaming import ingest
 
 
@@ -123,3 +123,29 @@ def search_kept_index(spark, sf_dir):
     for batch in (first, second, third):
         index.add(with_title(batch), deleted="deleted")
     return index.ranked({"title": 10.0, "source": 5.0, "text": 1.0}, search.compile_query("thon ering"), 20)
+
+
+#: A style by author and date; journals in italics, books with place and publisher.
+STYLE = """<style xmlns="http://purl.org/net/xbiblio/csl" class="in-text"><locale><terms><term name="no date" form="short">n.d.</term><term name="and">and</term></terms></locale>
+<macro name="year"><choose><if variable="issued"><date variable="issued"><date-part name="year"/></date></if><else><text term="no date" form="short"/></else></choose></macro>
+<bibliography et-al-min="3" et-al-use-first="1"><layout suffix="."><group delimiter=" "><names variable="author"><name name-as-sort-order="all" initialize-with="." and="text"/></names><text macro="year" prefix="(" suffix=")"/>
+<choose><if type="article-journal"><group delimiter=", "><text variable="title" quotes="true"/><text variable="container-title" font-style="italic"/><group delimiter=" "><label variable="page"/><text variable="page" prefix="pp. "/></group></group></if>
+<else><group delimiter=". "><text variable="title" font-style="italic" text-case="uppercase"/><group delimiter=": "><text variable="publisher-place"/><text variable="publisher"/></group></group></else></choose></group></layout></bibliography></style>"""
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, s_name, n_name, s_nationkey, CAST(floor(abs(s_acctbal)) AS BIGINT) AS b, CASE WHEN s_acctbal > 3000 THEN CAST(1900 + s_nationkey AS VARCHAR) ELSE 'n.d.' END AS y FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+a AS (SELECT *, upper(substr(n_name, 1, 1)) || '.' AS i, b % 4 AS n FROM s)
+SELECT s_suppkey, CASE n WHEN 0 THEN '' WHEN 1 THEN n_name || ', ' || i || ' ' WHEN 2 THEN n_name || ', ' || i || ' and ' || s_name || ', S.' || i || ' ' ELSE n_name || ', ' || i || ' et al. ' END || '(' || y || ') '
+|| CASE WHEN b % 2 = 0 THEN '“' || s_name || '”, <i>' || n_name || '</i>, pp. ' || b || '-' || (b + 9) || '.' ELSE '<i>' || upper(s_name) || '</i>. ' || n_name || ': Press &amp; Co.' END AS entry FROM a
+""")
+def styled_bibliography(spark, sf_dir):
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    b = F.floor(F.abs("s_acctbal")).cast("long")
+    person = lambda family, given: F.struct(family.alias("family"), given.alias("given"), F.lit(None).cast("string").alias("literal"))
+    nation, name = F.col("n_name"), F.col("s_name")
+    people = F.slice(F.array(person(nation, nation), person(name, F.concat(F.lit("S "), nation)), person(name, name)), F.lit(1), (b % 4).cast("int"))
+    texts = F.create_map(F.lit("title"), name, F.lit("container-title"), nation, F.lit("publisher-place"), nation, F.lit("publisher"), F.lit("Press & Co"), F.lit("page"), F.concat(b.cast("string"), F.lit("-"), (b + 9).cast("string")))
+    years = F.create_map(F.lit("issued"), F.when(F.col("s_acctbal") > 3000, F.array((F.col("s_nationkey") + 1900).cast("int"))))
+    items = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", F.when(b % 2 == 0, "article-journal").otherwise("book").alias("type"), texts.alias("text"), F.create_map(F.lit("author"), people).alias("names"), years.alias("dates"))
+    return styles.Style(STYLE, markup="html").bibliography(items).select("s_suppkey", "entry")
