@@ -680,5 +680,21 @@ def stream_sessions(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
+    """A key is forgotten 40 days after it was first seen, so the state is that of 40 days; the table holds 30."""
     keyed = lambda s: s.select("user_id", "event_type", "ts", F.concat_ws("/", "user_id", "event_type").alias("key"))
-    return _drained(spark, sf_dir, lambda s: ingest.first_seen(keyed(s), "key", "ts", "3650 days").select("user_id", "event_type"), "append")
+    return _drained(spark, sf_dir, lambda s: ingest.first_seen(keyed(s), "key", "ts", "40 days").select("user_id", "event_type"), "append")
+
+
+@query("""
+WITH e AS (SELECT user_id, length(event_type) AS size, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS t, ts FROM events),
+c AS (SELECT *, CASE WHEN size IS DISTINCT FROM lag(size) OVER w THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, size)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, size ROWS UNBOUNDED PRECEDING) AS run FROM c),
+r AS (SELECT user_id, run, min(size) AS size, min(t) AS since, max(t) AS last FROM g GROUP BY 1, 2),
+n AS (SELECT *, lead(since) OVER (PARTITION BY user_id ORDER BY run) AS next FROM r)
+SELECT CAST(user_id AS VARCHAR) AS path, size, since AS since_ms FROM n WHERE greatest(last, coalesce(next, 0)) >= since + 43200000 OR next IS NULL AND since + 43200000 < (SELECT max(t) - 3600000 FROM e)
+""")
+def settled_files(spark, sf_dir):
+    """Events as listings of a file for each user, as large as the event's name is long; at rest after half a day."""
+    seen = lambda s: s.select(F.col("user_id").cast("string").alias("path"), F.length("event_type").alias("size"), "ts")
+    out = _drained(spark, sf_dir, lambda s: ingest.settled(seen(s), 43_200, "1 hour"), "append")
+    return out.select("path", "size", F.unix_millis("since").alias("since_ms"))

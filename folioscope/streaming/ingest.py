@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.functions import text
 from folioscope.operators.edit import upsert
@@ -77,3 +81,41 @@ def drained(stream: DataFrame, out: str, mode: str, checkpoint: str) -> None:
     w = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     q = w.foreachBatch(whole).start() if mode == "complete" else w.format("parquet").option("path", out).start()
     q.awaitTermination()
+
+
+def settled(seen: DataFrame, quiet: int, delay: str, forget: int = 86_400) -> DataFrame:
+    """``path, size, since`` of files whose size has not changed for ``quiet`` seconds, each once, from a stream ``seen(path, size, ts)`` of listings.
+
+    A file that grows, or is written anew, starts again when its size changes. It is handed on by the first listing that finds it
+    unchanged for so long, or by a timer when the watermark (``delay`` behind the latest listing) passes that time and no
+    listing came. What was handed on is remembered for ``forget`` seconds after the last listing, so that the state stays bounded.
+    Listings of a batch are taken in order of time; those with a null path, size or time do not count.
+    """
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, ms = [], 1000
+        size, since, done = state.get if state.exists else (None, 0, False)
+        if state.hasTimedOut:
+            if not done and size is not None:
+                out.append((key[0], size, since))
+                done = True
+                state.update((size, since, done))
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, since + forget * ms))
+            else:
+                state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "size"])
+            at = 0
+            for s, t in zip(rows["size"].tolist(), (rows["ts"].astype("int64") // 1_000_000 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].astype("datetime64[ms]").astype("int64")).tolist(), strict=True):
+                if size is not None and not done and t - since >= quiet * ms:
+                    out.append((key[0], size, since))
+                    done = True
+                if s != size:
+                    size, since, done = s, t, False
+                at = max(at, t)
+            state.update((size, since, done))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, at + forget * ms if done else since + quiet * ms))
+        yield pd.DataFrame({"path": [r[0] for r in out], "size": [r[1] for r in out], "since": pd.to_datetime([r[2] for r in out], unit="ms")})
+
+    known = seen.where("path is not null and size is not null and ts is not null").select("path", F.col("size").cast("long").alias("size"), "ts").withWatermark("ts", delay)
+    return known.groupBy("path").applyInPandasWithState(watch, "path string, size long, since timestamp", "size long, since long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
