@@ -209,7 +209,12 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", text: s
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the whole text encoded, its ids decoded again, both digested in one pass."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the whole text encoded, its ids decoded again, both digested in one pass.
+
+    A null text is an empty one, with 0 tokens and the digests of nothing. Each row is encoded on its own, repeated rows and rows
+    of one doc_id alike; a null doc_id stays null. Very long texts are encoded whole, in memory linear in one text. Other
+    columns are not read; an empty table gives no rows.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
 

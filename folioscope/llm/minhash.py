@@ -144,7 +144,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     with fewer than k words the whole sequence is one shingle; without words, or null, the set is empty and linked with
     nothing. ``component_id`` is the smallest doc_id reachable by links, the own one included; ``kept`` marks it. Rows
     that repeat a doc_id are one node, linked by any of their texts. A null doc_id is linked with nothing, has no
-    component and is kept. Columns other than doc_id and the text are not read.
+    component and is kept. Columns other than doc_id and the text are not read. Very long texts are read whole, shingle by
+    shingle; their sets are compared whole. An empty table gives no rows.
     """
     rows = stored(signatures(docs, k, text=text), "signatures")
     named = rows.where("doc_id is not null and n_shingles > 0")

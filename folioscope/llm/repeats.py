@@ -206,7 +206,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``; texts are digested before the join, so those without repeats are not moved."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``; texts are digested before the join, so those without repeats are not moved.
+
+    A null text is an empty one: 0 bytes and the digest of nothing. Rows that agree in doc_id and text are
+    repeats of each other like any other rows; a null doc_id stays null. Very long texts are cut into phrases where they are read, none is left out. An
+    empty table gives no rows.
+    """
     keyed = _keyed(docs.select("doc_id", "text"), "text")
     cut = _cut(keyed, length, gram).select("__k1", "__k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).dropDuplicates(["__k1", "__k2"])
     every = keyed.select("doc_id", "__k1", "__k2", F.octet_length("__text").cast("long").alias("n_bytes"), F.sha2(F.col("__text").cast("binary"), 256).alias("all_sha"))
