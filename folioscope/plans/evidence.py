@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions import evidence, identifiers, names, pages, rules, text
-from folioscope.operators import clusters, edit, grouping, keywords, rank, registry
+from folioscope.operators import clusters, edit, grouping, keywords, rank, registry, sigla
 from folioscope.plans import workflows
 from folioscope.plans.catalogue import _norm, _words, query, table
 from folioscope.sources import exports, records
@@ -363,3 +363,22 @@ def files_ingested(spark, sf_dir):
     twice = made(4, none, title, "Doe", 1999)
     known = made(2, F.concat(F.lit("10.1000/"), n), F.concat(F.lit("Title "), n), "Roe", 1990).unionByName(made(3, none, title, "Doe", 1999)).unionByName(twice).unionByName(twice.withColumn("id", F.col("id") + 1000000))
     return workflows.ingest_files(files, twins, known)
+
+
+@query("""
+WITH w AS (SELECT DISTINCT upper(substr(lang, 1, 1)) AS country, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+k AS (SELECT country, upper(word[1:1]) || word[2:2] AS two, word[3:] AS rest, country || '-' || upper(word[1:1]) || word[2:] AS siglum FROM w WHERE length(word) BETWEEN 4 AND 7),
+a AS (SELECT DISTINCT country, two, regexp_replace(rest, '(.)(.?)', '\\1', 'g') AS short FROM k),
+m AS (SELECT country || '-' || two || short AS name, siglum, country || '-' || two || short = siglum AS same FROM a JOIN k USING (country, two) WHERE regexp_matches(rest, '^.*' || regexp_replace(short, '(.)', '\\1.*', 'g') || '$')),
+x AS (SELECT name, bool_or(same) AS exact, count(*) AS n, min(siglum) AS siglum FROM m GROUP BY 1)
+SELECT name, CASE WHEN exact THEN name ELSE siglum END AS siglum, CAST(CASE WHEN exact THEN 0 ELSE 1 END AS INTEGER) AS step FROM x WHERE exact OR n = 1
+""")
+def library_sigla(spark, sf_dir):
+    """Words of each language as libraries of a country; asked for with every other letter after the second left out."""
+    d = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
+    w = d.select(F.upper(F.substring("lang", 1, 1)).alias("country"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("word")).distinct()
+    k = w.where(F.length("word").between(4, 7)).withColumn("head", F.concat("country", F.lit("-"), F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1)))
+    rest = F.substring("word", 3, 10)
+    known = k.select(F.concat("head", rest).alias("siglum"), F.lit(None).cast("string").alias("city"))
+    asked = k.select(F.concat("head", F.regexp_replace(rest, "(.)(.?)", "$1")).alias("name")).distinct()
+    return sigla.libraries(asked.select(F.col("name").alias("id"), "name"), known).select(F.col("id").alias("name"), "siglum", "step")
