@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions import evidence, identifiers, names, pages, rules, text
+from folioscope.functions import evidence, identifiers, names, pages, rules, text, wiki
 from folioscope.operators import clusters, edit, grouping, keywords, rank, registry, sigla
 from folioscope.plans import workflows
 from folioscope.plans.catalogue import _norm, _words, query, table
@@ -382,3 +382,24 @@ def library_sigla(spark, sf_dir):
     known = k.select(F.concat("head", rest).alias("siglum"), F.lit(None).cast("string").alias("city"))
     asked = k.select(F.concat("head", F.regexp_replace(rest, "(.)(.?)", "$1")).alias("name")).distinct()
     return sigla.libraries(asked.select(F.col("name").alias("id"), "name"), known).select(F.col("id").alias("name"), "siglum", "step")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey, count(*) AS n, string_agg('Printer ' || l_suppkey || ' ' || CASE WHEN l_quantity > 25 THEN CAST(1600 + l_linenumber AS VARCHAR) ELSE '-' END, ', ' ORDER BY l_suppkey, l_partkey, l_linenumber, l_quantity) AS printers,
+string_agg('f' || l_partkey || '.pdf', ' ' ORDER BY l_suppkey, l_partkey, l_linenumber, l_quantity) AS files FROM lineitem GROUP BY 1)
+SELECT o_orderkey, 'Works of ' || o_custkey AS title, o_totalprice > 150000 AS collection, CAST(1500 + o_custkey % 400 AS INTEGER) AS first_year, CAST(o_custkey AS VARCHAR) AS first_source, coalesce(n, 0) AS n_editions, coalesce(printers, '') AS printers, coalesce(files, '') AS files
+FROM orders LEFT JOIN e ON l_orderkey = o_orderkey
+""")
+def work_pages_read(spark, sf_dir):
+    """A page for each order, with a block of files for each of its items and templates inside templates."""
+    text_of = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    s = lambda c: F.col(c).cast("string")
+    dated = F.when(F.col("l_quantity") > 25, F.concat(F.lit("ca."), (1600 + F.col("l_linenumber")).cast("string"))).otherwise("n.d.")
+    block = text_of("\n{{#fte:imslpfile\n|File Name 1=f", s("l_partkey"), ".pdf\n|Publisher Information=first {{Note|a|{{b|c}}}} {{P|Printer ", s("l_suppkey"), ",|[[Printer ", s("l_suppkey"), "|The Printer]]|Porto.|", dated, "|}}\n|Notes={{d|e}}\n}}")
+    order = F.struct("l_suppkey", "l_partkey", "l_linenumber", "l_quantity", block.alias("block"))
+    blocks = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["block"]), "").alias("blocks"))
+    kind = F.when(F.col("o_totalprice") > 150_000, "Collection page").otherwise("Work page")
+    page = text_of("{{#fte:imslppage\n|Work Title='''Works of''' [[X|", s("o_custkey"), "]]\n|Page Type=", kind, "\n|Year of First Publication=", (1500 + F.col("o_custkey") % 400).cast("string"), " {{RISM|", s("o_custkey"), "}}\n}}", F.coalesce("blocks", F.lit("")))
+    p = table(spark, sf_dir, "orders").join(blocks, "o_orderkey", "left").select("o_orderkey", page.alias("page")).select("o_orderkey", wiki.work_page(F.col("page")).alias("p"))
+    by = F.transform("p.editions", lambda e: F.concat(e["printer"], F.lit(" "), F.coalesce(e["year"].cast("string"), F.lit("-"))))
+    return p.select("o_orderkey", "p.title", "p.collection", "p.first_year", "p.first_source", F.size("p.editions").cast("long").alias("n_editions"), F.array_join(by, ", ").alias("printers"), F.array_join(F.flatten(F.transform("p.editions", lambda e: e["files"])), " ").alias("files"))
