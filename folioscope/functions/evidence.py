@@ -23,8 +23,8 @@ def titles_compatible(a: Column, b: Column) -> Column:
 def core_title(c: Column) -> Column:
     """Without parentheses and catalogue numbers, normalised."""
     plain = F.regexp_replace(c, r"\([^)]*\)", " ")
-    for _, before, number in rules.CATALOGUES:
-        plain = F.regexp_replace(plain, rf"(?i)\b{before}({number})", " ")
+    for mark in rules.CATALOGUES:
+        plain = F.regexp_replace(plain, rules.mention(mark), " ")
     return text.normalise(plain)
 
 
