@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,14 +41,35 @@ RIGHTS = r"(?i)©|copyright|\(c\) *\d"
 WEB = r"(?i)©|copyright|www\.|https?:|\.(?:net|com|org)\b"
 
 
+_BLANKS, _WORD = r"\t\n\f\r ", "[0-9A-Za-z_]"
+
+
+def alike(pattern: str) -> str:
+    """The pattern as RE2 reads it: Java takes accented letters for parts of a word at ``\\b``, folds only ASCII letters, and knows more blanks and ends of lines."""
+    out, inside = ["(?d)"], False
+    for x in re.findall(r"(?s)\\.|\(\?i\)|.", pattern):
+        if x in ("[", "]"):
+            inside = x == "["
+        elif x == r"\s":
+            x = _BLANKS if inside else f"[{_BLANKS}]"
+        elif x == r"\S":
+            x = f"[^{_BLANKS}]"
+        elif x == r"\b":
+            x = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+        elif x == "(?i)":
+            x = "(?iu)"
+        out.append(x)
+    return "".join(out)
+
+
 def staff_line(line: Column) -> Column:
     """A clef with a metre, and a note."""
-    return line.rlike(STAFF) & line.rlike(NOTE)
+    return line.rlike(alike(STAFF)) & line.rlike(alike(NOTE))
 
 
 def runs(line: Column) -> Column:
     """array<struct<text, start, end>>: the texts of a line that two blanks or more, or a tab, keep apart, with their places."""
-    gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(line, F.lit(f"({APART})"), F.lit(1)))
+    gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(line, F.lit(alike(f"({APART})")), F.lit(1)))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("runs"))
 
     def put(done: Column, x: Column) -> Column:
@@ -54,53 +77,53 @@ def runs(line: Column) -> Column:
         start, text = at + long - F.length(F.ltrim(x["text"])), F.trim(x["text"])
         return F.struct((at + long).alias("end"), F.when(text == "", done["runs"]).otherwise(F.concat(done["runs"], F.array(F.struct(text.alias("text"), start.alias("start"), (start + F.length(text)).alias("end"))))).alias("runs"))
 
-    return F.aggregate(F.zip_with(gaps, F.split(line, APART, -1), lambda g, t: F.struct(g.alias("gap"), t.alias("text"))), none, put, lambda x: x["runs"])
+    return F.aggregate(F.zip_with(gaps, F.split(line, alike(APART), -1), lambda g, t: F.struct(g.alias("gap"), t.alias("text"))), none, put, lambda x: x["runs"])
 
 
 def legible(c: Column) -> Column:
     """Text and not music: few glyphs, and a word of three letters that is not made of letters a music font uses."""
     glyphs = F.regexp_count(c, F.lit(GLYPHS))
     words = F.regexp_extract_all(F.regexp_replace(c, GLYPHS, " "), F.lit(r"(\p{L}+)"), F.lit(1))
-    spoken = F.exists(words, lambda w: (F.length(w) >= 3) & ~w.rlike(GLYPH_LETTERS))
-    return spoken & ~((glyphs > 1) & (glyphs > 0.12 * F.length(c))) & ~c.rlike("^[AB]{4,}$")
+    spoken = F.exists(words, lambda w: (F.length(w) >= 3) & ~w.rlike(alike(GLYPH_LETTERS)))
+    return spoken & ~((glyphs > 1) & (glyphs > 0.12 * F.length(c))) & ~c.rlike(alike("^[AB]{4,}$"))
 
 
 def unbracketed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"^[\[(]\s*|\s*[\])]$", ""))
+    return F.trim(F.regexp_replace(c, alike(r"^[\[(]\s*|\s*[\])]$"), ""))
 
 
 def part_label(c: Column) -> Column:
     """One to four words, all of them names of parts or what numbers these, one at least a name."""
-    words = F.split(F.lower(unbracketed(c)), r"\s+")
+    words = F.split(F.lower(unbracketed(c)), alike(r"\s+"))
     named = lambda w: F.rtrim(w, F.lit(".")).isin(*[p.rstrip(".") for p in PARTS])
-    return (F.size(words) <= 4) & F.exists(words, named) & F.forall(words, lambda w: named(w) | w.rlike(BESIDE_PARTS))
+    return (F.size(words) <= 4) & F.exists(words, named) & F.forall(words, lambda w: named(w) | w.rlike(alike(BESIDE_PARTS)))
 
 
 def bare_name(c: Column) -> Column:
     """A name without dates of life, a footnote's number or a title before it."""
-    c = F.regexp_replace(c, r"(?i)\s*\((?:[^)]*\d[^)]*|\s*s\.?\s*[XVI]+[^)]*)\)?\s*$", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"\s+1[4-9]\d\d\s*[-–]\s*1[4-9]\d\d.*$", ""), r"\s+\d\)\s*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)^(?:mr|mrs|capt|sr|dr|don)\.\s+", ""), r"[\s,;:]+$", ""))
+    c = F.regexp_replace(c, alike(r"(?i)\s*\((?:[^)]*\d[^)]*|\s*s\.?\s*[XVI]+[^)]*)\)?\s*$"), "")
+    c = F.regexp_replace(F.regexp_replace(c, alike(r"\s+1[4-9]\d\d\s*[-–]\s*1[4-9]\d\d.*$"), ""), alike(r"\s+\d\)\s*$"), "")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, alike(r"(?i)^(?:mr|mrs|capt|sr|dr|don)\.\s+"), ""), alike(r"[\s,;:]+$"), ""))
 
 
 def _name_words(c: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(bare_name(c), r"\.(\S)", ". $1")), r"\s+")
+    return F.split(F.trim(F.regexp_replace(bare_name(c), alike(r"\.(\S)"), ". $1")), alike(r"\s+"))
 
 
 def _strong(w: Column) -> Column:
-    x = F.regexp_replace(w, r"[.,'’]+$", "")
-    return x.rlike(r"^(?:\p{Lu}'|l')?\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}?[\p{Ll}'’]+)*$") | x.rlike(r"^\p{Lu}{2,}(?:-\p{Lu}{2,})*$")
+    x = F.regexp_replace(w, alike(r"[.,'’]+$"), "")
+    return x.rlike(alike(r"^(?:\p{Lu}'|l')?\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}?[\p{Ll}'’]+)*$")) | x.rlike(alike(r"^\p{Lu}{2,}(?:-\p{Lu}{2,})*$"))
 
 
 def person(c: Column) -> Column:
     """Capitalised words, initials and particles only, none of them a word of music, and no dedication; or an anonymous."""
     name, words = bare_name(c), _name_words(c)
-    no = lambda w: F.lower(F.regexp_replace(w, "[.,]+$", "")).isin(*NO_NAMES, *PARTS)
-    short = lambda w: w.rlike(r"^\p{Lu}\.?$") | w.rlike(r"^\p{Lu}\p{Ll}{0,3}\.$")
-    small = lambda w: F.lower(F.regexp_replace(w, "[.,]+$", "")).rlike(NAME_PARTICLES)
+    no = lambda w: F.lower(F.regexp_replace(w, alike("[.,]+$"), "")).isin(*NO_NAMES, *PARTS)
+    short = lambda w: w.rlike(alike(r"^\p{Lu}\.?$")) | w.rlike(alike(r"^\p{Lu}\p{Ll}{0,3}\.$"))
+    small = lambda w: F.lower(F.regexp_replace(w, alike("[.,]+$"), "")).rlike(alike(NAME_PARTICLES))
     shape = F.forall(words, lambda w: ~no(w) & (small(w) | short(w) | _strong(w))) & F.exists(words, lambda w: ~small(w) & ~short(w) & _strong(w))
-    plain = ~name.rlike(r"[\d{}=:;!?]") & (F.length(name) <= 60) & ~name.rlike(r"^(?:A|À|To|Para|Pour|Für|Al|Alla|Dedicated)\s")
-    return (name != "") & (name.rlike(ANONYMOUS) | plain & (F.size(words) <= 6) & shape)
+    plain = ~name.rlike(alike(r"[\d{}=:;!?]")) & (F.length(name) <= 60) & ~name.rlike(alike(r"^(?:A|À|To|Para|Pour|Für|Al|Alla|Dedicated)\s"))
+    return (name != "") & (name.rlike(alike(ANONYMOUS)) | plain & (F.size(words) <= 6) & shape)
 
 
 def rights(page: Column) -> Column:

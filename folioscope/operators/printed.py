@@ -28,30 +28,30 @@ def cells(pages: DataFrame, key: str, page: str) -> DataFrame:
     each = each.where(layout.legible(F.col("run.text")))
     start = F.greatest(F.lit(0), F.col("run.start") - F.col("margin"))
     end = F.greatest(start + 1, F.col("run.end") - F.col("margin"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace("run.text", rf"(?:^|\s){layout.GLYPHS}+(?=\s|$)", " "), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace("run.text", layout.alike(rf"(?:^|\s){layout.GLYPHS}+(?=\s|$)"), " "), layout.alike(r"\s+"), " "))
     return each.select("key", "line", "at", plain.alias("text"), (start / F.col("width")).alias("left"), (end / F.col("width")).alias("right"), ((start + end) / 2 / F.col("width")).alias("middle"), "staff")
 
 
 def _kinds(c: DataFrame) -> DataFrame:
     """Header cells that are no label, song text or address, with ``kind`` and the ``name`` that a mark introduces."""
     limit = F.coalesce("staff", F.lit(HEADER))
-    head = c.where((F.col("line") <= limit + 2) & ~F.col("label") & ~F.col("text").rlike(layout.SUNG) & ~F.col("text").rlike(layout.WEB))
-    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[“”\"«»]", ""), r"\[(\p{L})\](\p{L})", "$1$2"))
+    head = c.where((F.col("line") <= limit + 2) & ~F.col("label") & ~F.col("text").rlike(layout.alike(layout.SUNG)) & ~F.col("text").rlike(layout.alike(layout.WEB)))
+    t = F.trim(F.regexp_replace(F.regexp_replace("text", "[“”\"«»]", ""), layout.alike(r"\[(\p{L})\](\p{L})"), "$1$2"))
     head = head.withColumn("text", t).where("text <> ''").withColumn("limit", limit)
     first = F.row_number().over(Window.partitionBy("key").orderBy("line", "at")) == 1
     t, pick = F.col("text"), lambda p, n: F.regexp_extract("text", p, n)
-    marked = pick(layout.MARKED, 1)
+    marked = pick(layout.alike(layout.MARKED), 1)
     kind = (
-        F.when(t.rlike(r"(?i)^s\. ?[XVI]+\b"), "epoch").when(t.rlike(layout.EDITOR), F.when(layout.person(pick(layout.EDITOR, 2)), "editor").otherwise("none"))
-        .when(t.rlike(layout.ANONYMOUS) & t.rlike(r"^\S+[\s,]+\S"), "anonymous").when(t.rlike(layout.SOURCE) & ~(first & t.rlike(r"^\d+\. *\p{L}")), "source")
+        F.when(t.rlike(layout.alike(r"(?i)^s\. ?[XVI]+\b")), "epoch").when(t.rlike(layout.alike(layout.EDITOR)), F.when(layout.person(pick(layout.alike(layout.EDITOR), 2)), "editor").otherwise("none"))
+        .when(t.rlike(layout.alike(layout.ANONYMOUS)) & t.rlike(layout.alike(r"^\S+[\s,]+\S")), "anonymous").when(t.rlike(layout.alike(layout.SOURCE)) & ~(first & t.rlike(layout.alike(r"^\d+\. *\p{L}"))), "source")
         .when((marked != "") & layout.person(marked), "marked").otherwise("free")
     )
-    name = F.when(F.col("kind") == "editor", layout.bare_name(pick(layout.EDITOR, 2))).when(F.col("kind") == "marked", marked)
+    name = F.when(F.col("kind") == "editor", layout.bare_name(pick(layout.alike(layout.EDITOR), 2))).when(F.col("kind") == "marked", marked)
     return head.withColumn("kind", kind).withColumn("name", name)
 
 
 def _meaning(t: Column) -> Column:
-    return F.filter(F.split(t, r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+    return F.filter(F.split(t, layout.alike(r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
 
 
 def first_pages(pages: DataFrame, key: str, page: str, known: DataFrame | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def first_pages(pages: DataFrame, key: str, page: str, known: DataFrame | None =
     with a surname among ``known(surname)``, or of two words at the right margin. A part is named only if one label alone stands
     on the page, on the left or in its upper left corner. ``key`` must be unique; a null or empty page has nulls and empty lists.
     """
-    c = cells(pages, key, page).withColumn("label", layout.part_label(F.col("text")) & ~F.col("text").rlike(r"(?i)\b(prima|secunda|seconda|tertia|terza)\s+pars\b"))
+    c = cells(pages, key, page).withColumn("label", layout.part_label(F.col("text")) & ~F.col("text").rlike(layout.alike(r"(?i)\b(prima|secunda|seconda|tertia|terza)\s+pars\b")))
     label = layout.unbracketed(F.col("text"))
     corner = (F.col("left") < 0.16) | (F.col("line") <= 3) & (F.col("middle") < 0.35)
     labels = c.where("label").groupBy("key", text.normalise(label).alias("n")).agg(F.min(F.struct("line", "at", label.alias("text"))).alias("first"), F.max_by(corner, F.struct("line", "at")).alias("corner"))
@@ -77,14 +77,14 @@ def first_pages(pages: DataFrame, key: str, page: str, known: DataFrame | None =
         hit = named.join(known.select(text.normalise(F.col("surname")).alias("surname")).distinct(), "surname").select("key", "line", "at", F.lit(True).alias("known")).distinct()
         h = h.join(hit, ["key", "line", "at"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
     t = F.col("text")
-    n = F.size(F.split(layout.bare_name(t), r"[\s.]+"))
-    vouched = t.rlike(layout.LIFE) | F.col("known")
-    titled = t.rlike(r"(?i)^(mr|capt)\.") | t.rlike(r"\s[(\[]\p{L}")
+    n = F.size(F.split(layout.bare_name(t), layout.alike(r"[\s.]+")))
+    vouched = t.rlike(layout.alike(layout.LIFE)) | F.col("known")
+    titled = t.rlike(layout.alike(r"(?i)^(mr|capt)\.")) | t.rlike(layout.alike(r"\s[(\[]\p{L}"))
     placed = (F.col("left") > 0.5) & (F.col("right") > 0.8)
-    h = h.withColumn("composer", (F.col("kind") == "free") & (t.rlike(layout.ANONYMOUS) | layout.person(t) & (vouched | (n > 1) & (titled | placed))))
-    centred, bracketed, small = F.abs(F.col("middle") - 0.5) < CENTRED, t.rlike(r"^[\[(]"), t.rlike(r"^\p{Ll}")
-    spoken = F.exists(_meaning(t), lambda w: ~F.lower(w).isin(*layout.PARTS) & ~w.rlike(layout.GLYPH_LETTERS))
-    free = (F.col("kind") == "free") & ~F.col("composer") & (F.col("line") <= F.col("limit")) & ~t.rlike(layout.DIRECTION) & spoken & (~small | F.col("staff").isNotNull() & (F.col("line") < F.col("staff")) & (F.size(_meaning(t)) >= 2))
+    h = h.withColumn("composer", (F.col("kind") == "free") & (t.rlike(layout.alike(layout.ANONYMOUS)) | layout.person(t) & (vouched | (n > 1) & (titled | placed))))
+    centred, bracketed, small = F.abs(F.col("middle") - 0.5) < CENTRED, t.rlike(layout.alike(r"^[\[(]")), t.rlike(layout.alike(r"^\p{Ll}"))
+    spoken = F.exists(_meaning(t), lambda w: ~F.lower(w).isin(*layout.PARTS) & ~w.rlike(layout.alike(layout.GLYPH_LETTERS)))
+    free = (F.col("kind") == "free") & ~F.col("composer") & (F.col("line") <= F.col("limit")) & ~t.rlike(layout.alike(layout.DIRECTION)) & spoken & (~small | F.col("staff").isNotNull() & (F.col("line") < F.col("staff")) & (F.size(_meaning(t)) >= 2))
     rank = F.when(free & centred & ~bracketed, 1).when(free & centred, 2).when(free & (F.col("left") < 0.6), 3)
     page_of = Window.partitionBy("key")
     h = h.withColumn("free", free).withColumn("title", F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "line", "at", t.alias("text")))).over(page_of))
@@ -94,20 +94,20 @@ def first_pages(pages: DataFrame, key: str, page: str, known: DataFrame | None =
     h = h.withColumn("sub", F.min(F.when(first_under, F.struct("line", "at", under.alias("fits"), t.alias("text")))).over(page_of))
     at = F.struct("line", "at")
     used = F.coalesce(at == F.struct("title.line", "title.at"), F.lit(False)) | F.coalesce(F.col("sub.fits") & (at == F.struct("sub.line", "sub.at")), F.lit(False)) | F.col("composer")
-    other = (F.col("kind") == "free") & ~used & ~t.rlike(layout.DIRECTION) & ~small & (F.col("line") <= F.col("limit"))
+    other = (F.col("kind") == "free") & ~used & ~t.rlike(layout.alike(layout.DIRECTION)) & ~small & (F.col("line") <= F.col("limit"))
     listed = lambda cond, value: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line", "at", value.alias("text"))))), lambda x: x["text"])
     heads = h.groupBy("key").agg(
         F.first("title.text").alias("title"), F.first(F.when(F.col("sub.fits"), F.col("sub.text"))).alias("subtitle"),
         F.concat(listed(F.col("kind").isin("marked", "anonymous"), F.coalesce("name", F.lit("Anonymous"))), listed(F.col("composer"), t)).alias("composers"),
-        listed(F.col("kind") == "editor", F.col("name")).alias("editors"), listed((F.col("kind") == "source") | (F.col("kind") == "anonymous") & t.rlike(layout.SOURCE), t).alias("sources"),
+        listed(F.col("kind") == "editor", F.col("name")).alias("editors"), listed((F.col("kind") == "source") | (F.col("kind") == "anonymous") & t.rlike(layout.alike(layout.SOURCE)), t).alias("sources"),
         listed(other, t).alias("others"), F.max(F.when(F.col("kind") == "epoch", t)).alias("epoch"),
     )
-    own = pages.select(F.col(key).alias("key"), layout.rights(F.col(page)).alias("rights"), F.regexp_extract(F.col(page), r"\b((?:BWV|BuxWV|HWV|TWV|RV|KV) ?\d+[a-z]?)", 1).alias("catalogue"))
+    own = pages.select(F.col(key).alias("key"), layout.rights(F.col(page)).alias("rights"), F.regexp_extract(F.col(page), layout.alike(r"\b((?:BWV|BuxWV|HWV|TWV|RV|KV) ?\d+[a-z]?)"), 1).alias("catalogue"))
     out = own.join(heads, "key", "left").join(labels, "key", "left")
-    dated = r"\s*[(\[]\s*((?:1[4-9]|20)\d\d)\??\s*[)\]]\s*"
-    title = F.regexp_replace("title", r"^\[([^\]]{2,60})\]$", "$1")
+    dated = layout.alike(r"\s*[(\[]\s*((?:1[4-9]|20)\d\d)\??\s*[)\]]\s*")
+    title = F.regexp_replace("title", layout.alike(r"^\[([^\]]{2,60})\]$"), "$1")
     lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("composers", "editors", "parts", "sources", "others")]
     return out.select(
-        F.col("key").alias(key), F.trim(F.regexp_replace(F.regexp_replace(title, dated, " "), r"\s+", " ")).alias("title"), "subtitle", *lists, F.when(F.col("corner") & (F.size("parts") == 1), F.col("parts")[0]).alias("part"),
+        F.col("key").alias(key), F.trim(F.regexp_replace(F.regexp_replace(title, dated, " "), layout.alike(r"\s+"), " ")).alias("title"), "subtitle", *lists, F.when(F.col("corner") & (F.size("parts") == 1), F.col("parts")[0]).alias("part"),
         "epoch", F.nullif(F.regexp_extract(title, dated, 1), F.lit("")).alias("composed"), F.nullif("catalogue", F.lit("")).alias("catalogue"), F.col("rights.holder").alias("holder"), F.col("rights.year").alias("year"),
     )

@@ -1,8 +1,12 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import layout
 from folioscope.operators import printed
+from folioscope.plans import prints
+from folioscope.plans.catalogue import ORACLE_SQL
+from tests.compare import compared
 
 STAFF = "  &b c  œ œ œ œ   ˙ ˙   œ œ œ œ   w w   œ œ œ œ    ˙ ˙   œ œ œ œ   w w   œ œ œ œ  "
 PAGES = {
@@ -52,3 +56,14 @@ def test_cells_know_their_places(spark):
     # the margin is three blanks, the width 60 less these
     assert [(a, b, c) for a, b, c, *_ in got] == [(1, 0, "abc d"), (1, 1, "efg"), (1, 2, "hij"), (3, 0, "word"), (4, 0, "longer")]
     assert [(round(r[3] * 57 / 60), round(r[4] * 57 / 60)) for r in got] == [(0, 3), (5, 8), (9, 12), (2, 8), (0, 3)]
+
+
+def test_words_end_before_accented_letters_as_in_sql(spark, tmp_path):
+    """Each text's second line is cut after 26 characters, so its first cell begins with a mark and an accented letter."""
+    heads = ["Ralló se. Do ciónos quetac", "Tuttiél canto de las voces", "ANÓNIMO canta de las voces", "Ed.é canta de las voces xx", "Copyrightó de las voces xx", "Sub de las voces y cantares"]
+    texts = [f"Del mundo canta el gran señor de todas\n{h}i íes ómente y mas palabras\n{h} otras palabras aqui" for h in heads]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [[i, x] for i, x in enumerate(texts)])
+    con.sql("FROM t").write_parquet(f"{tmp_path}/documents.parquet")
+    compared(spark, tmp_path, "first_page_parser", prints.first_page_parser, ORACLE_SQL["first_page_parser"])
