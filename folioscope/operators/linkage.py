@@ -45,10 +45,49 @@ def _without(c: Column, i: Column) -> Column:
     return F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))
 
 
-def deletions(c: Column) -> Column:
-    """The string and all strings that it becomes when one or two of its characters go."""
-    one = lambda x: F.when(F.length(x) >= 1, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: _without(x, i))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(c), one(c), F.flatten(F.transform(one(c), one))))
+def _left(c: Column, k: int) -> Column:
+    """The strings that a string leaves when k of its characters go (all, where it has fewer)."""
+    one = lambda x: F.when(F.length(x) >= 1, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: _without(x, i))).otherwise(F.array(x))
+    out = F.array(c)
+    for _ in range(k):
+        out = F.array_distinct(F.flatten(F.transform(out, one)))
+    return out
+
+
+def _masked(c: Column) -> Column:
+    """array<struct<i, j, rest, ci, cj>>: a string with two of its characters taken out, and where they stood; i = j where it has fewer."""
+    n, at = F.length(c), lambda i: F.substr(c, i + 1, F.lit(1))
+    parts = lambda i, j, rest, ci, cj: F.struct(i.alias("i"), j.alias("j"), rest.alias("rest"), ci.alias("ci"), cj.alias("cj"))
+    pair = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: parts(i, j, _without(_without(c, j + 1), i + 1), at(i), at(j)))
+    return F.when(n >= 2, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), pair))).otherwise(F.array(parts(-n, -n, F.lit(""), c, c)))
+
+
+def _short_names(x: DataFrame, y: DataFrame) -> DataFrame:
+    """``a, b`` for all pairs of x(a) and y(b), of up to 11 characters each, that two edits may lie between, each pair once.
+
+    Of one length they differ in two places at most, so they are equal without these (one choice of places counts for a pair);
+    or one character goes and one comes, so a deletion in each leaves the same. Of other lengths, the longer leaves by
+    two deletions what the shorter leaves by one or none. Only lengths that the other side has are looked for.
+    """
+    x, y = x.withColumn("m", F.length("a")), y.withColumn("n", F.length("b"))
+    sizes = lambda d, c, to: F.broadcast(d.select(F.col(c).alias(to)).distinct())  # noqa: E731  at most twelve
+    same_x, same_y = x.join(sizes(y, "n", "m"), "m", "left_semi"), y.join(sizes(x, "m", "n"), "n", "left_semi")
+    key = lambda d, c, size: d.select(c, size, F.explode(_masked(F.col(c))).alias("x")).select(c, F.col(size).alias("n"), "x.i", "x.j", "x.rest", F.col("x.ci").alias(f"i{c}"), F.col("x.cj").alias(f"j{c}"))
+    met = key(same_x, "a", "m").join(key(same_y, "b", "n"), ["n", "i", "j", "rest"])
+    di, dj, first = F.col("ia") != F.col("ib"), F.col("ja") != F.col("jb"), F.col("i") == 0
+    replaced = met.where((F.col("i") == F.col("j")) | di & dj | first & dj | first & (F.col("j") == 1)).select("a", "b")
+    gone = lambda d, c, size: d.select(c, F.col(size).alias("n"), F.explode(_left(F.col(c), 1)).alias("k"))
+    far = F.size(F.filter(F.sequence(F.lit(1), F.length("a")), lambda i: F.substr("a", i, F.lit(1)) != F.substr("b", i, F.lit(1)))) > 2
+    moved = gone(same_x.where("m > 2"), "a", "m").join(gone(same_y.where("n > 2"), "b", "n"), ["n", "k"]).where(far).select("a", "b").distinct()
+
+    def other(d: DataFrame, c: str, own: str, to: str, there: DataFrame) -> DataFrame:
+        d = d.withColumn(to, F.explode(F.transform(F.array(*map(F.lit, (-2, -1, 1, 2))), lambda by: F.col(own) + by))).join(sizes(there, to, to), to, "left_semi")
+        by = F.col(to) - F.col(own)
+        keys = F.when(by < 0, _left(F.col(c), 2)).when(by == 1, _left(F.col(c), 1)).otherwise(F.array(c))
+        return d.select(c, "m", "n", F.explode(keys).alias("k"))
+
+    longer = other(x, "a", "m", "n", y).join(other(y, "b", "n", "m", x), ["m", "n", "k"]).select("a", "b").distinct()
+    return replaced.union(moved).union(longer)
 
 
 def _most(longest: Column) -> Column:
@@ -61,15 +100,8 @@ def _parts(n: Column, cut: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), cut - 1), lambda i: F.struct(i.alias("i"), edge(i).alias("at"), (edge(i + 1) - edge(i)).alias("len")))
 
 
-def similar_names(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``a, b`` for all pairs of different strings of a(a) and b(b) that are alike by :func:`similarity.surname_like`.
-
-    Two of up to 11 characters differ by at most two edits, so they share a string that two deletions in each leave.
-    Of longer ones, cut into one piece more than there may be edits, a piece stands in the other almost where it was.
-    """
-    x, y = a.where("a is not null").select("a").distinct(), b.where("b is not null").select("b").distinct()
-    short = x.where(F.length("a") <= 11).select("a", F.explode(deletions(F.col("a"))).alias("k"))
-    short = short.join(y.where(F.length("b") <= 11).select("b", F.explode(deletions(F.col("b"))).alias("k")), "k").select("a", "b").distinct()
+def _long_names(x: DataFrame, y: DataFrame) -> DataFrame:
+    """``a, b`` for pairs of x(a) and y(b), one of them of over 11 characters, that share a piece almost where it stands."""
     n = F.length("b")
     pieces = F.transform(_parts(n, F.floor(n / 3).cast("int") + 1), lambda p: F.struct(n.alias("n"), p["i"].alias("i"), F.substr("b", p["at"] + 1, p["len"]).alias("s")))
     m = F.length("a")
@@ -83,10 +115,21 @@ def similar_names(a: DataFrame, b: DataFrame) -> DataFrame:
         return F.transform(inside, lambda p: F.struct(size.alias("n"), p["i"].alias("i"), F.substr("a", p["at"] + 1, p["len"]).alias("s")))
 
     reach = F.floor(m / 3).cast("int") + 1
-    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(9), m - reach), m + reach), near)))
-    long = x.where(m >= 9).select("a", F.explode(keys).alias("k")).join(y.where(n >= 9).select("b", F.explode(pieces).alias("k")), "k").select("a", "b").distinct()
-    long = long.where((m > 11) | (n > 11))
-    return short.union(long).where(similarity.surname_like(F.col("a"), F.col("b")))
+    least = F.when(m > 11, 9).otherwise(12)  # one of the two has over 11
+    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(least, m - reach), m + reach), near)))
+    return x.where(m >= 9).select("a", F.explode(keys).alias("k")).join(y.where(n >= 9).select("b", F.explode(pieces).alias("k")), "k").select("a", "b").distinct()
+
+
+def similar_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a, b`` for all pairs of different strings of a(a) and b(b) that are alike by :func:`similarity.surname_like`.
+
+    Two of up to 11 characters differ by at most two edits (:func:`_short_names`).
+    Of longer ones, cut into one piece more than there may be edits, a piece stands in the other almost where it was.
+    """
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for is kept: names are few bytes, their keys are many
+    x, y = (d.where(f"{c} is not null").select(c).distinct().repartition(tasks) for d, c in ((a, "a"), (b, "b")))
+    short = _short_names(x.where(F.length("a") <= 11), y.where(F.length("b") <= 11))
+    return short.union(_long_names(x, y)).where(similarity.surname_like(F.col("a"), F.col("b")))
 
 
 def or_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_id: str, right_id: str) -> DataFrame:

@@ -47,3 +47,12 @@ def test_title_duplicates_equal_pairs(spark):
     want = {r.id: r.m for r in pairs.groupBy("id").agg(F.min("match").alias("m")).collect()}
     got = {r.id: r.match for r in dedup.title_duplicates(docs).collect()}
     assert got == want and got[1] == 0 and got[0] == 1 and 12 not in got
+
+
+def test_names_of_nine_digits_meet_few_others(spark):
+    """They are no names of over 11 characters, whose pieces stand in nearly every other, and each pair that may be alike comes once."""
+    a, b = ([f"{i * step:09d}" for i in range(n)] for n, step in ((600, 37), (300, 91)))
+    names = [spark.createDataFrame([(s,) for s in x], f"{c} string") for x, c in ((a, "a"), (b, "b"))]
+    want = sorted((x, y) for x in a for y in b if alike(x, y))
+    assert sorted(tuple(r) for r in linkage.similar_names(*names).collect()) == want and len(want) > 300
+    assert linkage._long_names(*names).count() == 0 and sorted(tuple(r) for r in linkage._short_names(*names).collect()) == want
