@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.dates import year
 from folioscope.functions.text import normalise, tokens
+from folioscope.operators.ship import ship
 
 #: What a page is cut into: the signs that nest, the sign that divides, and what lies between.
 PIECES = r"(\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|]+|[{}\[\]])"
+_PIECE, _FIELD, _FILE = re.compile(r"(\{\{|\}\}|\[\[|\]\]|\|)"), re.compile(r"(?s)([^={}\[\]|]{1,80}?)\s*=\s*(.*)", re.ASCII), re.compile(r"File Name [0-9]+")
+#: What is read of a page, as it stands there, and the type that it is read as.
+_PAGE = {"title": "Work Title", "alternative": "Alternative Title", "type": "Page Type", "instrumentation": "Instrumentation", "first": "Year of First Publication"}
+READ = ", ".join(f"{k} string" for k in _PAGE) + ", blocks array<struct<files: array<string>, editor: string, publisher: array<string>>>"
 
 
 def _pieces(c: Column) -> Column:
@@ -55,17 +62,87 @@ def named(parts: Column) -> Column:
     return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is bound to a variable, so that it is made once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _filled(c: Column) -> Column:
+    return _once(c, lambda x: F.nullif(x, F.lit("")))
+
+
 def unlinked(c: Column) -> Column:
     """Text without links, marks of emphasis and templates."""
     c = F.regexp_replace(F.regexp_replace(c, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"), r"\{\{[^{}]*\}\}|'{2,}|<[^<>]*>", "")
-    return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    return _filled(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def _printer(parts: Column) -> Column:
     """struct<printer, full_name, place, year> of {{P|short|full|place|date|year|...}}."""
-    clean = lambda i: F.nullif(F.regexp_replace(F.coalesce(unlinked(F.get(parts, F.lit(i))), F.lit("")), r"[\s.,;]+$", ""), F.lit(""))
-    dated = F.nullif(year(F.concat_ws(" ", F.get(parts, F.lit(5)), F.get(parts, F.lit(4)))), F.lit(0))
-    return F.struct(F.coalesce(clean(1), clean(2)).alias("printer"), F.coalesce(clean(2), clean(1)).alias("full_name"), clean(3).alias("place"), dated.alias("year"))
+    clean = lambda i: _filled(F.regexp_replace(F.coalesce(unlinked(F.get(parts, F.lit(i))), F.lit("")), r"[\s.,;]+$", ""))
+    dated = _once(year(F.concat_ws(" ", F.get(parts, F.lit(5)), F.get(parts, F.lit(4)))), lambda y: F.nullif(y, F.lit(0)))
+    names = F.struct(clean(1).alias("short"), clean(2).alias("full"))
+    return _once(names, lambda n: F.struct(F.coalesce(n["short"], n["full"]).alias("printer"), F.coalesce(n["full"], n["short"]).alias("full_name"), clean(3).alias("place"), dated.alias("year")))
+
+
+def _fields(body: str) -> list[str]:
+    depth, parts = 0, [""]
+    for p in _PIECE.split(body):
+        depth += (p in ("{{", "[[")) - (p in ("}}", "]]"))
+        if p == "|" and depth <= 0:
+            parts.append("")
+        else:
+            parts[-1] += p
+    return parts
+
+
+def _bodies(text: str) -> list[list[str]]:
+    """``fields`` of each of ``templates`` of one text in plain Python: a page has hundreds of pieces, and folding them in expressions copies what is read at each."""
+    opened, done, stray = [], [], False  # of each open template its parts and how many links are open; whether a link ends that none began
+    for p in _PIECE.split(text):
+        if p == "{{":
+            opened.append([[""], 0])
+        elif not opened:
+            continue
+        elif p == "}}":
+            parts, depth = opened.pop()
+            done.append(parts)
+            if opened:
+                opened[-1][0][-1] += "{{" + "|".join(parts) + "}}"
+                opened[-1][1] += depth
+        elif p == "|" and opened[-1][1] <= 0:
+            opened[-1][0].append("")
+        else:
+            opened[-1][0][-1] += p
+            opened[-1][1] += (p == "[[") - (p == "]]")
+            stray = stray or opened[-1][1] < 0
+    return [[x.strip(" \t\n\x0b\f\r") for x in (_fields("|".join(parts)) if stray else parts)] for parts in done]
+
+
+def _named(parts: list[str]) -> dict[str, str]:
+    out = {}
+    for k, v in (m.groups() for m in map(_FIELD.match, parts[1:]) if m):
+        if k := k.strip(" "):
+            out.pop(k, None)
+            out[k] = v
+    return out
+
+
+def _read(text: str | None) -> dict:
+    """One page as ``READ`` has it."""
+    each = _bodies(text or "")
+    page = next((m for m in (_named(t) for t in each if t[0].lower().startswith("#fte:imslppage")) if m), {})
+    blocks = []
+    for m in (_named(t) for t in each if t[0].lower().startswith("#fte:imslpfile")):
+        publisher = next((t for t in _bodies(m.get("Publisher Information", "")) if t[0] == "P"), None)
+        blocks.append({"files": [v for k, v in m.items() if _FILE.fullmatch(k)], "editor": m.get("Editor"), "publisher": publisher})
+    return {to: page.get(k) for to, k in _PAGE.items()} | {"blocks": blocks}
+
+
+def _read_all(pages: pa.Array) -> pa.Array:
+    texts = pa.list_(pa.string())
+    kind = pa.struct([*[(to, pa.string()) for to in _PAGE], ("blocks", pa.list_(pa.struct([("files", texts), ("editor", pa.string()), ("publisher", texts)])))])
+    return pa.array([_read(x) for x in pages.to_pylist()], kind)
 
 
 def work_page(c: Column) -> Column:
@@ -73,34 +150,18 @@ def work_page(c: Column) -> Column:
 
     ``editions`` has the files, editor, printer, place and year of each block of files; a printer is what a publisher
     template names, wherever it nests. ``first_source`` is the number of the source catalogue given with the first
-    publication. A null page has nulls and no editions; fields that are not closed are not read.
+    publication. A null page has nulls and no editions; fields that are not closed are not read. Templates are taken apart in
+    Arrow batches, so ``c`` may not be a lambda's variable.
     """
-    return _once(F.transform(templates(c), fields), lambda each: _once(F.get(F.filter(F.transform(F.filter(each, lambda t: _head(t).startswith("#fte:imslppage")), named), lambda m: F.size(m) > 0), F.lit(0)), lambda page: _work(page, each)))
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is bound to a variable, so that it is made once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _head(template: Column) -> Column:
-    return F.lower(F.get(template, F.lit(0)))
-
-
-def _edition(block: Column) -> Column:
-    publisher = F.get(F.filter(F.transform(templates(F.coalesce(block["Publisher Information"], F.lit(""))), fields), lambda t: F.get(t, F.lit(0)) == "P"), F.lit(0))
-    files = F.map_values(F.map_filter(block, lambda k, _: k.rlike(r"^File Name \d+$")))
-    return F.struct(files.alias("files"), unlinked(block["Editor"]).alias("editor"), _once(publisher, _printer).alias("by"))
-
-
-def _work(page: Column, each: Column) -> Column:
-    blocks = F.transform(F.filter(each, lambda t: _head(t).startswith("#fte:imslpfile")), named)
-    first = page["Year of First Publication"]
+    ship(SparkSession.active())
+    r = F.arrow_udf(_read_all, READ)(c)
+    first = r["first"]
     flat = lambda e: F.struct(e["files"].alias("files"), e["editor"].alias("editor"), *[e["by"][f].alias(f) for f in ("printer", "full_name", "place", "year")])
+    edition = lambda b: F.struct(b["files"].alias("files"), unlinked(b["editor"]).alias("editor"), _printer(b["publisher"]).alias("by"))
     return F.struct(
-        unlinked(page["Work Title"]).alias("title"), unlinked(page["Alternative Title"]).alias("alternative"), F.coalesce(page["Page Type"].rlike("(?i)collection"), F.lit(False)).alias("collection"), unlinked(page["Instrumentation"]).alias("instrumentation"),
+        unlinked(r["title"]).alias("title"), unlinked(r["alternative"]).alias("alternative"), F.coalesce(r["type"].rlike("(?i)collection"), F.lit(False)).alias("collection"), unlinked(r["instrumentation"]).alias("instrumentation"),
         F.nullif(year(first), F.lit(0)).alias("first_year"), F.nullif(F.regexp_extract(first, r"(?i)\{\{RISMc?\|(\d+)", 1), F.lit("")).alias("first_source"),
-        F.transform(F.transform(blocks, lambda m: _once(m, _edition)), flat).alias("editions"),
+        F.transform(F.transform(r["blocks"], edition), flat).alias("editions"),
     )
 
 

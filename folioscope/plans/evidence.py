@@ -394,10 +394,13 @@ def work_pages_read(spark, sf_dir):
     """A page for each order, with a block of files for each of its items and templates inside templates."""
     text_of = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     s = lambda c: F.col(c).cast("string")
-    dated = F.when(F.col("l_quantity") > 25, F.concat(F.lit("ca."), (1600 + F.col("l_linenumber")).cast("string"))).otherwise("n.d.")
-    block = text_of("\n{{#fte:imslpfile\n|File Name 1=f", s("l_partkey"), ".pdf\n|Publisher Information=first {{Note|a|{{b|c}}}} {{P|Printer ", s("l_suppkey"), ",|[[Printer ", s("l_suppkey"), "|The Printer]]|Porto.|", dated, "|}}\n|Notes={{d|e}}\n}}")
-    order = F.struct("l_suppkey", "l_partkey", "l_linenumber", "l_quantity", block.alias("block"))
-    blocks = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["block"]), "").alias("blocks"))
+    dated = lambda x: F.when(x["l_quantity"] > 25, F.concat(F.lit("ca."), (1600 + x["l_linenumber"]).cast("string"))).otherwise("n.d.")
+    block = lambda x: text_of("\n{{#fte:imslpfile\n|File Name 1=f", x["l_partkey"].cast("string"), ".pdf\n|Publisher Information=first {{Note|a|{{b|c}}}} {{P|Printer ", x["l_suppkey"].cast("string"), ",|[[Printer ", x["l_suppkey"].cast("string"), "|The Printer]]|Porto.|", dated(x), "|}}\n|Notes={{d|e}}\n}}")
+    order = F.struct("l_suppkey", "l_partkey", "l_linenumber", "l_quantity")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for is kept: items are few bytes, their pages are many
+    items = table(spark, sf_dir, "lineitem").repartition(tasks, "l_orderkey")
+    blocks = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(order)).alias("items"))
+    blocks = blocks.select("o_orderkey", F.array_join(F.transform("items", block), "").alias("blocks"))
     kind = F.when(F.col("o_totalprice") > 150_000, "Collection page").otherwise("Work page")
     page = text_of("{{#fte:imslppage\n|Work Title='''Works of''' [[X|", s("o_custkey"), "]]\n|Page Type=", kind, "\n|Year of First Publication=", (1500 + F.col("o_custkey") % 400).cast("string"), " {{RISM|", s("o_custkey"), "}}\n}}", F.coalesce("blocks", F.lit("")))
     p = table(spark, sf_dir, "orders").join(blocks, "o_orderkey", "left").select("o_orderkey", page.alias("page")).select("o_orderkey", wiki.work_page(F.col("page")).alias("p"))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import wiki
@@ -47,3 +49,10 @@ def test_printers_and_files(spark):
     df = spark.createDataFrame([(PAGE,)], "page string").select(wiki.work_page(F.col("page"))["editions"].alias("e"))
     r = df.select(*[wiki.printer_is_person(F.lit(n), F.col("e")).alias(n) for n in ("Roger, Estienne", "Roger, Pierre", "Roe, R.")], *[wiki.edition_of_file(F.col("e"), F.lit(f))["printer"].alias(f) for f in ("roe parts.PDF", "PMLP0123-Roe_Sonatas.pdf", "other.pdf")], wiki.edition_of_file(F.col("e"), F.lit("PMLP0125-Roe.pdf"))["editor"].alias("ed")).first()
     assert list(r) == [True, True, False, "Roger", "Roger", "Roger", "Jane Doe"]
+
+
+def test_one_pass_reads_what_the_expressions_read(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["{{", "}}", "[[", "]]", "|", "{", "}", "[", "]", "a", " b=c ", "\n", "P", "#fte:imslpfile"]) for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in [*texts, PAGE, ""]], "t string")
+    assert [(r.t, r.f) for r in df.select("t", F.transform(wiki.templates(F.col("t")), wiki.fields).alias("f")).collect() if r.f != wiki._bodies(r.t)] == []
