@@ -3,6 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from folioscope.operators import skew
+from folioscope.plans import archive
+from folioscope.plans.catalogue import ORACLE_SQL
+from tests.compare import compared
 
 
 def test_lookup_of_heavy_light_null_and_missing_keys(spark):
@@ -29,3 +32,13 @@ def test_running_values_of_a_key_that_goes_over_many_ranges(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert parts.select("__p").distinct().count() > 1
     assert {r.i: (r.n, r.x) for r in got.collect()} == want
+
+
+def test_items_are_not_dealt_by_their_few_keys(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large for it
+    try:
+        plan = archive.shortening_key_lookup(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [key" in plan and "hashpartitioning(key" not in plan
+    compared(spark, sf, "shortening_key_lookup", archive.shortening_key_lookup, ORACLE_SQL["shortening_key_lookup"])
