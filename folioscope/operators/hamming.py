@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import skew
 from folioscope.operators.components import stored
+from folioscope.operators.ship import ship
 
 #: Prints from which common band values are learnt (any order of bands gives the same pairs), and the share from which a value is common.
 LEARNT, COMMON = 65_536, 16
+#: Prints of a block and rows of it compared at a time; prints on which keys are tried, and pairs for each meeting by a key below which all pairs are compared.
+BLOCK, ROWS, TRIED, DENSE = 4096, 32, 2048, 4
 
 
 def page_prints(rasters: DataFrame, key: str, n: int = 32) -> DataFrame:
@@ -60,6 +65,63 @@ def _bands(m: int) -> Column:
     cast(x.e - x.s as int) as w))""")
 
 
+def _later(left: DataFrame, more_pages: int) -> DataFrame:
+    """``left`` once for each number of pages n that a partner may have; its own is ``na``."""
+    return left.withColumnRenamed("n", "na").withColumn("n", F.explode(F.sequence(F.col("na"), F.col("na") + more_pages)))
+
+
+def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> float:
+    """Rows that a join would have."""
+    each = lambda d, c: d.groupBy(*on).agg(F.count("*").cast("double").alias(c))
+    return each(left, "c").join(each(right, "d"), on).agg(F.coalesce(F.sum(F.col("c") * F.col("d")), F.lit(0.0))).first()[0]
+
+
+def _sampled(count: int, most: int) -> Column:
+    return F.pmod(F.xxhash64("rep", "side"), F.lit(max(1, count))) < most
+
+
+def compared(nodes: DataFrame, most: int, more_pages: int) -> DataFrame:
+    """``side, a, b, distance`` of nodes(side, rep, n, print) by comparing all pairs that may be linked.
+
+    Prints of one side, length and n are dealt into blocks, and each block goes to those it is compared with: every pair
+    meets in one task of two blocks, whatever the number of prints.
+    """
+    ship(nodes.sparkSession)
+    v = nodes.select("side", "rep", "n", F.size("print").alias("size"), "print")
+    group = ["side", "size", "n"]
+    parts = stored(v.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "parts")
+    grid = _later(parts.withColumnRenamed("parts", "pa"), more_pages).join(parts.withColumnRenamed("parts", "pb"), group)
+    grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pa") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb") - 1)))
+    grid = grid.where("na < n or i <= j").select("side", "size", "na", "i", F.col("n").alias("nb"), "j")
+    dealt = stored(v.join(parts, group).withColumn("k", F.pmod(F.xxhash64("rep"), "parts")).drop("parts"), "blocks")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is asked for is kept: prints are few bytes, their pairs are many
+    by = ["side", "size", "na", "i", "nb", "j"]
+    a = dealt.withColumnsRenamed({"n": "na", "k": "i"}).join(grid, ["side", "size", "na", "i"]).select(*by, "rep", "print").repartition(tasks, *by)
+    b = dealt.withColumnsRenamed({"n": "nb", "k": "j"}).join(grid, ["side", "size", "nb", "j"]).select(*[F.col(c).alias(f"v_{c}") for c in (*by, "rep", "print")]).repartition(tasks, *[f"v_{c}" for c in by])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 3]
+        if left.num_rows and right.num_rows:
+            matrix = lambda c: np.ascontiguousarray(c.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(c), -1).T)
+            x, y, xi, yi = matrix(left.column("print")), matrix(right.column("v_print")), left.column("rep").to_numpy(), right.column("v_rep").to_numpy()
+            one = left.column("na")[0].as_py() == left.column("nb")[0].as_py()
+            own = one and left.column("i")[0].as_py() == left.column("j")[0].as_py()
+            for s in range(0, len(xi), ROWS):
+                d = np.zeros((len(xi[s : s + ROWS]), len(yi)), np.int32)
+                for p, q in zip(x[:, s : s + ROWS], y, strict=True):
+                    d += np.bitwise_count(p[:, None] ^ q)
+                p, q = np.nonzero(d <= most)
+                p, q, d = xi[s : s + ROWS][p], yi[q], d[p, q].astype(np.int64)
+                if own:
+                    p, q, d = (c[p < q] for c in (p, q, d))
+                out.append((np.minimum(p, q), np.maximum(p, q), d) if one else (p, q, d))
+        p, q, d = map(np.concatenate, zip(*out, strict=True))
+        name = left.column("side")[0].as_py() if left.num_rows else ""
+        return pa.table({"side": pa.array([name] * len(p), pa.string()), "a": p, "b": q, "distance": d})
+
+    return a.groupBy(*by).cogroup(b.groupBy(*[f"v_{c}" for c in by])).applyInArrow(run, "side string, a long, b long, distance long")
+
+
 def near_prints(pages: DataFrame, most: int = 100, more_pages: int = 2) -> tuple[DataFrame, DataFrame]:
     """Links ``side, a, b, distance`` between different prints of ``pages(id, n, first, last)``, and members ``id, side, rep``.
 
@@ -69,7 +131,8 @@ def near_prints(pages: DataFrame, most: int = 100, more_pages: int = 2) -> tuple
     lengths are never near; null prints, ids and n have no part. Repeated rows count once. No pair is missed.
 
     Each band of a print is a key. Near prints agree in all bands but ``most``, so by any fixed order of keys the first most + 1
-    of each share one: common values (blank margins) are put last, so they seldom become keys at all.
+    of each share one: common values (blank margins) are put last, so they seldom become keys at all. Where keys still bring
+    together as many as a quarter of all pairs (bands of few values), as tried on a sample, all pairs are :func:`compared`.
     """
     side = F.explode(F.array(F.struct(F.lit("first").alias("side"), F.col("first").alias("print")), F.struct(F.lit("last").alias("side"), F.col("last").alias("print"))))
     each = pages.select(F.col("id").cast("long").alias("id"), F.col("n").cast("long").alias("n"), side.alias("x")).select("id", "n", "x.*")
@@ -79,22 +142,32 @@ def near_prints(pages: DataFrame, most: int = 100, more_pages: int = 2) -> tuple
     count, bits = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("print")), F.lit(1)) * 64).first()
     m, flips = index_of(most, bits, count)
     banded = nodes.select("side", "rep", "n", F.size("print").alias("size"), _bands(m).alias("bands"))
-    if flips:
-        own = F.explode("bands")
-        flipped = F.expr("concat(array(x.v), transform(filter(sequence(0, 63), j -> j < x.w), j -> x.v ^ shiftleft(1L, j)))")
-        left = banded.select("side", F.col("rep").alias("a"), "n", "size", own.alias("x")).select("side", "a", "n", "size", F.col("x.b").alias("band"), F.explode(flipped).alias("v"))
-        right = banded.select("side", F.col("rep").alias("b"), "n", "size", own.alias("x")).select("side", "b", "n", "size", F.col("x.b").alias("band"), F.col("x.v").alias("v"))
-    else:
-        sample = banded.where(F.pmod(F.xxhash64("rep", "side"), F.lit(max(1, count))) < LEARNT)
+    if not flips:
+        sample = banded.where(_sampled(count, LEARNT))
         seen = sample.select(F.explode("bands").alias("x")).groupBy(F.col("x.b").alias("b"), F.col("x.v").alias("v")).agg(F.count("*").alias("c"))
         common = seen.where(F.col("c") * COMMON > min(count, LEARNT)).groupBy("b").agg(F.collect_list(F.struct("v", "c")).alias("common"))  # under COMMON values a band
         by_band = nodes.sparkSession.range(m).select(F.col("id").cast("int").alias("b")).join(common, "b", "left")
-        table = by_band.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("common", F.array()).alias("common")))), lambda x: x["common"]).alias("table")).scalar()
-        weight = F.expr("transform(bands, x -> struct(coalesce(get(filter(table[x.b], y -> y.v = x.v), 0).c, 0L) as c, x.b as b, x.v as v))")
-        keys = banded.withColumn("table", table).select("side", "rep", "n", "size", F.explode(F.slice(F.array_sort(weight), 1, most + 1)).alias("x"))
-        keys = keys.select("side", "rep", "n", "size", F.col("x.b").alias("band"), F.col("x.v").alias("v"))
-        left, right = keys.withColumnRenamed("rep", "a"), keys.withColumnRenamed("rep", "b")
-    left = left.withColumnRenamed("n", "na").withColumn("n", F.explode(F.sequence(F.col("na"), F.col("na") + more_pages)))
+        table = stored(by_band.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", F.coalesce("common", F.array()).alias("common")))), lambda x: x["common"]).alias("table")), "common").scalar()
+
+    def keyed(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if flips:
+            own = F.explode("bands")
+            flipped = F.expr("concat(array(x.v), transform(filter(sequence(0, 63), j -> j < x.w), j -> x.v ^ shiftleft(1L, j)))")
+            left = d.select("side", F.col("rep").alias("a"), "n", "size", own.alias("x")).select("side", "a", "n", "size", F.col("x.b").alias("band"), F.explode(flipped).alias("v"))
+            right = d.select("side", F.col("rep").alias("b"), "n", "size", own.alias("x")).select("side", "b", "n", "size", F.col("x.b").alias("band"), F.col("x.v").alias("v"))
+        else:
+            weight = F.expr("transform(bands, x -> struct(coalesce(get(filter(table[x.b], y -> y.v = x.v), 0).c, 0L) as c, x.b as b, x.v as v))")
+            keys = d.withColumn("table", table).select("side", "rep", "n", "size", F.explode(F.slice(F.array_sort(weight), 1, most + 1)).alias("x"))
+            keys = keys.select("side", "rep", "n", "size", F.col("x.b").alias("band"), F.col("x.v").alias("v"))
+            left, right = keys.withColumnRenamed("rep", "a"), keys.withColumnRenamed("rep", "b")
+        return _later(left, more_pages), right
+
+    tried = stored(banded.where(_sampled(count, TRIED)), "tried")
+    by_key = keyed(tried)
+    met = _pairs(*by_key, ["side", "size", "band", "v", "n"]) - by_key[1].count()  # each meets itself by all its keys
+    if DENSE * met > _pairs(_later(tried, more_pages), tried, ["side", "size", "n"]) - tried.count():
+        return compared(nodes, most, more_pages), members
+    left, right = keyed(banded)
     met = left.join(right, ["side", "size", "band", "v", "n"]).where("n > na or a < b").select("side", "a", "b").distinct()
     met = stored(met, "met")
     prints = nodes.select("side", "rep", "print")

@@ -91,3 +91,18 @@ def test_page_prints_equal_brute_force(spark):
 def test_distance(spark):
     r = spark.range(1).select(hamming.distance(F.array(F.lit(-1).cast("long"), F.lit(3).cast("long")), F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("d"), hamming.distance(F.array(F.lit(1)), F.array(F.lit(1), F.lit(1))).alias("n")).first()
     assert (r.d, r.n) == (65, None)  # 64 bits of -1, one of 3
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_prints_of_few_values_are_compared_in_blocks(spark, monkeypatch, block):
+    """Bands of a number's level have few values, so keys would bring most pairs together many times."""
+    random.seed(3)
+    level = lambda: signed((1 << random.randrange(25, 40)) - 1)
+    rows = [(i, random.randrange(4), [level() for _ in range(32)], [level() for _ in range(31)]) for i in range(120)]
+    monkeypatch.setattr(hamming, "BLOCK", block)
+    seen, real = [], hamming.compared
+    monkeypatch.setattr(hamming, "compared", lambda *a: seen.append(1) or real(*a))
+    links, members = hamming.near_prints(spark.createDataFrame(rows, SCHEMA), 130)
+    want = brute(rows, 130)
+    got = [tuple(r) for r in links.collect()]
+    assert seen and len(got) == len(set(got)) > 20 and (set(got), {tuple(r) for r in members.collect()}) == want
