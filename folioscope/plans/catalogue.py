@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over as many tasks as a shuffle has: a small file is one task's, however much is worked out of each row. A number that is asked for is kept."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def longs(*cols: str) -> list[Column]:
     return [F.col(c).cast("long").alias(c) for c in cols]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import evidence, identifiers, names, pages, rules, text, wiki
 from folioscope.operators import clusters, edit, grouping, keywords, rank, registry, sigla
 from folioscope.plans import workflows
-from folioscope.plans.catalogue import _norm, _words, query, table
+from folioscope.plans.catalogue import _norm, _words, query, spread, table
 from folioscope.sources import exports, records
 from folioscope.streaming import ingest
 
@@ -188,7 +188,8 @@ def work_vetoes(spark, sf_dir):
     work = dealt("p_partkey", "Violin Concerto, RV 9", "Violin Concerto, Op. 8", "Trio Sonata No. 6", "10 Sonatas, Op. 3", "Recorder Sonata", "6 Sonatas, Op. 3", "4 pieces", "Sonata in B minor", "Cello Suite", "Triosonate, Flute Sonata in G major")
     movements = F.when(F.col("p_partkey") % 10 == 8, "Allemande\nCourante\nGigue")
     movements = F.when(F.col("p_partkey") % 20 == 18, "Allemande\nCourante").otherwise(movements)
-    return table(spark, sf_dir, "part").select("p_partkey", pages.work_compatible(title, work, movements).alias("compatible"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", title.alias("title"), work.alias("work"), movements.alias("movements"))
+    return p.select("p_partkey", pages.work_compatible(F.col("title"), F.col("work"), F.col("movements")).alias("compatible"))
 
 
 @query("""

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import pages, rules
+from folioscope.plans import catalogue, evidence  # noqa: F401  registers its queries in catalogue
 
 
 def table(spark, rows, schema):
@@ -46,3 +48,9 @@ def test_the_file_name_that_tells_more(spark):
     assert {t: round(n, 6) for t, n in got.items()} == {t: round(n, 6) for t, n in want.items()}
     best = spark.range(1).select(pages.best_name(F.array(F.lit("1730 scan"), F.lit("P-Cug MM 44 motet"))).alias("b")).first().b
     assert best == "P-Cug MM 44 motet"
+
+
+@pytest.mark.parametrize("name", ["work_vetoes"])
+def test_rows_of_one_file_are_dealt_over_tasks(spark, sf, name):
+    out = catalogue.QUERIES[name](spark, sf)
+    assert out.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
