@@ -172,7 +172,7 @@ def notation_names(spark, sf_dir):
     name = F.concat("p_name", F.lit(" RV "), n, F.lit(" in G no. "), (k % 9 + 1).cast("string"), F.lit(" - violin v"), (k % 5 + 1).cast("string"), F.lit(".mscz"))
     x = pages.notation_name(name)
     best = pages.best_name(F.array(F.lit("scan.pdf"), F.concat(F.lit("Doe - Aria RV "), n, F.lit(".pdf")), F.concat(F.lit("Aria RV "), n, F.lit(".pdf"))))
-    return table(spark, sf_dir, "part").select("p_partkey", x["part"].alias("part"), x["version"].alias("version"), x["number"].alias("number"), x["key"].alias("key"), x["catalogue"].alias("catalogue"), best.alias("best"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", x["part"].alias("part"), x["version"].alias("version"), x["number"].alias("number"), x["key"].alias("key"), x["catalogue"].alias("catalogue"), best.alias("best"))
 
 
 @query("""

@@ -50,7 +50,7 @@ def test_the_file_name_that_tells_more(spark):
     assert best == "P-Cug MM 44 motet"
 
 
-@pytest.mark.parametrize("name", ["work_vetoes"])
+@pytest.mark.parametrize("name", ["work_vetoes", "notation_names"])
 def test_rows_of_one_file_are_dealt_over_tasks(spark, sf, name):
     out = catalogue.QUERIES[name](spark, sf)
     assert out.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
