@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions import similarity
+from folioscope.operators.ship import ship
 
 
 def word_pairs(a: DataFrame, b: DataFrame, share: float, ratio: float | None = None) -> DataFrame:
@@ -26,19 +33,84 @@ def word_pairs(a: DataFrame, b: DataFrame, share: float, ratio: float | None = N
     return hit.join(a.select("id", "words"), "id").join(b.select("match", F.col("words").alias("words_b")), "match")
 
 
-#: Rows of words up to which one side of the word index may be sent to every task (about 60 MB).
-SENT = 2_000_000
+#: Words up to which one side of the word index may be sent to every task (about 60 MB); rows counted at a time, and cells of rows by matches.
+SENT, ROWS, CELLS = 2_000_000, 512, 1 << 21
+#: Which pairs of some rows (first axis) are wanted, by words shared, of each row, of each match.
+Keep = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def shared_words(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``id, match, na, nb, shared`` for all pairs of a(id, words) and b(match, words) with a word in common.
+def shared_words(a: DataFrame, b: DataFrame, keep: Keep | None = None) -> DataFrame:
+    """The columns of a without its words, and ``match, na, nb, shared``, for all pairs of a(id, words, ...) and b(match, words) with a word in common.
 
-    One join on words and partial sums for each pair; the words of b are sent out where they are counted and few."""
-    wa = a.select("id", F.size("words").alias("na"), F.explode("words").alias("w"))
+    Words of b that are few are sent out, and rows of a are counted against them where they are read: nothing is shuffled. Else it is one
+    join on words and partial sums for each pair. ``keep`` may leave out pairs that others of the same rows make needless; the join keeps all.
+    """
+    if _few(b):
+        return _counted(a, b, keep)
+    own = [c for c in a.columns if c != "words"]
+    wa = a.select(*own, F.size("words").alias("na"), F.explode("words").alias("w"))
     wb = b.select("match", F.size("words").alias("nb"), F.explode("words").alias("w"))
-    if wb.limit(SENT + 1).count() <= SENT:
-        wb = F.broadcast(wb)
-    return wa.join(wb, "w").groupBy("id", "match", "na", "nb").agg(F.count("*").alias("shared"))
+    return wa.join(wb, "w").groupBy(*own, "match", "na", "nb").agg(F.count("*").alias("shared"))
+
+
+def _few(b: DataFrame) -> bool:
+    return b.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= SENT
+
+
+def _counted(a: DataFrame, b: DataFrame, keep: Keep | None) -> DataFrame:
+    spark = a.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(b.where("words is not null").select("match", "words").toArrow().combine_chunks())  # SENT words at most
+    own = [c for c in a.columns if c != "words"]
+    found = T.StructType([b.schema["match"], T.StructField("nb", T.IntegerType()), T.StructField("shared", T.LongType())])
+    schema = T.StructType([*(a.schema[c] for c in own), T.StructField("na", T.IntegerType()), T.StructField("x", T.ArrayType(found))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, lists = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in (sent.value.column(n) for n in ("match", "words")))
+        m, nb = len(match), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        vocabulary = flat.unique()
+        code = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False)
+        items = np.repeat(np.arange(m), nb)[np.argsort(code, kind="stable")]
+        many = np.bincount(code, minlength=len(vocabulary))
+        starts = np.cumsum(many) - many
+        rows = max(1, min(ROWS, CELLS // max(1, m)))
+        for batch in batches:
+            words = batch.column(batch.schema.get_field_index("words"))
+            na = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(na)
+            for s in range(0, batch.num_rows if m else 0, rows):
+                n = na[s : s + rows]
+                c = codes[ends[s] - n[0] : ends[s + len(n) - 1]]
+                row = np.repeat(np.arange(len(n)), n)[c >= 0]
+                c = c[c >= 0]
+                each = many[c]
+                at = np.arange(each.sum()) + np.repeat(starts[c] - np.cumsum(each) + each, each)
+                shared = np.bincount(np.repeat(row, each) * m + items[at], minlength=len(n) * m).reshape(len(n), m)
+                some = shared > 0
+                if keep is not None:
+                    some &= keep(shared, n[:, None], nb[None, :])
+                i, j = np.nonzero(some)
+                x = pa.StructArray.from_arrays([match.take(pa.array(j)), pa.array(nb[j].astype(np.int32)), pa.array(shared[i, j].astype(np.int64))], ["match", "nb", "shared"])
+                bounds = pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))).astype(np.int32))
+                part = batch.slice(s, len(n))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in own), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(bounds, x)], [*own, "na", "x"])
+
+    return a.mapInArrow(run, schema).select(*own, "na", F.explode("x").alias("x")).select(*own, "x.match", "na", "x.nb", "x.shared")
+
+
+def word_links(a: DataFrame, b: DataFrame, share: float, ratio: float | None = None) -> DataFrame:
+    """``id, match, na, nb, shared`` for the pairs of :func:`word_pairs`, or fewer: none that shares less is needed. Words of b that are few are counted where a is read."""
+    if _few(b):
+
+        def keep(shared: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+            some = shared >= nb * share - 1e-9
+            return some if ratio is None else some & (na <= nb * ratio + 1e-9)
+
+        return _counted(a.select("id", "words"), b, keep)
+    pairs = word_pairs(a, b, share, ratio)
+    return pairs.select("id", "match", F.size("words").alias("na"), F.size("words_b").alias("nb"), F.size(F.array_intersect("words", "words_b")).cast("long").alias("shared"))
 
 
 def _without(c: Column, i: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,34 @@ def confidence_of(shared: Column, query: Column, found: Column) -> Column:
     return similarity.round2(F.greatest(dice, 0.9 * contained))
 
 
+def scores(shared: np.ndarray, found: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """:func:`confidence_of` of some candidates (first axis) for some queries; -1 without a shared word."""
+    dice = 2.0 * shared / np.maximum(query + found, 1)
+    contained = np.where(query >= 3, shared * 1.0 / np.maximum(query, 1), 0.0)
+    return np.where(shared > 0, np.floor(np.maximum(dice, 0.9 * contained) * 100 + 0.5) / 100.0, -1.0)
+
+
+def best(k: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Of some candidates those that may be among a query's best k: no less than the kth of them."""
+
+    def keep(shared: np.ndarray, found: np.ndarray, query: np.ndarray) -> np.ndarray:
+        s = scores(shared, found, query)
+        return s >= np.partition(s, -k, axis=0)[-k] if len(s) > k else s >= 0
+
+    return keep
+
+
+def near_best(shared: np.ndarray, found: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of some candidates those that may be as near to a query's best as ``fill_winner`` looks."""
+    s = scores(shared, found, query)
+    return s.max(axis=0) - s <= CLOSE + 1e-9
+
+
+def earliest(candidates: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """The keys, each once with its first ``arrival``, where nothing else is asked for: partial minima instead of a sort."""
+    return candidates.groupBy(*keys).agg(F.min(arrival).alias(arrival))
+
+
 def first_of(candidates: DataFrame, key: Column, query: str, arrival: str) -> DataFrame:
     """Of candidates with one key for a query, the first to arrive."""
     keyed = candidates.withColumn("__k", key)
@@ -40,9 +71,9 @@ def choose(candidates: DataFrame, query: str, work: str, threshold: float = 0.8)
     """``query, winner, confidence, decision`` from candidates(query, id, confidence, work): the best if it reaches the
     threshold and no other work comes within 0.05 of it (or also reaches 1)."""
     ranked = top(candidates, query, 2, "confidence desc, id")
-    a = ranked.where("rank = 1").select(query, F.col("id").alias("winner"), "confidence", F.col(work).alias("wa"))
-    b = ranked.where("rank = 2").select(query, F.col("confidence").alias("cb"), F.col(work).alias("wb"))
-    both = a.join(b, query, "left")
+    at = lambda r, *c: F.max(F.when(F.col("rank") == r, F.struct(*c)))  # noqa: E731  a row of each rank: candidates are read once
+    both = ranked.groupBy(query).agg(at(1, F.col("id").alias("winner"), "confidence", F.col(work).alias("wa")).alias("a"), at(2, F.col("confidence").alias("cb"), F.col(work).alias("wb")).alias("b"))
+    both = both.select(query, "a.*", *[F.when(F.col(query).isNotNull(), F.col(f"b.{c}")).alias(c) for c in ("cb", "wb")])
     same = F.coalesce(F.col("wa") == F.col("wb"), F.lit(False))
     near = F.when(F.col("confidence") >= 1, F.col("cb") >= 1).otherwise(F.col("confidence") - F.col("cb") <= CLOSE + 1e-9)
     tie = F.col("cb").isNotNull() & near & ~same
@@ -59,13 +90,14 @@ def vetoed(candidates: DataFrame, reasons: dict[str, Column]) -> DataFrame:
 
 def fill_winner(candidates: DataFrame, query: str, same: str, fields: list[str]) -> DataFrame:
     """Winners with empty fields filled from candidates of the same work within 0.05, best first."""
-    w = candidates.withColumn("__r", F.expr(f"row_number() over (partition by {query} order by confidence desc, id)"))
-    best = w.where("__r = 1").select(query, "id", "confidence", same, *fields)
-    other = w.where("__r > 1").select(query, F.col(same).alias("__s"), F.col("confidence").alias("__c"), F.col("__r"), *[F.col(f).alias(f"__{f}") for f in fields])
-    near = best.join(other, query).where(F.col(same).eqNullSafe(F.col("__s")) & (F.col("confidence") - F.col("__c") <= CLOSE + 1e-9))
-    got = near.groupBy(query).agg(*[F.min_by(F.when(~text.is_blank(F.col(f"__{f}")), F.col(f"__{f}")), F.when(~text.is_blank(F.col(f"__{f}")), F.col("__r"))).alias(f"__{f}") for f in fields])
-    out = best.join(got, query, "left")
-    return out.select(query, "id", "confidence", *[text.first_filled(F.col(f), F.col(f"__{f}")).alias(f) for f in fields])
+    over = f"over (partition by {query} order by confidence desc, id)"
+    w = candidates.select(query, "id", "confidence", F.col(same).alias("__s"), *fields).withColumns({"__r": F.expr(f"row_number() {over}"), "__best": F.expr(f"first_value(struct(confidence, __s)) {over}")})
+    near = (F.col("__r") > 1) & F.col(query).isNotNull() & F.col("__s").eqNullSafe(F.col("__best.__s")) & (F.col("__best.confidence") - F.col("confidence") <= CLOSE + 1e-9)
+    filled = lambda f: near & ~text.is_blank(F.col(f))
+    got = [F.min_by(F.when(filled(f), F.col(f)), F.when(filled(f), F.col("__r"))).alias(f"__{f}") for f in fields]
+    best = F.max(F.when(F.col("__r") == 1, F.struct("id", "confidence", *fields))).alias("__w")
+    out = w.groupBy(query).agg(best, *got)
+    return out.select(query, "__w.id", "__w.confidence", *[text.first_filled(F.col(f"__w.{f}"), F.col(f"__{f}")).alias(f) for f in fields])
 
 
 def replace_ok(same_id: Column, old_from_catalogue: Column, composers_shared: Column, same_number: Column, title_dice: Column) -> Column:

@@ -422,12 +422,13 @@ c AS (SELECT item_id, doc_id AS id, lang, source, len(d.w) AS work, floor(greate
 """
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
+def _candidates(spark, sf_dir, keep: linkage.Keep | None = None, more: DataFrame | None = None) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("words"), "lang", "source")
+    if more is not None:
+        d = d.join(more, "id", "left")  # a row for each document, not for each of its candidates
     b = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("match"), text.words(F.col("text")).alias("words"))
-    p = linkage.shared_words(d.select("id", "words"), b)
-    p = p.select(F.col("match").alias("item_id"), "id", F.col("na").alias("work"), rank.confidence_of(F.col("shared"), F.col("nb"), F.col("na")).alias("confidence"))
-    return p.join(d.select("id", "lang", "source"), "id")
+    p = linkage.shared_words(d, b, keep)
+    return p.select(F.col("match").alias("item_id"), F.col("na").alias("work"), rank.confidence_of(F.col("shared"), F.col("nb"), F.col("na")).alias("confidence"), *[c for c in d.columns if c != "words"])
 
 
 @query(_CAND + """, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, id) AS k FROM c),
@@ -435,13 +436,13 @@ a AS (SELECT * FROM r WHERE k = 1), s AS (SELECT * FROM r WHERE k = 2)
 SELECT a.item_id, a.id AS winner, a.confidence, CASE WHEN a.confidence < 0.8 THEN 'low' WHEN s.confidence IS NOT NULL AND a.work <> s.work AND (CASE WHEN a.confidence >= 1 THEN s.confidence >= 1 ELSE a.confidence - s.confidence <= 0.05 + 1e-9 END) THEN 'tie' ELSE 'accepted' END AS decision
 FROM a LEFT JOIN s ON a.item_id = s.item_id""")
 def candidate_rank_choose(spark, sf_dir):
-    return rank.choose(_candidates(spark, sf_dir), "item_id", "work")
+    return rank.choose(_candidates(spark, sf_dir, rank.best(2)), "item_id", "work")
 
 
 @query(_CAND + """SELECT item_id, id, CASE WHEN lang <> 'en' OR toxic = 1 THEN least(confidence, 0.5) ELSE confidence END AS confidence,
 concat_ws(',', CASE WHEN lang <> 'en' THEN 'language' END, CASE WHEN toxic = 1 THEN 'toxic' END) AS reasons FROM c LEFT JOIN labels l ON l.doc_id = c.id""")
 def candidate_veto(spark, sf_dir):
-    c = _candidates(spark, sf_dir).join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id"), "id", "left")
+    c = _candidates(spark, sf_dir, more=table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic"))
     out = rank.vetoed(c, {"language": F.col("lang") != "en", "toxic": F.col("toxic") == 1})
     return out.select("item_id", "id", "confidence", F.array_join("reasons", ",").alias("reasons"))
 
@@ -451,18 +452,18 @@ w AS (SELECT * FROM r WHERE k = 1),
 f AS (SELECT w.item_id, arg_min(r.publisher, r.k) FILTER (WHERE r.publisher IS NOT NULL) AS p FROM w JOIN r ON r.item_id = w.item_id AND r.k > 1 AND w.confidence - r.confidence <= 0.05 + 1e-9 AND r.lang IS NOT DISTINCT FROM w.lang GROUP BY 1)
 SELECT w.item_id, w.id, w.confidence, coalesce(w.publisher, f.p) AS publisher FROM w LEFT JOIN f ON f.item_id = w.item_id""")
 def fill_from_near_equal(spark, sf_dir):
-    c = _candidates(spark, sf_dir).withColumn("publisher", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("source")))
+    c = _candidates(spark, sf_dir, rank.near_best).withColumn("publisher", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("source")))
     return rank.fill_winner(c, "item_id", "lang", ["publisher"])
 
 
 @query(_CAND + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC, id) AS rank FROM c) SELECT item_id, id, confidence, rank FROM r WHERE rank <= 10")
 def candidate_topk(spark, sf_dir):
-    return rank.top(_candidates(spark, sf_dir), "item_id", 10, "confidence desc, id").select("item_id", "id", "confidence", *longs("rank"))
+    return rank.top(_candidates(spark, sf_dir, rank.best(10)), "item_id", 10, "confidence desc, id").select("item_id", "id", "confidence", *longs("rank"))
 
 
 @query(_CAND + ", r AS (SELECT *, row_number() OVER (PARTITION BY item_id, lang, source ORDER BY id) AS k FROM c) SELECT item_id, id, lang, source FROM r WHERE k = 1")
 def candidate_first_occurrence(spark, sf_dir):
-    return rank.first_of(_candidates(spark, sf_dir), F.concat_ws("|", "lang", "source"), "item_id", "id").select("item_id", "id", "lang", "source")
+    return rank.earliest(_candidates(spark, sf_dir), ["item_id", "lang", "source"], "id").select("item_id", "id", "lang", "source")
 
 
 # identifiers ------------------------------------------------------------------------------------------------------------
