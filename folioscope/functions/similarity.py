@@ -22,6 +22,11 @@ def dice_of(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(0.0)
 
 
+def dice_from(shared: Column, na: Column, nb: Column) -> Column:
+    """:func:`dice_of` from the numbers of words: shared, of each."""
+    return F.when((na > 0) & (nb > 0), 2.0 * shared / (na + nb)).otherwise(0.0)
+
+
 def dice(a: Column, b: Column) -> Column:
     return dice_of(text.words(a), text.words(b))
 
@@ -31,6 +36,11 @@ def containment_of(a: Column, b: Column) -> Column:
     return F.when((F.size(a) >= 3) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) * 1.0 / F.size(a)).otherwise(0.0)
 
 
+def containment_from(shared: Column, na: Column, nb: Column) -> Column:
+    """:func:`containment_of` from the numbers of words: shared, of A, of B."""
+    return F.when((na >= 3) & (nb > 0), shared * 1.0 / na).otherwise(0.0)
+
+
 def containment(a: Column, b: Column) -> Column:
     return containment_of(text.words(a), text.words(b))
 

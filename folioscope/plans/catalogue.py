@@ -304,18 +304,18 @@ WITH d AS (SELECT doc_id AS id, {_words("text")} AS w FROM documents WHERE text
 def _linked(spark, sf_dir, share: float, ratio: float | None = None) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("words"))
     b = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("match"), text.words(F.col("text")).alias("words"))
-    return linkage.word_pairs(d, b, share, ratio)
+    return linkage.word_links(d, b, share, ratio)
 
 
 @query(_LINK + f"SELECT id, match, {_round6(_dice('d.w', 'b.w'))} AS dice FROM d, b WHERE {_dice('d.w', 'b.w')} >= 0.5")
 def dice_linkage(spark, sf_dir):
-    p = _linked(spark, sf_dir, 1 / 3, 3.0).withColumn("dice", similarity.dice_of(F.col("words"), F.col("words_b")))
+    p = _linked(spark, sf_dir, 1 / 3, 3.0).withColumn("dice", similarity.dice_from(F.col("shared"), F.col("na"), F.col("nb")))
     return p.where("dice >= 0.5").select("id", "match", similarity.round6(F.col("dice")).alias("dice"))
 
 
 @query(_LINK + f"SELECT id, match, {_round6(_contained('b.w', 'd.w'))} AS share FROM d, b WHERE {_contained('b.w', 'd.w')} >= 0.85")
 def containment_linkage(spark, sf_dir):
-    p = _linked(spark, sf_dir, 0.85).withColumn("share", similarity.containment_of(F.col("words_b"), F.col("words")))
+    p = _linked(spark, sf_dir, 0.85).withColumn("share", similarity.containment_from(F.col("shared"), F.col("nb"), F.col("na")))
     return p.where("share >= 0.85").select("id", "match", similarity.round6(F.col("share")).alias("share"))
 
 

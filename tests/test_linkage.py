@@ -1,7 +1,7 @@
 import random
 
 from folioscope.functions import similarity
-from folioscope.operators import dedup, linkage
+from folioscope.operators import dedup, linkage, rank
 
 F = similarity.F
 
@@ -56,3 +56,40 @@ def test_names_of_nine_digits_meet_few_others(spark):
     want = sorted((x, y) for x in a for y in b if alike(x, y))
     assert sorted(tuple(r) for r in linkage.similar_names(*names).collect()) == want and len(want) > 300
     assert linkage._long_names(*names).count() == 0 and sorted(tuple(r) for r in linkage._short_names(*names).collect()) == want
+
+
+def _worded(spark):
+    random.seed(7)
+    of = lambda most: random.sample([f"w{i}" for i in range(40)], random.randrange(most))
+    a = [(i, of(30), random.choice(["x", None])) for i in range(700)] + [(700, None, "x"), (701, [], "x")]
+    b = [(i, of(9)) for i in range(12)] + [(12, []), (13, ["w1", "w2", "w3"])]
+    return a, b, spark.createDataFrame(a, "id long, words array<string>, lang string"), spark.createDataFrame(b, "match long, words array<string>")
+
+
+def test_shared_words_by_counting_and_by_join(spark, monkeypatch):
+    a, b, da, db = _worded(spark)
+    want = {(i, x, m, len(w), len(v), len({*w} & {*v})) for i, w, x in a if w for m, v in b if {*w} & {*v}}
+    out = linkage.shared_words(da, db)
+    got = [tuple(r) for r in out.select("id", "lang", "match", "na", "nb", "shared").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # a row for each pair is not shuffled
+    monkeypatch.setattr(linkage, "SENT", -1)
+    assert {tuple(r) for r in linkage.shared_words(da, db).select("id", "lang", "match", "na", "nb", "shared").collect()} == want
+
+
+def test_links_by_counting_and_by_join(spark, monkeypatch):
+    a, b, da, db = _worded(spark)
+    want = {(i, m) for i, w, _ in a if w for m, v in b if len(v) >= 3 and len({*w} & {*v}) >= 0.6 * len(v)}
+    for sent in (linkage.SENT, -1):
+        monkeypatch.setattr(linkage, "SENT", sent)
+        out = linkage.word_links(da, db, 0.6).where(similarity.containment_from(F.col("shared"), F.col("nb"), F.col("na")) >= 0.6)
+        assert {(r.id, r.match) for r in out.collect()} == want and want
+
+
+def test_pairs_left_out_change_no_choice(spark):
+    _, _, da, db = _worded(spark)
+    scored = lambda keep: linkage.shared_words(da, db, keep).select("id", "match", F.col("na").alias("work"), "lang", F.col("id").cast("string").alias("name"), rank.confidence_of(F.col("shared"), F.col("nb"), F.col("na")).alias("confidence"))
+    same = lambda f, keep: sorted(map(tuple, f(scored(keep)).collect())) == sorted(map(tuple, f(scored(None)).collect()))
+    assert same(lambda c: rank.choose(c, "match", "work"), rank.best(2)) and same(lambda c: rank.top(c, "match", 10, "confidence desc, id").select("match", "id", "rank"), rank.best(10))
+    assert same(lambda c: rank.fill_winner(c.withColumn("lang", F.coalesce("lang", F.lit(""))), "match", "work", ["lang", "name"]), rank.near_best)
+    assert scored(rank.best(2)).count() < scored(None).count()
