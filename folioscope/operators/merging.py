@@ -73,13 +73,15 @@ def split_off(records: DataFrame, parts: DataFrame, key: str, extras: str, title
     A new record has the next free number, the part's label (or the name of its file) as title, what ``made`` says of its old
     record, and the file; the rest is null. Parts that no record has are left out; a part asked for twice is taken once.
     """
-    each = records.select("*", F.explode(extras).alias("__x"))
-    taken = stored(each.join(parts.select(F.col(key), F.col("file").alias("__f")).distinct(), key).where(F.col("__x.file") == F.col("__f")), "taken")
+    asked = parts.select(F.col(key), F.col("file").alias("__f")).groupBy(key).agg(F.collect_set("__f").alias("__asked"))
+    both = stored(records.join(asked, key, "left"), "records")  # the one time that parts are moved to their records
+    gone = lambda x: F.coalesce(F.array_contains("__asked", x["file"]), F.lit(False))
+    about = {n: c.alias(f"__m{i}") for i, (n, c) in enumerate(made.items())}
+    taken = both.where("__asked is not null").select(F.col(key).alias("__old"), *about.values(), F.explode(F.filter(extras, gone)).alias("__x"))
     label = F.coalesce(F.nullif(F.trim("__x.label"), F.lit("")), F.regexp_extract("__x.file", r"([^/]+)$", 1))
-    new = taken.select(F.col(key).alias("__old"), label.alias(title), F.col("__f").alias("file"), *[c.alias(n) for n, c in made.items()]).dropDuplicates(["__old", "file"])
-    last = records.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).scalar()
+    new = taken.select("__old", label.alias(title), "__x.file", *[F.col(f"__m{i}").alias(n) for i, n in enumerate(made)]).dropDuplicates(["__old", "file"])
+    last = both.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).scalar()
     new = running_total(new.withColumn("__at", F.struct("__old", "file")), F.col("__at").asc(), F.lit(1))
     new = new.select((last + F.col("before") + 1).alias(key), title, "file", *made)
-    gone = taken.groupBy(key).agg(F.collect_set("__f").alias("__gone"))
-    kept = records.join(gone, key, "left").withColumn(extras, F.when(F.col("__gone").isNull(), F.col(extras)).otherwise(F.filter(extras, lambda x: ~F.array_contains("__gone", x["file"]))))
+    kept = both.withColumn(extras, F.when(F.col("__asked").isNull(), F.col(extras)).otherwise(F.filter(extras, lambda x: ~gone(x))))
     return kept.select(*records.columns), new

@@ -65,3 +65,14 @@ def test_balances_of_minus_zero_and_missing_ones_are_groups_as_in_sql(spark, tmp
     con.sql("SELECT CAST(i AS BIGINT) AS o_orderkey, CAST(i % 9 AS BIGINT) AS o_custkey FROM range(20) AS t(i)").write_parquet(f"{tmp_path}/orders.parquet")
     for f in (queries.records_merged, queries.references_rewritten):
         compared(spark, tmp_path, f.__name__, f, ORACLE_SQL[f.__name__])
+
+
+def test_splitting_moves_records_once(spark):
+    """Records and their parts are met once; an unnamed file stays where it is."""
+    rows = [(1, "a", [("x/f.pdf", " L "), ("x/f.pdf", " L "), (None, "n"), ("g", "")]), (2, "b", [("g", "")]), (3, "c", None)]
+    recs = spark.createDataFrame(rows, "k long, w string, extras array<struct<file: string, label: string>>")
+    parts = spark.createDataFrame([(1, "x/f.pdf"), (1, "x/f.pdf"), (2, "h"), (9, "g"), (3, "g"), (None, "g")], "k long, file string")
+    kept, new = merging.split_off(recs, parts, "k", "extras", "title", {"w": F.col("w")})
+    assert {r.k: r.extras and [x.file for x in r.extras] for r in kept.collect()} == {1: [None, "g"], 2: ["g"], 3: None}
+    assert [tuple(r) for r in new.select("k", "title", "file", "w").collect()] == [(4, "L", "x/f.pdf", "a")]
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
