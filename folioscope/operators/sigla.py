@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
+from folioscope.operators.components import stored
 from folioscope.operators.linkage import cascade
 
 SHAPE = r"^([A-Z]{1,3})-([A-Z][A-Za-z]*)$"
@@ -31,7 +32,8 @@ def libraries(asked: DataFrame, known: DataFrame) -> DataFrame:
     Abbreviations are met by country, first two letters and third letter: a full siglum stands under each letter it goes on with, so
     no country is compared with itself. Nulls meet nothing; repeated rows count once.
     """
-    a, k = asked.select("id", F.trim("name").alias("name")).distinct(), known.where("siglum is not null").distinct()
+    a = stored(asked.select("id", F.trim("name").alias("name")).distinct(), "asked")
+    k = stored(known.where("siglum is not null").distinct(), "known")
     exact = a.join(k.select("siglum").distinct(), F.col("name") == F.col("siglum")).select("id", "siglum")
     short = a.where(F.col("name").rlike(SHAPE)).select("id", "name", *[c.alias(f"s_{n}") for n, c in _parts(F.col("name")).items()])
     full = k.where(F.col("siglum").rlike(SHAPE)).select("siglum", *[c.alias(n) for n, c in _parts(F.col("siglum")).items()]).distinct()

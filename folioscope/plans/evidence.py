@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import evidence, identifiers, names, pages, rules, text, wiki
 from folioscope.operators import clusters, edit, grouping, keywords, rank, registry, sigla
+from folioscope.operators.components import stored
 from folioscope.plans import workflows
 from folioscope.plans.catalogue import _norm, _words, query, spread, table
 from folioscope.sources import exports, records
@@ -377,8 +378,9 @@ SELECT name, CASE WHEN exact THEN name ELSE siglum END AS siglum, CAST(CASE WHEN
 def library_sigla(spark, sf_dir):
     """Words of each language as libraries of a country; asked for with every other letter after the second left out."""
     d = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
-    w = d.select(F.upper(F.substring("lang", 1, 1)).alias("country"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("word")).distinct()
-    k = w.where(F.length("word").between(4, 7)).withColumn("head", F.concat("country", F.lit("-"), F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1)))
+    w = d.select(F.upper(F.substring("lang", 1, 1)).alias("country"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("word"))
+    w = stored(w.where(F.length("word").between(4, 7)).distinct(), "words")  # texts are read once, for all that is asked and known
+    k = w.withColumn("head", F.concat("country", F.lit("-"), F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1)))
     rest = F.substring("word", 3, 10)
     known = k.select(F.concat("head", rest).alias("siglum"), F.lit(None).cast("string").alias("city"))
     asked = k.select(F.concat("head", F.regexp_replace(rest, "(.)(.?)", "$1")).alias("name")).distinct()

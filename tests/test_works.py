@@ -54,3 +54,9 @@ def test_the_file_name_that_tells_more(spark):
 def test_rows_of_one_file_are_dealt_over_tasks(spark, sf, name):
     out = catalogue.QUERIES[name](spark, sf)
     assert out.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["library_sigla", "key_duplicates_compat"])
+def test_texts_are_read_once(spark, sf, name):
+    """What is worked out of the texts is stored; all joins start from there."""
+    assert "documents.parquet" not in catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
