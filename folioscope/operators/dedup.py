@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import similarity, text
+from folioscope.operators.components import stored
 from folioscope.operators.prefilter import probably_in
 
 
@@ -48,9 +49,10 @@ def title_duplicates(records: DataFrame) -> DataFrame:
     """
     end = F.regexp_extract(text.normalise(F.col("title")), r"(?:^| )" + similarity.PART, 1)
     t = records.select("id", text.compact_title(F.col("title")).alias("ct"), end.alias("end")).where(F.length("ct") >= 8)
+    t = stored(t, "titles")  # read five times, and its rules cost more than its rows
     same = t.groupBy("ct").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     second = t.join(same, "ct").where("id > low").groupBy("ct").agg(F.min("low").alias("low"), F.min("id").alias("next"))
-    nodes = t.where(F.length("ct") >= 30).groupBy("ct", "end").agg(F.min("id").alias("first"))
+    nodes = stored(t.where(F.length("ct") >= 30).groupBy("ct", "end").agg(F.min("id").alias("first")), "nodes")
     n = F.length("ct")
     begins = nodes.where(n > 30).select("ct", "end", "first", F.explode(F.sequence(F.lit(30), n - 1)).alias("n"))
     begins = begins.select("ct", "end", "first", F.expr("substr(ct, 1, n)").alias("begin"), F.expr("substr(ct, n + 1)").alias("rest")).where(~F.col("rest").rlike("^" + similarity.PART))
