@@ -1,34 +1,83 @@
 """An inverted index that is kept up in segments, and ranked search over its postings.
 
-Each batch of changed records becomes a segment: postings, one narrow row for each record (with its version, so that a
-later one or a deletion outdates what older segments hold), and changes of document frequencies and of the corpus'
-figures. Nothing older is rewritten; when ``FAN`` segments of about one size have gathered, they are merged into one and
-outdated rows go. A manifest row, appended last, makes a change visible, so a batch that failed or is run again does no harm.
+Each batch of changed records becomes a segment: postings, and changes of document frequencies and of the corpus' figures.
+A record is a posting of the empty word, with its version, so that a later one or a deletion outdates what older segments
+hold. Texts are shuffled once, by the part of their key; their postings are made where they are read and are not shuffled:
+a part's file is sorted by token, so a search reads few pages of it. Nothing older is rewritten; when ``FAN`` segments of
+about one size have gathered, they are merged into one and outdated rows go. A manifest row, appended last, makes a change
+visible, so a batch that failed or is run again does no harm.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.functions.similarity import round6
 from folioscope.operators.components import stored
+from folioscope.operators.prefilter import marked, probably_in
 from folioscope.operators.search import LIMIT, MOST, Term
+from folioscope.operators.ship import ship
 
-#: Segments of one size that are merged, the factor between sizes, and parts by key in which records lie, so that a batch reads only the parts of its keys.
+#: Segments of one size that are merged, the factor between sizes, and parts by key, so that a batch reads only the parts of its keys.
 FAN, TIER, PARTS = 4, 4, 64
+#: Outdated records that are sent to the postings; where there are more, the postings that may be theirs are shuffled.
+SENT = 1 << 20
 MANIFEST = "sequence long, version long, segments array<struct<name: string, rows: long>>"
-POSTINGS = "token string, field string, key long, version long, positions array<int>"
-RECORDS = "key long, version long, deleted boolean, len long, terms array<struct<field: string, token: string>>, part int"
+#: The empty word of a record stands at its length; that of a deletion nowhere.
+POSTINGS = "token string, field string, key long, version long, positions array<int>, part int"
+HELD = "token string, field string, key long, version long, part int"
 FREQUENCIES = "token string, field string, n long"
 FIGURES = "n long, len long"
 
 
-def _terms(field: str) -> Column:
-    return F.transform(F.array_distinct(field), lambda t: F.struct(F.lit(field).alias("field"), t.alias("token")))
+def _postings(fields: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows ``key, version, deleted, part`` and normalised ``f0, f1 ...``: ``POSTINGS``, with the places of a word from 0. Each batch comes sorted, so that a sort has only to merge."""
+    named = pa.array(["", *fields], pa.string())
+    rank = np.argsort(np.argsort(named.to_pylist()))  # 0 for the record itself
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, at, of, found, size = b.num_rows, [], [], [], np.zeros(b.num_rows, np.int64)
+            for i in range(len(fields)):
+                split = pc.split_pattern(b.column(f"f{i}").cast(pa.string()), " ")
+                words, row = split.flatten(), pc.list_parent_indices(split).to_numpy().astype(np.int64)
+                place = np.arange(len(row), dtype=np.int64) - np.searchsorted(row, row)
+                there = pc.not_equal(words, "")  # an empty text is one empty word
+                keep = there.to_numpy(zero_copy_only=False)
+                at.append(place[keep])
+                of.append(row[keep] * len(named) + rank[i + 1])
+                found.append(words.filter(there))
+                size += np.bincount(row[keep], minlength=n)
+            live = np.flatnonzero(~b.column("deleted").to_numpy(zero_copy_only=False))
+            gone = np.flatnonzero(b.column("deleted").to_numpy(zero_copy_only=False))
+            own = np.concatenate([live, gone])
+            at, of = np.concatenate([*at, size[live], np.full(len(gone), -1)]), np.concatenate([*of, own * len(named)])
+            coded = pa.concat_arrays([*found, pa.array([""] * n, pa.string())]).dictionary_encode()
+            alphabet = pc.sort_indices(coded.dictionary).to_numpy()
+            word = np.empty(len(alphabet), np.int64)
+            word[alphabet] = np.arange(len(alphabet))
+            code, row = word[coded.indices.to_numpy()], of // len(named)
+            part = b.column("part").to_numpy().astype(np.int64)
+            group = ((part[row] * len(alphabet) + code) * len(named) + of % len(named)) * n + row
+            order = np.argsort(group, kind="stable")  # places stay in order
+            group, at = group[order], at[order]
+            begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
+            first = order[begins]
+            ends = np.concatenate([[0], np.cumsum(at >= 0)])[np.append(begins, len(group))]
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[at >= 0], pa.int32()))
+            rows = pa.array(row[first])
+            out = {"token": coded.dictionary.take(pa.array(alphabet[code[first]])), "field": named.take(pa.array(np.argsort(rank)[of[first] % len(named)])), "key": b.column("key").take(rows), "version": b.column("version").take(rows), "positions": places, "part": b.column("part").take(rows)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return run
 
 
 class Index:
@@ -55,13 +104,18 @@ class Index:
         df = self.spark.read.schema(schema).option("basePath", f"{self.path}/{what}").parquet(*[f"{self.path}/{what}/segment={n}" for n in names])
         return df.drop("segment")
 
-    def _write(self, name: str, records: DataFrame, postings: DataFrame, frequencies: DataFrame, figures: DataFrame) -> None:
-        out = lambda df, what, *by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{what}/segment={name}")
-        out(records.repartition("part"), "records", "part")
-        # a token that half of all records hold lies in several files
-        out(postings.repartitionByRange("token", "field", "key").sortWithinPartitions("token", "field", "key"), "postings")
-        out(frequencies.repartitionByRange("token").sortWithinPartitions("token"), "frequencies")
-        out(figures.coalesce(1), "figures")
+    def _records(self, names: list[str]) -> DataFrame:
+        """``key, version, deleted, len, part`` of all that the segments hold, outdated ones too."""
+        rows = self._read("parts", POSTINGS, names).where(F.col("token") == "")
+        return rows.select("key", "version", (F.size("positions") == 0).alias("deleted"), F.coalesce(F.get("positions", F.lit(0)), F.lit(0)).cast("long").alias("len"), "part")
+
+    def _write(self, name: str, postings: DataFrame) -> None:
+        """A segment's postings, dealt by part already."""
+        postings.sortWithinPartitions("part", "token", "field", "key").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/parts/segment={name}")
+
+    def _write_figures(self, name: str, frequencies: DataFrame, figures: DataFrame) -> None:
+        frequencies.write.mode("overwrite").parquet(f"{self.path}/frequencies/segment={name}")
+        figures.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/figures/segment={name}")
 
     # changes -------------------------------------------------------------------------------------------------------------
 
@@ -75,33 +129,38 @@ class Index:
         version = last + 1 if version is None else version
         if version <= last:
             return
+        ship(self.spark)
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         values = F.struct(gone.alias("deleted"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in self.columns])
         order = F.struct(F.col(updated).alias("at"), values.alias("v")) if updated else F.struct(values.alias("v"))
-        newest = changes.where(F.col(self.key).isNotNull()).groupBy(F.col(self.key).cast("long").alias("key")).agg(F.max(F.struct(order.alias("o")))["o"]["v"].alias("v"))
-        part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int").alias("part")
-        tokens = stored(newest.select("key", part, "v.deleted", *[F.when(F.col("v.deleted"), F.array()).otherwise(text.tokens(F.col(f"v.{c}"))).alias(c) for c in self.columns]), "changes")
+        rows = changes.where(F.col(self.key).isNotNull()).select(F.col(self.key).cast("long").alias("key"), order.alias("o"))
+        # the one shuffle of texts: the newest row of a key is found, and its postings are made, where the part is
+        part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")
+        newest = rows.withColumn("part", part).repartition("part").groupBy("part", "key").agg(F.max("o")["v"].alias("v"))
+        plain = [F.when(F.col("v.deleted"), "").otherwise(text.normalise(F.col(f"v.{c}"))).alias(f"f{i}") for i, c in enumerate(self.columns)]
         name = f"s{version}"
-        terms = F.flatten(F.array(*[_terms(c) for c in self.columns]))
-        size = sum((F.size(c) for c in self.columns), F.lit(0)).cast("long")
-        records = tokens.select("key", F.lit(version).cast("long").alias("version"), "deleted", size.alias("len"), terms.alias("terms"), "part")
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("tokens")) for c in self.columns]))
-        spread = tokens.select("key", each.alias("x")).select("key", "x.field", F.posexplode("x.tokens").alias("at", "token"))
-        postings = spread.groupBy("token", "field", "key").agg(F.sort_array(F.collect_list("at")).alias("positions")).withColumn("version", F.lit(version).cast("long")).select("token", "field", "key", "version", "positions")
-        old = self._outdated(tokens, [n for n, _ in segments])
-        both = records.where("not deleted").select("len", "terms", F.lit(1).alias("by")).unionByName(old.select("len", "terms", F.lit(-1).alias("by")))
-        frequencies = both.select("by", F.explode("terms").alias("t")).groupBy("t.token", "t.field").agg(F.sum("by").alias("n")).where("n <> 0")
+        self._write(name, newest.select("key", F.lit(version).cast("long").alias("version"), "v.deleted", "part", *plain).mapInArrow(_postings(self.columns), POSTINGS))
+        added = self._records([name])
+        old, terms = self._outdated(added, [n for n, _ in segments])
+        held = self._read("parts", HELD, [name]).where("token <> ''").select("token", "field", F.lit(1).alias("by")).unionByName(terms.withColumn("by", F.lit(-1)))
+        frequencies = held.groupBy("token", "field").agg(F.sum("by").alias("n")).where("n <> 0")
+        both = added.where("not deleted").select("len", F.lit(1).alias("by")).unionByName(old.select("len", F.lit(-1).alias("by")))
         figures = both.agg(F.coalesce(F.sum("by"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("by") * F.col("len")), F.lit(0)).alias("len"))
-        self._write(name, records, postings, frequencies, figures)
-        self._commit(sequence + 1, version, [*segments, (name, tokens.count())])
+        self._write_figures(name, frequencies, figures)
+        self._commit(sequence + 1, version, [*segments, (name, added.count())])
         self._merge()
 
-    def _outdated(self, changes: DataFrame, names: list[str]) -> DataFrame:
-        """The records that a batch replaces, from the parts in which its keys lie."""
+    def _outdated(self, changes: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        """``key, version, len`` of the records that a batch replaces, and ``token, field`` of each of their terms, from the parts in which its keys lie."""
         parts = [r.part for r in changes.select("part").distinct().collect()]  # PARTS at most
-        there = self._read("records", RECORDS, names).where(F.col("part").isin(*parts)) if parts else self._read("records", RECORDS, [])
-        latest = there.join(changes.select("key"), "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("deleted", "len", "terms"), "version").alias("x")).select("x.*")
-        return stored(latest.where("not deleted"), "outdated")
+        there = self._records(names if parts else []).where(F.col("part").isin(*parts) if parts else F.lit(False))
+        latest = there.join(changes.select("key"), "key", "left_semi").groupBy("key").agg(F.max(F.struct("version", "deleted", "len")).alias("x")).where("not x.deleted")
+        old = stored(latest.select("key", "x.version", "x.len"), "outdated")
+        n = old.count()
+        held = self._read("parts", HELD, names if n else []).where("token <> ''").where(F.col("part").isin(*parts) if parts else F.lit(False))
+        ids = old.select("key", "version")
+        theirs = held.join(F.broadcast(ids), ["key", "version"], "left_semi") if n <= SENT else probably_in(held, F.col("key"), old, F.col("key")).join(ids, ["key", "version"], "left_semi")
+        return old, theirs.select("token", "field")
 
     def _merge(self) -> None:
         """Merges the segments of a size, while there are FAN of them; each merge leaves one."""
@@ -114,16 +173,19 @@ class Index:
             if full is None:
                 return
             names, name = [n for n, _ in full], f"m{sequence + 1}"
-            newest = self._read("records", RECORDS, [n for n, _ in segments]).groupBy("key").agg(F.max("version").alias("version"))
-            kept = self._read("records", RECORDS, names).join(newest, ["key", "version"], "left_semi")
+            newest = self._records([n for n, _ in segments]).groupBy("key").agg(F.max("version").alias("version"))
+            own = self._records(names)
+            out = own.join(newest, ["key", "version"], "left_anti").select("key", "version")
             if len(full) == len(segments):
-                kept = kept.where("not deleted")  # nothing older is left that a deletion would have to hide
-            kept = stored(kept, "kept")
-            postings = self._read("postings", POSTINGS, names).join(kept.where("not deleted").select("key", "version"), ["key", "version"], "left_semi").select("token", "field", "key", "version", "positions")
+                out = out.unionByName(own.where("deleted").select("key", "version")).distinct()  # nothing older is left that a deletion would have to hide
+            out = stored(out, "outdated")
+            rows = marked(self._read("parts", POSTINGS, names), F.col("key"), out, F.col("key"), "__old")
+            kept = rows.where("not __old").unionByName(rows.where("__old").join(out, ["key", "version"], "left_anti")).drop("__old")
             frequencies = self._read("frequencies", FREQUENCIES, names).groupBy("token", "field").agg(F.sum("n").alias("n")).where("n <> 0")
             figures = self._read("figures", FIGURES, names).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
-            self._write(name, kept, postings, frequencies, figures)
-            self._commit(sequence + 1, version, [*(s for s in segments if s not in full), (name, kept.count())])
+            self._write(name, kept.repartition("part"))
+            self._write_figures(name, frequencies, figures)
+            self._commit(sequence + 1, version, [*(s for s in segments if s not in full), (name, self._records([name]).count())])
 
     # search --------------------------------------------------------------------------------------------------------------
 
@@ -135,13 +197,13 @@ class Index:
     def records(self) -> DataFrame:
         """``key, version, len`` of the live records."""
         _, _, segments = self._manifest()
-        rows = self._read("records", RECORDS, [n for n, _ in segments]).select("key", "version", "deleted", "len")
+        rows = self._records([n for n, _ in segments])
         return rows.groupBy("key").agg(F.max(F.struct("version", "deleted", "len")).alias("x")).where("not x.deleted").select("key", "x.version", "x.len")
 
     def _hits(self, names: list[str], term: Term, weights: dict[str, float]) -> DataFrame:
         """``key, version, f``: weighed hits of a term, from the postings of its words alone."""
         fields = [c for c in weights if term.column in (None, c)]
-        postings = self._read("postings", POSTINGS, names).where(F.col("field").isin(*fields))
+        postings = self._read("parts", POSTINGS, names).where(F.col("field").isin(*fields))
         last = len(term.words) - 1
         found = None
         for i, w in enumerate(term.words):

@@ -61,3 +61,19 @@ def test_stream_of_changes(spark, tmp_path):
         run.stop()
     assert [r.id for r in index.ranked({"title": 1.0}, search.compile_query("alpha")).collect()] == [3]
     assert {(r.token, r.n) for r in index.frequencies().collect()} == {("alpha", 1), ("gamma", 1)}
+
+
+def test_postings_are_made_where_texts_are_read(spark, tmp_path):
+    """One file for each part, sorted by token; a record without words, and a deletion, are postings of the empty word; nothing else is kept of a record."""
+    index = inverted.Index(spark, f"file://{tmp_path}/index", "id", ["title", "body"])
+    rows = [(i, "beta alpha beta", f"Zeta {i}", 1, False) for i in range(200)] + [(200, "?!", None, 1, False), (201, "alpha", "x", 1, True)]
+    index.add(spark.createDataFrame(rows, SCHEMA), deleted="gone")
+    parts = sorted((tmp_path / "index" / "parts" / "segment=s1").glob("part=*"))
+    assert len(parts) > 50 and all(len(list(p.glob("*.parquet"))) == 1 for p in parts)
+    for p in parts[:3]:
+        found = [(r.token, r.field, r.key) for r in spark.read.schema("token string, field string, key long").parquet(f"file://{p}").coalesce(1).collect()]
+        assert found == sorted(found)
+    assert not (tmp_path / "index" / "records").exists()
+    got = {(r.token, r.field): r.positions for r in spark.read.parquet(f"file://{tmp_path}/index/parts/segment=s1").where("key = 7").collect()}
+    assert got == {("", ""): [5], ("alpha", "title"): [1], ("beta", "title"): [0, 2], ("zeta", "body"): [0], ("7", "body"): [1]}
+    assert sorted((r.key, r.deleted, r.len) for r in index._records(["s1"]).where("key > 198").collect()) == [(199, False, 5), (200, False, 0), (201, True, 0)]
