@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from folioscope.operators.ship import ship
 
 # A few of the commonest function words of each language (folded).
 STOP_WORDS = {
@@ -46,16 +52,6 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _runs(ordered: Column) -> Column:
-    """array of struct(value, n): each distinct element of a sorted array and how often it is there."""
-
-    def counted(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return F.when(F.size(s) > 0, _let(begins, lambda b: F.transform(b, lambda at, j: F.struct(F.get(s, at).alias("value"), (F.coalesce(F.get(b, j + 1), F.size(s)) - at).alias("n")))))
-
-    return _let(ordered, counted)
-
-
 def body_of(c: Column) -> Column:
     """A text up to its list of references, if that comes after 5,000 characters; of more than 30,000, without the first 8 % (cover and thanks)."""
     at = F.length(F.get(F.split(c, _HEADING, 2), F.lit(0)))
@@ -71,6 +67,38 @@ def spoken(c: Column) -> Column:
     return F.filter(F.transform(found, lambda w: F.when(marked(w), plain(w)).otherwise(w)), lambda w: w != "")
 
 
+def _chosen(said: list[str], words: list[str], title: set[str], dull: set[str], most: int) -> tuple[list[tuple[int, str]], set[str]]:
+    """The keywords of one text by ``(minus tenths, phrase)``, best first, and its names; ``words`` are those it said in lower case."""
+    uses = Counter(words)
+    capital = Counter(w for o, w in zip(said, words, strict=True) if unicodedata.category(o[0]) == "Lu")
+    names = {w for w, n in capital.items() if n >= 3 and 100 * n > 85 * uses[w]}
+    # a keyword is used twice or more, so all its words are
+    subject = {w for w, n in uses.items() if n > 1 and len(w) >= 3 and w not in dull and (w not in names or w in title)}
+    good = [w in subject for w in words]
+    grams = Counter({w: n for w, n in uses.items() if w in subject})
+    n = len(words)
+    grams.update(f"{words[i]} {words[i + 1]}" for i in range(n - 1) if good[i] and good[i + 1])
+    grams.update(f"{words[i]} {words[i + 1]} {words[i + 2]}" for i in range(n - 2) if good[i] and good[i + 2] and (good[i + 1] or words[i + 1] in INNER))
+    valued, holder = [], {}
+    for p, k in grams.items():
+        if k > 1 and k * TENTHS[size := p.count(" ") + 1] >= NEEDED[size]:
+            valued.append((-k * TENTHS[size] * (1 if title.isdisjoint(p.split(" ")) else 2), p))
+    valued.sort()
+    for v in valued:
+        if " " in v[1]:
+            for w in v[1].split(" "):
+                holder.setdefault(w, v)  # the best comes first: where it has too few points, so have the others
+    taken: list[tuple[int, str]] = []
+    for x in valued:
+        if len(taken) >= most:
+            break
+        h = holder.get(x[1])
+        k = h if h and 10 * h[0] <= 4 * x[0] else x
+        if not any(k[1] in e[1] or e[1] in k[1] for e in taken):
+            taken.append(k)
+    return taken, names
+
+
 def computed(docs: DataFrame, title: Column, body: Column, key: str, most: int = 6, stop: list[str] | None = None, generic: list[str] | None = None) -> DataFrame:
     """``key, phrase, value, rank``: up to ``most`` keywords of each text of 80 words or more, best first.
 
@@ -78,54 +106,39 @@ def computed(docs: DataFrame, title: Column, body: Column, key: str, most: int =
     of them (inside one of three a particle may stand). A use is worth 1, 1.6 or 1.9 points by number of words; 3 are needed,
     3.2 by phrases; those with a word of the title count twice. Names (three uses and more, over 85 % with a capital)
     count only if the title has them. A word gives way to the best phrase that holds it and has 40 % of its points; what holds,
-    or is held by, one that was taken is passed over. Ties go by the alphabet. Counts are made inside the row: nothing is shuffled.
-    Null and short texts give no rows; columns other than the key, title and body are not read.
+    or is held by, one that was taken is passed over. Ties go by the alphabet. Words are found by Spark and counted, text by text,
+    in Arrow batches; nothing is shuffled. Null and short texts give no rows; columns other than the key, title and body are not read.
     """
-    out = sorted({w for s in STOP_WORDS.values() for w in s} if stop is None else set(stop)) + sorted(set(GENERIC if generic is None else generic))
-    dull = lambda w: (F.length(w) < 3) | w.isin(*out)
-    space = lambda p: F.size(F.split(p, " "))
-    by_words = lambda p, values: F.when(space(p) == 1, values[1]).when(space(p) == 2, values[2]).otherwise(values[3])
-
-    def names(o: Column) -> Column:
-        uses = _runs(F.sort_array(F.transform(o, lambda x: F.struct(F.lower(x).alias("w"), x.rlike(r"^\p{Lu}").alias("capital")))))
-
-        def among(r: Column) -> Column:
-            small = lambda x, i: F.when(F.get(r, i - 1)["value"]["w"] == x["value"]["w"], F.get(r, i - 1)["n"]).otherwise(0)
-            return F.transform(F.filter(r, lambda x, i: x["value"]["capital"] & (x["n"] >= 3) & (100 * x["n"] > 85 * (x["n"] + small(x, i)))), lambda x: x["value"]["w"])
-
-        return _let(uses, among)
-
-    def phrases(w: Column, good: Column) -> Column:
-        def at(i: Column) -> Column:
-            a, b, c = (F.get(w, i + j) for j in range(3))
-            two = F.when(F.get(good, i + 1), F.concat_ws(" ", a, b))
-            three = F.when(F.get(good, i + 2) & (F.get(good, i + 1) | b.isin(*INNER)), F.concat_ws(" ", a, b, c))
-            return F.when(F.get(good, i), F.filter(F.array(a, two, three), lambda p: p.isNotNull())).otherwise(F.array().cast("array<string>"))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), at))
-
-    def valued(grams: Column, in_title: Column) -> Column:
-        enough = F.filter(_runs(F.sort_array(grams)), lambda r: (r["n"] > 1) & (r["n"] * by_words(r["value"], TENTHS) >= by_words(r["value"], NEEDED)))
-        twice = lambda p: F.when(F.arrays_overlap(F.split(p, " "), in_title), 2).otherwise(1)
-        return F.sort_array(F.transform(enough, lambda r: F.struct((-r["n"] * by_words(r["value"], TENTHS) * twice(r["value"])).alias("minus"), r["value"].alias("phrase"))))
-
-    def chosen(v: Column, compounds: Column) -> Column:
-        def take(taken: Column, x: Column) -> Column:
-            holds = F.filter(compounds, lambda f: F.array_contains(F.split(f["phrase"], " "), x["phrase"]) & (10 * f["minus"] <= 4 * x["minus"]))
-            better = F.when(space(x["phrase"]) == 1, F.coalesce(F.get(holds, F.lit(0)), x)).otherwise(x)
-            near = lambda e, k: F.contains(e["phrase"], k["phrase"]) | F.contains(k["phrase"], e["phrase"])
-            return F.when(F.size(taken) >= most, taken).otherwise(_let(better, lambda k: F.when(F.exists(taken, lambda e: near(e, k)), taken).otherwise(F.array_append(taken, k))))
-
-        return F.aggregate(v, F.array().cast("array<struct<minus:int,phrase:string>>"), take)
-
-    def of_words(o: Column, in_title: Column) -> Column:
-        return _let(F.transform(o, F.lower), lambda w: _let(names(o), lambda n: _let(F.transform(w, lambda x: ~(dull(x) | F.array_contains(n, x) & ~F.array_contains(in_title, x))), lambda good: _let(valued(phrases(w, good), in_title), lambda v: F.transform(_let(F.filter(v, lambda f: F.contains(f["phrase"], F.lit(" "))), lambda c: chosen(v, c)), lambda k: F.struct(k["minus"], k["phrase"], F.transform(F.split(k["phrase"], " "), lambda x: F.when(F.array_contains(n, x), F.initcap(x)).otherwise(x)).alias("shown")))))))
-
-    topic = F.filter(F.transform(spoken(F.coalesce(title, F.lit(""))), F.lower), lambda w: ~dull(w))
-    every = _let(spoken(body_of(body)), lambda o: F.when(F.size(o) >= FEWEST, _let(topic, lambda t: of_words(o, t))))
-    rows = docs.select(key, F.posexplode(every).alias("i", "x"))
-    shown = F.array_join("x.shown", " ")
-    return rows.select(key, F.concat(F.upper(F.substring(shown, 1, 1)), F.substring(shown, F.lit(2), F.length(shown))).alias("phrase"), (F.col("x.minus") / -10.0).alias("value"), (F.col("i") + 1).cast("long").alias("rank"))
+    ship(docs.sparkSession)
+    dull = {w for s in STOP_WORDS.values() for w in s} if stop is None else set(stop)
+    dull |= set(GENERIC if generic is None else generic)
+    heard = F.transform(spoken(F.coalesce(title, F.lit(""))), F.lower)
+    rows = docs.select(F.col(key).alias("key"), F.array_join(spoken(body_of(body)), "\n").alias("said"), heard.alias("title"))
+    rows = rows.withColumn("words", F.lower("said"))  # a line break ends a word here too
+    schema = T.StructType([rows.schema["key"], T.StructField("rank", T.LongType()), T.StructField("tenths", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("named", T.ArrayType(T.BooleanType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, rank, tenths, words, named = [], [], [], [], []
+            for i in range(b.num_rows):
+                said = (b.column("said")[i].as_py() or "").split("\n")
+                if len(said) < FEWEST:
+                    continue
+                topic = {w for w in b.column("title")[i].as_py() if len(w) >= 3 and w not in dull}
+                taken, names = _chosen(said, b.column("words")[i].as_py().split("\n"), topic, dull, most)
+                for j, (minus, phrase) in enumerate(taken, 1):
+                    row.append(i)
+                    rank.append(j)
+                    tenths.append(-minus)
+                    words.append(phrase.split(" "))
+                    named.append([w in names for w in words[-1]])
+            columns = [b.column("key").take(pa.array(row, pa.int64())), pa.array(rank, pa.int64()), pa.array(tenths, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(named, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    found = rows.mapInArrow(run, schema)
+    shown = F.array_join(F.zip_with("words", "named", lambda w, n: F.when(n, F.initcap(w)).otherwise(w)), " ")
+    phrase = F.concat(F.upper(F.substring(shown, 1, 1)), F.substring(shown, F.lit(2), F.length(shown)))
+    return found.select(F.col("key").alias(key), phrase.alias("phrase"), (F.col("tenths") / 10.0).alias("value"), "rank")
 
 
 def computed_sql(title: str, most: int = 6) -> str:

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from folioscope.operators import keywords
@@ -47,3 +49,12 @@ def test_lists_are_parameters_and_odd_rows(spark):
     assert found(spark, None, "lute the " * 4 + FILL, generic=["lute"], stop=[]) == [("The", 4.0)]
     for body in (None, "", "1 2 3 " * 100):
         assert found(spark, "x", body) == []
+
+
+def test_a_long_text_takes_time_by_its_words_alone(spark):
+    """Thousands of words and phrases that all hold the one taken; each word used to be held against each phrase."""
+    many = " ".join(f"lute{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(4000))
+    found(spark, None, "lute the " * 100)  # begins Python
+    began = time.time()
+    assert found(spark, None, f"{many} " * 4 + "the lute " * 100) == [("Lute", 100.0)]
+    assert time.time() - began < 8
