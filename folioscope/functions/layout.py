@@ -62,41 +62,98 @@ def alike(pattern: str) -> str:
     return "".join(out)
 
 
+#: Letters that are no signs of a music font, and a word of three of them at least that is not made of letters which such a font uses; found without taking the other words apart.
+_LETTER = rf"[A-Za-z[\p{{L}}&&[^{GLYPHS[1:-1]}]]]"
+_ALIKE = f"[{''.join(x for x in GLYPH_LETTERS if x.isalpha())}]"
+_SPOKEN = rf"(?<!{_LETTER})(?={_LETTER}{{3}}){_ALIKE}*+{_LETTER}"
+#: A word of three letters or more that is no name of a part and not made of letters which a music font uses; two words of three letters or more.
+_MEANING = rf"(?<!\p{{L}})(?=\p{{L}}{{3}})(?!(?i:{'|'.join(x for x in PARTS if x.isalpha())})(?!\p{{L}}))(?!{_ALIKE}++(?!\p{{L}}))"
+_TWO_WORDS = r"\p{L}{3}\p{L}*+\P{L}(?s:.*?)\p{L}{3}"
+#: A glyph, looked for only where a sign is not ASCII.
+_GLYPH = rf"(?=[^\x00-\x7F]){GLYPHS}"
+#: A text with the blanks before it: words that single blanks join.
+_RUN = rf"[{_BLANKS}]*[^{_BLANKS}]+(?:[ \n\f][^{_BLANKS}]+)*+"
+#: A small word that is no particle, and a word after it, before any bracket or figure that could begin what a bare name leaves out.
+_PROSE = rf"^[^(0-9]*?(?<![^ ])(?!(?:{NAME_PARTICLES[2:-2]}) )[a-z]+ \p{{L}}"
+
+
+def starting(signs: str, pattern: str) -> str:
+    """The pattern with a look at the one sign it starts with, so that a search passes over other places at once."""
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    return f"{flag}(?=[{signs}])(?:{pattern.removeprefix(flag)})"
+
+
+def beyond_ascii(c: Column) -> Column:
+    """Texts that may have glyphs, none of which is ASCII."""
+    return F.octet_length(c) > F.length(c)
+
+
 def staff_line(line: Column) -> Column:
     """A clef with a metre, and a note."""
-    return line.rlike(alike(STAFF)) & line.rlike(alike(NOTE))
+    return line.rlike(alike(STAFF.replace(rf"(?:^|\s){CLEF}", rf"{CLEF}(?<![^{_BLANKS}]{CLEF})"))) & line.rlike(alike(NOTE))
+
+
+def music_line(line: Column) -> Column:
+    """Three glyphs or more."""
+    return beyond_ascii(line) & (F.regexp_count(line, F.lit(_GLYPH)) >= 3)
 
 
 def runs(line: Column) -> Column:
     """array<struct<text, start, end>>: the texts of a line that two blanks or more, or a tab, keep apart, with their places."""
-    gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(line, F.lit(alike(f"({APART})")), F.lit(1)))
+    each = F.transform(F.regexp_extract_all(line, F.lit(_RUN), F.lit(0)), lambda x: F.struct(F.length(x).alias("long"), F.ltrim(x, F.lit("\t\n\f\r ")).alias("text")))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("runs"))
 
     def put(done: Column, x: Column) -> Column:
-        at, long = done["end"] + F.length(x["gap"]), F.length(x["text"])
-        start, text = at + long - F.length(F.ltrim(x["text"])), F.trim(x["text"])
-        return F.struct((at + long).alias("end"), F.when(text == "", done["runs"]).otherwise(F.concat(done["runs"], F.array(F.struct(text.alias("text"), start.alias("start"), (start + F.length(text)).alias("end"))))).alias("runs"))
+        end, text = done["end"] + x["long"], x["text"]
+        return F.struct(end.alias("end"), F.concat(done["runs"], F.array(F.struct(text.alias("text"), (end - F.length(text)).alias("start"), end.alias("end")))).alias("runs"))
 
-    return F.aggregate(F.zip_with(gaps, F.split(line, alike(APART), -1), lambda g, t: F.struct(g.alias("gap"), t.alias("text"))), none, put, lambda x: x["runs"])
+    return F.aggregate(each, none, put, lambda x: x["runs"])
 
 
 def legible(c: Column) -> Column:
     """Text and not music: few glyphs, and a word of three letters that is not made of letters a music font uses."""
-    glyphs = F.regexp_count(c, F.lit(GLYPHS))
-    words = F.regexp_extract_all(F.regexp_replace(c, GLYPHS, " "), F.lit(r"(\p{L}+)"), F.lit(1))
-    spoken = F.exists(words, lambda w: (F.length(w) >= 3) & ~w.rlike(alike(GLYPH_LETTERS)))
-    return spoken & ~((glyphs > 1) & (glyphs > 0.12 * F.length(c))) & ~c.rlike(alike("^[AB]{4,}$"))
+    glyphs = F.regexp_count(c, F.lit(_GLYPH))
+    return c.rlike(_SPOKEN) & ~(beyond_ascii(c) & (glyphs > 1) & (glyphs > 0.12 * F.length(c))) & ~((c.startswith("A") | c.startswith("B")) & c.rlike(alike("^[AB]{4,}$")))
+
+
+def without_glyphs(c: Column) -> Column:
+    """A run's text, in which single blanks stand between words, without words of glyphs."""
+    return F.when(beyond_ascii(c), F.trim(F.regexp_replace(c, alike(rf"(?:^|\s){_GLYPH}+(?=\s|$)"), ""))).otherwise(c)
+
+
+def sung(c: Column) -> Column:
+    """Syllables below music; all but the shortest have a hyphen."""
+    return (F.contains(c, F.lit("-")) | (F.length(c) <= 4)) & c.rlike(alike(SUNG))
+
+
+def web(c: Column) -> Column:
+    return c.rlike(alike(starting("©cwh.", WEB)))
+
+
+def source(c: Column) -> Column:
+    # all words that follow the word boundary begin with a letter
+    return c.rlike(alike(starting("fpclbun(", SOURCE.replace(r"\b(?:", f"(?<!{_WORD})(?:", 1))))
+
+
+def meaning(c: Column) -> Column:
+    """A word that says what the page is, not who plays it."""
+    return c.rlike(_MEANING)
+
+
+def two_words(c: Column) -> Column:
+    return c.rlike(_TWO_WORDS)
 
 
 def unbracketed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, alike(r"^[\[(]\s*|\s*[\])]$"), ""))
+    marked = c.startswith("[") | c.startswith("(") | c.endswith("]") | c.endswith(")")
+    return F.trim(F.when(marked, F.regexp_replace(c, alike(r"^[\[(]\s*|\s*[\])]$"), "")).otherwise(c))
 
 
 def part_label(c: Column) -> Column:
-    """One to four words, all of them names of parts or what numbers these, one at least a name."""
+    """One to four words, all of them names of parts or what numbers these, one at least a name; a bracket may stand alone before and behind."""
     words = F.split(F.lower(unbracketed(c)), alike(r"\s+"))
     named = lambda w: F.rtrim(w, F.lit(".")).isin(*[p.rstrip(".") for p in PARTS])
-    return (F.size(words) <= 4) & F.exists(words, named) & F.forall(words, lambda w: named(w) | w.rlike(alike(BESIDE_PARTS)))
+    return ~c.rlike(rf"^(?:[^{_BLANKS}]++[{_BLANKS}]++){{6}}[^{_BLANKS}]") & (F.size(words) <= 4) & F.exists(words, named) & F.forall(words, lambda w: named(w) | w.rlike(alike(BESIDE_PARTS)))
 
 
 def bare_name(c: Column) -> Column:
@@ -106,10 +163,6 @@ def bare_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, alike(r"(?i)^(?:mr|mrs|capt|sr|dr|don)\.\s+"), ""), alike(r"[\s,;:]+$"), ""))
 
 
-def _name_words(c: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(bare_name(c), alike(r"\.(\S)"), ". $1")), alike(r"\s+"))
-
-
 def _strong(w: Column) -> Column:
     x = F.regexp_replace(w, alike(r"[.,'’]+$"), "")
     return x.rlike(alike(r"^(?:\p{Lu}'|l')?\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}?[\p{Ll}'’]+)*$")) | x.rlike(alike(r"^\p{Lu}{2,}(?:-\p{Lu}{2,})*$"))
@@ -117,13 +170,16 @@ def _strong(w: Column) -> Column:
 
 def person(c: Column) -> Column:
     """Capitalised words, initials and particles only, none of them a word of music, and no dedication; or an anonymous."""
-    name, words = bare_name(c), _name_words(c)
     no = lambda w: F.lower(F.regexp_replace(w, alike("[.,]+$"), "")).isin(*NO_NAMES, *PARTS)
     short = lambda w: w.rlike(alike(r"^\p{Lu}\.?$")) | w.rlike(alike(r"^\p{Lu}\p{Ll}{0,3}\.$"))
     small = lambda w: F.lower(F.regexp_replace(w, alike("[.,]+$"), "")).rlike(alike(NAME_PARTICLES))
-    shape = F.forall(words, lambda w: ~no(w) & (small(w) | short(w) | _strong(w))) & F.exists(words, lambda w: ~small(w) & ~short(w) & _strong(w))
-    plain = ~name.rlike(alike(r"[\d{}=:;!?]")) & (F.length(name) <= 60) & ~name.rlike(alike(r"^(?:A|À|To|Para|Pour|Für|Al|Alla|Dedicated)\s"))
-    return (name != "") & (name.rlike(alike(ANONYMOUS)) | plain & (F.size(words) <= 6) & shape)
+    shape = lambda words: (F.size(words) <= 6) & F.forall(words, lambda w: ~no(w) & (small(w) | short(w) | _strong(w))) & F.exists(words, lambda w: ~small(w) & ~short(w) & _strong(w))
+    words = lambda name: F.split(F.trim(F.regexp_replace(name, alike(r"\.(\S)"), ". $1")), alike(r"\s+"))
+    plain = lambda name: ~name.rlike(alike(r"[\d{}=:;!?]")) & (F.length(name) <= 60) & ~name.rlike(alike(r"^(?:A|À|To|Para|Pour|Für|Al|Alla|Dedicated)\s"))
+    anonymous = c.rlike(alike(r"(?i)^ *(?:(?:mr|mrs|capt|sr|dr|don)\.\s+)?(?:an|incert)"))
+    # arrays of one, so that the name and its words are worked out once
+    named = F.exists(F.array(bare_name(c)), lambda name: (name != "") & (name.rlike(alike(ANONYMOUS)) | plain(name) & F.exists(F.array(words(name)), shape)))
+    return (~c.rlike(_PROSE) | anonymous) & named
 
 
 def rights(page: Column) -> Column:

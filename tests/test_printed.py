@@ -67,3 +67,34 @@ def test_words_end_before_accented_letters_as_in_sql(spark, tmp_path):
     con.executemany("INSERT INTO t VALUES (?, ?)", [[i, x] for i, x in enumerate(texts)])
     con.sql("FROM t").write_parquet(f"{tmp_path}/documents.parquet")
     compared(spark, tmp_path, "first_page_parser", prints.first_page_parser, ORACLE_SQL["first_page_parser"])
+
+
+def test_pages_stay_in_their_rows(spark, sf):
+    plan = prints.first_page_parser(spark, sf)._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString() and plan.executedPlan().toString().count("FileScan") == 1
+    # the text's length is not counted again for every line
+    assert all(line.count("length(text") <= line.split("transform(")[0].count("length(text") for line in plan.optimizedPlan().toString().split("\n"))
+
+
+def test_quick_looks_find_what_the_patterns_find(spark):
+    words = ["fol. 12", "Codexó", "xcodex", "CODEX", "pp.3", "(Playfair, London, 1655)", "libro de", "a www.x", "wwwx", "httpſ:", "x.net", "x.nets", "©", "Copyrightó", "Ver - bum", "ca-ro ho-mo", "abcd", "abcde", "a - b"]
+    texts = [f"{a}{b}{c}" for a in ("", "De ", "é") for b in words for c in ("", " xy", "é")]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for quick, pattern in ((layout.source, layout.SOURCE), (layout.web, layout.WEB), (layout.sung, layout.SUNG)):
+        got = df.select("t", quick(F.col("t")).alias("quick"), F.col("t").rlike(layout.alike(pattern)).alias("plain")).collect()
+        assert [r for r in got if r.quick != r.plain] == [] and len({r.quick for r in got}) == 2
+    lines = {"&b c œ": True, "x &b c œ": True, "x&b c œ": False, "\t? 3 w": True, "V bb# 12 ˙": True, "Vb 123 ˙": False, "B c xœ": True, "B c x": False}
+    got = {r.t: r.x for r in spark.createDataFrame([(k,) for k in lines], "t string").select("t", layout.staff_line(F.col("t")).alias("x")).collect()}
+    assert got == lines
+    words = {"Tenor": False, "tenor bajo": False, "wWb": False, "tenores": True, "bc alto Jo": False, "alto Jor": True, "ÓÔb": False, "Óscar": True, "ſuite": True}
+    got = {r.t: r.x for r in spark.createDataFrame([(k,) for k in words], "t string").select("t", layout.meaning(F.col("t")).alias("x")).collect()}
+    assert got == words
+    people = {"Henry de Purcell": True, "Henry of Purcell": False, "Anon. of the city": True, "Mr. Anonymous of it": True, "Henry Purcell (of the 17 cities)": True, "della Rovere": True, "Henry Purcell of": False}
+    got = {r.t: r.x for r in spark.createDataFrame([(k,) for k in people], "t string").select("t", layout.person(F.col("t")).alias("x")).collect()}
+    assert got == people
+
+
+def test_known_surnames_name_composers_of_their_own_pages(spark):
+    pages = spark.createDataFrame([(1, f"                          Es erhub sich\n\nBachmeister\n{STAFF}\n"), (2, f"                          Es erhub sich\n\nMeisterbach\n{STAFF}\n")], "k int, p string")
+    known = spark.createDataFrame([("Bachmeister",), ("bachmeister",), ("Erhub",)], "surname string")
+    assert {r.k: r.composers for r in printed.first_pages(pages, "k", "p", known).collect()} == {1: ["Bachmeister"], 2: []}
