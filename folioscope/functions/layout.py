@@ -88,6 +88,17 @@ def beyond_ascii(c: Column) -> Column:
     return F.octet_length(c) > F.length(c)
 
 
+def trimmed(c: Column, of: Column) -> Column:
+    """Without blanks of any width before and behind, as SQL's trim; ``c`` is made of the text ``of``, which has wide blanks where ``c`` has."""
+    wide = beyond_ascii(of) & of.rlike(r"(?=[^\x00-\x7F])\p{Zs}")
+    return F.when(wide, F.regexp_replace(c, r"\A\p{Zs}+|\p{Zs}+\z", "")).otherwise(F.trim(c))
+
+
+def unquoted(c: Column) -> Column:
+    """A trimmed text without quotation marks."""
+    return F.when(c.contains('"') | beyond_ascii(c) & c.rlike(r"(?=[^\x00-\x7F])[“”«»]"), trimmed(F.regexp_replace(c, "[“”\"«»]", ""), c)).otherwise(c)
+
+
 def staff_line(line: Column) -> Column:
     """A clef with a metre, and a note."""
     return line.rlike(alike(STAFF.replace(rf"(?:^|\s){CLEF}", rf"{CLEF}(?<![^{_BLANKS}]{CLEF})"))) & line.rlike(alike(NOTE))
@@ -118,7 +129,7 @@ def legible(c: Column) -> Column:
 
 def without_glyphs(c: Column) -> Column:
     """A run's text, in which single blanks stand between words, without words of glyphs."""
-    return F.when(beyond_ascii(c), F.trim(F.regexp_replace(c, alike(rf"(?:^|\s){_GLYPH}+(?=\s|$)"), ""))).otherwise(c)
+    return F.when(beyond_ascii(c), trimmed(F.regexp_replace(c, alike(rf"(?:^|\s){_GLYPH}+(?=\s|$)"), ""), c)).otherwise(c)
 
 
 def sung(c: Column) -> Column:
@@ -146,21 +157,22 @@ def two_words(c: Column) -> Column:
 
 def unbracketed(c: Column) -> Column:
     marked = c.startswith("[") | c.startswith("(") | c.endswith("]") | c.endswith(")")
-    return F.trim(F.when(marked, F.regexp_replace(c, alike(r"^[\[(]\s*|\s*[\])]$"), "")).otherwise(c))
+    return trimmed(F.when(marked, F.regexp_replace(c, alike(r"^[\[(]\s*|\s*[\])]$"), "")).otherwise(c), c)
 
 
 def part_label(c: Column) -> Column:
     """One to four words, all of them names of parts or what numbers these, one at least a name; a bracket may stand alone before and behind."""
     words = F.split(F.lower(unbracketed(c)), alike(r"\s+"))
-    named = lambda w: F.rtrim(w, F.lit(".")).isin(*[p.rstrip(".") for p in PARTS])
-    return ~c.rlike(rf"^(?:[^{_BLANKS}]++[{_BLANKS}]++){{6}}[^{_BLANKS}]") & (F.size(words) <= 4) & F.exists(words, named) & F.forall(words, lambda w: named(w) | w.rlike(alike(BESIDE_PARTS)))
+    undotted = lambda w: F.rtrim(w, F.lit("."))
+    named = lambda w: undotted(w).isin(*[p.rstrip(".") for p in PARTS])
+    return ~c.rlike(rf"^(?:[^{_BLANKS}]++[{_BLANKS}]++){{6}}[^{_BLANKS}]") & (F.size(words) <= 4) & F.exists(words, named) & F.forall(words, lambda w: named(w) | undotted(w).rlike(alike(BESIDE_PARTS)))
 
 
 def bare_name(c: Column) -> Column:
     """A name without dates of life, a footnote's number or a title before it."""
-    c = F.regexp_replace(c, alike(r"(?i)\s*\((?:[^)]*\d[^)]*|\s*s\.?\s*[XVI]+[^)]*)\)?\s*$"), "")
-    c = F.regexp_replace(F.regexp_replace(c, alike(r"\s+1[4-9]\d\d\s*[-–]\s*1[4-9]\d\d.*$"), ""), alike(r"\s+\d\)\s*$"), "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, alike(r"(?i)^(?:mr|mrs|capt|sr|dr|don)\.\s+"), ""), alike(r"[\s,;:]+$"), ""))
+    bare = F.regexp_replace(c, alike(r"(?i)\s*\((?:[^)]*\d[^)]*|\s*s\.?\s*[XVI]+[^)]*)\)?\s*$"), "")
+    bare = F.regexp_replace(F.regexp_replace(bare, alike(r"\s+1[4-9]\d\d\s*[-–]\s*1[4-9]\d\d.*$"), ""), alike(r"\s+\d\)\s*$"), "")
+    return trimmed(F.regexp_replace(F.regexp_replace(bare, alike(r"(?i)^(?:mr|mrs|capt|sr|dr|don)\.\s+"), ""), alike(r"[\s,;:]+$"), ""), c)
 
 
 def _strong(w: Column) -> Column:
@@ -174,9 +186,9 @@ def person(c: Column) -> Column:
     short = lambda w: w.rlike(alike(r"^\p{Lu}\.?$")) | w.rlike(alike(r"^\p{Lu}\p{Ll}{0,3}\.$"))
     small = lambda w: F.lower(F.regexp_replace(w, alike("[.,]+$"), "")).rlike(alike(NAME_PARTICLES))
     shape = lambda words: (F.size(words) <= 6) & F.forall(words, lambda w: ~no(w) & (small(w) | short(w) | _strong(w))) & F.exists(words, lambda w: ~small(w) & ~short(w) & _strong(w))
-    words = lambda name: F.split(F.trim(F.regexp_replace(name, alike(r"\.(\S)"), ". $1")), alike(r"\s+"))
+    words = lambda name: F.split(trimmed(F.regexp_replace(name, alike(r"\.(\S)"), ". $1"), name), alike(r"\s+"))
     plain = lambda name: ~name.rlike(alike(r"[\d{}=:;!?]")) & (F.length(name) <= 60) & ~name.rlike(alike(r"^(?:A|À|To|Para|Pour|Für|Al|Alla|Dedicated)\s"))
-    anonymous = c.rlike(alike(r"(?i)^ *(?:(?:mr|mrs|capt|sr|dr|don)\.\s+)?(?:an|incert)"))
+    anonymous = c.rlike(alike(r"(?i)^\p{Zs}*(?:(?:mr|mrs|capt|sr|dr|don)\.\s+)?(?:an|incert)"))
     # arrays of one, so that the name and its words are worked out once
     named = F.exists(F.array(bare_name(c)), lambda name: (name != "") & (name.rlike(alike(ANONYMOUS)) | plain(name) & F.exists(F.array(words(name)), shape)))
     return (~c.rlike(_PROSE) | anonymous) & named

@@ -57,9 +57,8 @@ def _heads(cells: Column) -> Column:
     """Header cells that are no label, song text or address, with their ``kind``, the ``name`` that a mark introduces, and whether the text is a ``person``."""
     limit = F.coalesce("staff", F.lit(HEADER))
     heads = F.filter(cells, lambda c: (c["line"] <= limit + 2) & ~c["label"] & ~layout.sung(c["text"]) & ~layout.web(c["text"]))
-    unquoted = lambda t: F.when(layout.beyond_ascii(t) | t.contains('"'), F.regexp_replace(t, "[“”\"«»]", "")).otherwise(t)
     joined = lambda t: F.when(t.contains("["), F.regexp_replace(t, layout.alike(r"\[(\p{L})\](\p{L})"), "$1$2")).otherwise(t)
-    heads = F.filter(_more(heads, text=lambda c, _: F.trim(joined(unquoted(c["text"])))), lambda c: c["text"] != "")
+    heads = F.filter(_more(heads, text=lambda c, _: joined(layout.unquoted(c["text"]))), lambda c: c["text"] != "")
     pick = lambda c, p, n: F.regexp_extract(c["text"], layout.alike(p), n)
     says = lambda c, p: c["text"].rlike(layout.alike(p))
 
@@ -131,6 +130,6 @@ def first_pages(pages: DataFrame, key: str, page: str, known: DataFrame | None =
     )
     dated = layout.alike(r"\s*[(\[]\s*((?:1[4-9]|20)\d\d)\??\s*[)\]]\s*")
     return out.select(
-        F.col("key").alias(key), F.trim(F.regexp_replace(F.regexp_replace("title", dated, " "), layout.alike(r"\s+"), " ")).alias("title"), "subtitle", "composers", "editors", "parts", "sources", "others", F.when(F.col("corner") & (F.size("parts") == 1), F.col("parts")[0]).alias("part"),
+        F.col("key").alias(key), layout.trimmed(F.regexp_replace(F.regexp_replace("title", dated, " "), layout.alike(r"\s+"), " "), F.col("title")).alias("title"), "subtitle", "composers", "editors", "parts", "sources", "others", F.when(F.col("corner") & (F.size("parts") == 1), F.col("parts")[0]).alias("part"),
         "epoch", F.nullif(F.regexp_extract("title", dated, 1), F.lit("")).alias("composed"), F.nullif("catalogue", F.lit("")).alias("catalogue"), F.col("rights.holder").alias("holder"), F.col("rights.year").alias("year"),
     )

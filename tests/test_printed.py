@@ -98,3 +98,13 @@ def test_known_surnames_name_composers_of_their_own_pages(spark):
     pages = spark.createDataFrame([(1, f"                          Es erhub sich\n\nBachmeister\n{STAFF}\n"), (2, f"                          Es erhub sich\n\nMeisterbach\n{STAFF}\n")], "k int, p string")
     known = spark.createDataFrame([("Bachmeister",), ("bachmeister",), ("Erhub",)], "surname string")
     assert {r.k: r.composers for r in printed.first_pages(pages, "k", "p", known).collect()} == {1: ["Bachmeister"], 2: []}
+
+
+def test_wide_blanks_dots_and_anonymous_sources_as_in_sql(spark, tmp_path):
+    cells = ["Del mundo ", " Gran Codex ", "anon ", "(Tenor) ", "BASSUS C.", "C. 1 alto.", "Anonymous Codex", "incertus nos. 3", "Anon. canta", "codex s.XVI", "Henry Purcell (1659-1695)", "la\u000bvoz"]
+    texts = [f"{a}\nuna\n{b}\n  {a}  {b}\t{a}\n{b}" for a in cells for b in cells]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", [[i, x] for i, x in enumerate(texts)])
+    con.sql("FROM t").write_parquet(f"{tmp_path}/documents.parquet")
+    compared(spark, tmp_path, "first_page_parser", prints.first_page_parser, ORACLE_SQL["first_page_parser"])
